@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heirloom.llm import metric_join, mixture, preferences, sharding, url_rules, winnowing
+from heirloom.llm import metric_join, mixture, preferences, sharding, shingle_join, url_rules, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         url_rules.op3_url_rules,
         mixture.op4_curriculum_mix,
+        shingle_join.op5_forest_join,
         metric_join.op6_metric_join,
         winnowing.op7_winnowing,
         sharding.op8_hypergeometric_shards,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_url_rules": url_rules.SQL,
     "op4_curriculum_mix": mixture.SQL,
+    "op5_forest_join": shingle_join.SQL,
     "op6_metric_join": metric_join.SQL,
     "op7_winnowing": winnowing.SQL,
     "op9_preference_format": preferences.SQL,
