@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heirloom.llm import metric_join, mixture, preferences, sharding, shingle_join, url_rules, winnowing
+from heirloom.llm import metric_join, mixture, preferences, quality, sharding, shingle_join, toxicity, url_rules, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        quality.op1_additive_quality,
+        toxicity.op2_nearest_toxic,
         url_rules.op3_url_rules,
         mixture.op4_curriculum_mix,
         shingle_join.op5_forest_join,
