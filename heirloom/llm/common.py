@@ -178,8 +178,8 @@ def _word_codes() -> np.ndarray:
 WORD_CODES = _word_codes()
 
 
-def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = WORD_CODES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and byte start of every word of a run of texts, and the index of each text's first word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = WORD_CODES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a run of texts, byte start and end of every word, and the index of each text's first word."""
     low = codes[data]
     inside = low != 0
     first, last = inside.copy(), inside.copy()
@@ -191,7 +191,13 @@ def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = WORD_CODES)
         first[cuts] = inside[cuts]
         last[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return span_hashes(low, starts, ends), starts, np.searchsorted(starts, offsets)
+    return low, starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = WORD_CODES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and byte start of every word of a run of texts, and the index of each text's first word."""
+    low, starts, ends, bounds = word_spans(data, offsets, codes)
+    return span_hashes(low, starts, ends), starts, bounds
 
 
 def gram_hashes(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:

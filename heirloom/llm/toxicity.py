@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heirloom.llm.common import appended, chunks, crc_text, settle, utf8, with_columns, without, words
+from heirloom.llm.common import appended, chunks, crc_text, settle, span_hashes, with_columns, without, word_spans
 from heirloom.llm.quality import training_rows
 
 #: Labelled examples, at most: those with the smallest hashes of their ids.  Terms that vectors are made of, at most.
-MOST_EXAMPLES, MOST_TERMS = 20_000, 4096
+MOST_EXAMPLES, MOST_TERMS = 20_000, 256
 
-#: Neighbours that vote, and examples in a block of the index.
-NEIGHBOURS, BLOCK = 25, 64
+#: Lengths in bytes of the word beginnings that are terms beside whole words; common words that join the terms.
+PREFIXES, COMMON = (4, 5, 6, 7, 8), 30
+
+#: Neighbours that vote: one for each PER_NEIGHBOUR examples of label 1, within these bounds; examples in a block of the index.
+NEIGHBOURS, PER_NEIGHBOUR, BLOCK = (5, 25), 12, 64
 
 #: Votes that the share of label 1 among all examples has beside the neighbours'.
 PRIOR_VOTES = 0.5
@@ -29,6 +32,15 @@ STRONG, WEAK, FEW = 25.0, 8.0, 32
 
 
 
+#: A-Z to a-z; runs of letters and of all beyond ASCII; what sets a beginning apart from the word that equals it.
+LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+WORDS = re.compile(rb"[a-z\x80-\xff]+")
+TAG = np.uint64(0x5851F42D4C957F2D)
+
+#: A cosine of 1 in 38 bits, and the largest place that is carried below it.
+ONE, FULL = float(1 << 38), (1 << 24) - 1
+
+
 def _letter_codes() -> np.ndarray:
     """Of each byte: 0 outside terms, else itself with A-Z lower-cased; terms hold letters and all beyond ASCII."""
     code = np.zeros(256, np.uint8)
@@ -40,126 +52,155 @@ def _letter_codes() -> np.ndarray:
 CODES = _letter_codes()
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray):
-    return words(data, offsets, CODES)
+def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every term: each word, and its first bytes in all lengths of PREFIXES that it has."""
+    low, starts, ends, bounds = word_spans(data, offsets, CODES)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    hashes, owner = [span_hashes(low, starts, ends)], [text]
+    for n in PREFIXES:
+        long = ends - starts >= n
+        hashes.append(span_hashes(low, starts[long], starts[long] + n) ^ TAG)
+        owner.append(text[long])
+    return np.concatenate(hashes), np.concatenate(owner)
+
+
+def term_hash(term: bytes) -> int:
+    """Hash of a written term: ``=word`` or ``^beginning``."""
+    body = np.frombuffer(term[1:], np.uint8)
+    found = span_hashes(body, np.array([0]), np.array([len(body)]))[0]
+    return int(found ^ TAG if term[:1] == b"^" else found)
 
 
 class ExampleIndex:
-    """Examples in blocks of like vectors, and for each term its postings and its largest weight in each block.
+    """Examples in blocks of like vectors, and for each term its largest weight in each block.
 
-    A query's bound on a block is the sum of its weights times those maxima.  Blocks are scored from the highest
-    bound down until no bound exceeds the k-th best similarity: the result is exact.
+    A query's bound on a block is the sum of its weights times those maxima.  Queries are answered together:
+    a block is scored only for those whose bound reaches their k-th best similarity so far, so the result is exact.
     """
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], y: np.ndarray, rows: np.ndarray, cols: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, block: int = BLOCK):
-        self.terms, self.idf, self.k, self.block = terms, idf, k, block
-        w = (1 + np.log(tf)) * idf[cols] if len(cols) else np.zeros(0)
-        norm = np.sqrt(np.bincount(rows, w * w, len(ids)))
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], y: np.ndarray, rows: np.ndarray, cols: np.ndarray, tf: np.ndarray, k: int | None = None, block: int = BLOCK):
+        self.order = np.argsort(terms)
+        self.sorted_terms, self.idf, self.k, self.block = terms[self.order], idf, k or int(np.clip(y.sum() // PER_NEIGHBOUR, *NEIGHBOURS)), block
+        w = np.zeros((len(ids), len(terms)))
+        w[rows, cols] = (1 + np.log(tf)) * idf[cols]
+        norm = np.sqrt((w * w).sum(1))
         self.rate = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
         bare = norm == 0
         self.bare_rate = float((y[bare].sum() + self.rate * PRIOR_VOTES) / (bare.sum() + PRIOR_VOTES))
-        lead = np.full(len(ids), len(terms))
-        if len(cols):
-            order = np.lexsort((cols, -w, rows))
-            lead[rows[order][::-1]] = cols[order][::-1]
         live = np.flatnonzero(~bare)
-        place = np.full(len(ids), -1)
-        live = live[np.lexsort((live, lead[live]))]
-        place[live] = np.arange(len(live))
-        self.ids, self.y = np.array(ids, object)[live], y[live]
-        r, self.w = place[rows], w / np.maximum(norm[rows], 1e-300)
-        order = np.lexsort((cols, r))
-        self.start = np.searchsorted(r[order], np.arange(len(live) + 1))
-        self.cols, self.w = cols[order], self.w[order]
-        blocks = -(-len(live) // block)
-        self.top = np.zeros((len(terms), blocks))
-        np.maximum.at(self.top, (self.cols, r[order] // block), self.w)
-        self.cache: dict[bytes, tuple[float, list[str]]] = {}
-
-    def neighbours(self, cols: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0, the nearest first; ties by place."""
-        dense = np.zeros(len(self.terms))
-        dense[cols] = w
-        bound = w @ self.top[cols]
-        found, sims = np.zeros(0, int), np.zeros(0)
-        for b in np.lexsort((np.arange(len(bound)), -bound)):
-            worst = sims[self.k - 1] if len(sims) >= self.k else 0.0
-            if bound[b] <= 0 or len(sims) >= self.k and bound[b] < worst - 1e-12:
-                break
-            lo, hi = b * self.block, min((b + 1) * self.block, len(self.y))
-            s, e = self.start[lo], self.start[hi]
-            got = np.add.reduceat(dense[self.cols[s:e]] * self.w[s:e], self.start[lo:hi] - s)
-            found, sims = np.r_[found, np.arange(lo, hi)], np.r_[sims, np.round(got, 12)]
-            best = np.lexsort((found, -sims))[: self.k]
-            found, sims = found[best], sims[best]
-        return found[sims > 0], sims[sims > 0]
-
-    def judge(self, cols: np.ndarray, tf: np.ndarray) -> tuple[float, list[str]]:
-        """Score, and as evidence ``id:label:cosine`` of the nearest five; without any term the rate of examples without any."""
-        if not len(cols):
-            return self.bare_rate, []
-        name = np.r_[cols, tf].tobytes()
-        if name not in self.cache:
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            w = (1 + np.log(tf)) * self.idf[cols]
-            at, sims = self.neighbours(cols, w / np.sqrt(w @ w))
-            score = (sims @ self.y[at] + PRIOR_VOTES * self.rate) / (sims.sum() + PRIOR_VOTES)
-            self.cache[name] = float(score), [f"{self.ids[a]}:{int(self.y[a])}:{s:.4f}" for a, s in zip(at[:5], sims[:5], strict=True)]
-        return self.cache[name]
+        rarest = w[live].argmax(1) if len(live) else live
+        live = live[np.lexsort((live, norm[live], rarest))]
+        self.ids, self.y = [ids[i] for i in live], y[live]
+        # postings by block: the block's rows of every term side by side
+        self.weights = w[live] / norm[live, None]
+        cuts = np.arange(0, len(live), block)
+        self.top = np.maximum.reduceat(self.weights, cuts, axis=0) if len(live) else np.zeros((0, len(terms)))
+
+    def neighbours(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples of each row of unit vectors, the nearest first; ties by place.
+
+        Cosines are compared to 38 bits and carried in one number with the place, so that ties fall alike
+        in any company.
+        """
+        bound = q @ self.top.T
+        best = np.zeros((len(q), self.k), np.int64)
+        for b in np.argsort(-bound.sum(0), kind="stable"):
+            worst = (best[:, -1] >> 24) / ONE
+            go = np.flatnonzero(bound[:, b] >= worst - 1e-9)
+            if not len(go):
+                continue
+            lo = b * self.block
+            part = self.weights[lo : lo + self.block]
+            sims = np.rint(np.clip(q[go] @ part.T, 0, 1) * ONE).astype(np.int64)
+            packed = np.where(sims > 0, (sims << 24) | (FULL - lo - np.arange(len(part))), 0)
+            both = np.concatenate([best[go], packed], axis=1)
+            both.partition(both.shape[1] - self.k, axis=1)
+            top = both[:, -self.k :]
+            top.sort(axis=1)
+            best[go] = top[:, ::-1]
+        return FULL - (best & FULL), (best >> 24) / ONE
+
+    def judge(self, rows: int, r: np.ndarray, c: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, list[list[str]]]:
+        """Score of each of ``rows`` texts, given as text, term and count, and as evidence ``id:label:cosine`` of the nearest five."""
+        q = np.zeros((rows, len(self.idf)))
+        q[r, c] = (1 + np.log(tf)) * self.idf[c]
+        norm = np.sqrt((q * q).sum(1))
+        score, why = np.full(rows, self.bare_rate), [[] for _ in range(rows)]
+        have = np.flatnonzero(norm > 0)
+        if len(have) and len(self.y):
+            at, sims = self.neighbours(q[have] / norm[have, None])
+            votes = np.where(sims > 0, self.y[np.minimum(at, len(self.y) - 1)], 0)
+            score[have] = ((sims * votes).sum(1) + PRIOR_VOTES * self.rate) / (sims.sum(1) + PRIOR_VOTES)
+            for i, a, s in zip(have, at[:, :5], sims[:, :5], strict=True):
+                why[i] = [f"{self.ids[x]}:{int(self.y[x])}:{v:.4f}" for x, v in zip(a, s, strict=True) if v > 0]
+        return score, why
 
 
 def _counted(data, offsets, order, sorted_terms):
     """Text, term and count of every term of the vocabulary that occurs."""
-    hashes, _, bounds = _tokens(data, offsets)
-    if not len(sorted_terms) or not len(hashes):
+    if not len(sorted_terms):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    hashes, text = _terms(data, offsets)
     at = np.minimum(np.searchsorted(sorted_terms, hashes), len(sorted_terms) - 1)
     hit = np.flatnonzero(sorted_terms[at] == hashes)
-    text = np.searchsorted(bounds, hit, "right") - 1
-    pair, n = np.unique(text * len(sorted_terms) + order[at[hit]], return_counts=True)
+    pair, n = np.unique(text[hit] * len(sorted_terms) + order[at[hit]], return_counts=True)
     return pair // len(sorted_terms), pair % len(sorted_terms), n.astype(float)
 
 
-def vocabulary(examples: DataFrame) -> list[str]:
-    """Terms tied to the label, the most strongly tied first: at most MOST_TERMS.
+def written_terms(text: str) -> set[bytes]:
+    """The terms of a text as bytes, the same that ``_terms`` hashes."""
+    found = set(WORDS.findall(text.translate(LOWER).encode()))
+    return {b"=" + w for w in found} | {b"^" + w[:n] for w in found for n in PREFIXES if len(w) >= n}
+
 
-    ``examples``: y, text.  A term counts once a text; its counts are summed by Spark.
+def vocabulary(examples: DataFrame) -> list[bytes]:
+    """The terms that vectors are made of, at most MOST_TERMS.
+
+    ``examples``: y, text.  Terms tied to the label come first, by their log-likelihood ratio; of terms
+    that begin alike only the most strongly tied one is taken.  Then the commonest words, against which
+    the others weigh less in a long text.  A term counts once a text; Spark sums the counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
+            both: tuple[Counter, Counter] = (Counter(), Counter())
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                # the same terms as of the byte codes: A-Z lower-cased, all beyond ASCII kept
-                both[y].update(set(re.findall("[a-z\u0080-\U0010ffff]+", (text or "").translate(LOWER))))
-        for y in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(list(both[y]), pa.string()), pa.array([n if not y else 0 for n in both[y].values()], pa.int64()), pa.array([n if y else 0 for n in both[y].values()], pa.int64())], names=["term", "n0", "n1"])
+                both[y].update(written_terms(text or ""))
+            for y in (0, 1):
+                n = pa.array(list(both[y].values()), pa.int64())
+                none = pa.array(np.zeros(len(n), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(list(both[y]), pa.binary()), none if y else n, n if y else none], names=["term", "n0", "n1"])
 
     totals = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = float(totals.get(0, 0)), float(totals.get(1, 0))
     if not n0 or not n1:
         return []
-    counts = examples.select("y", "text").mapInArrow(run, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+    counts = settle(examples.select("y", "text").mapInArrow(run, "term binary, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).where("a + b >= 3"), "terms")
     share = (F.col("a") + F.col("b")) / (n0 + n1)
     part = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
     g2 = 2 * (part(F.col("a"), n0 * share) + part(F.col("b"), n1 * share) + part(n0 - F.col("a"), n0 * (1 - share)) + part(n1 - F.col("b"), n1 * (1 - share)))
-    top = counts.where("a + b >= 3").where(F.col("a") + F.col("b") < n0 + n1).select("term", g2.alias("g2")).where(F.col("g2") >= WEAK).orderBy(F.desc("g2"), "term").limit(MOST_TERMS).collect()
-    return [r["term"] for i, r in enumerate(top) if r["g2"] >= STRONG or i < FEW]
-
-
-LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
-
-
-def build_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", most: int = MOST_EXAMPLES, k: int = NEIGHBOURS) -> ExampleIndex:
+    top = counts.where(F.col("a") + F.col("b") < n0 + n1).select("term", g2.alias("g2")).where(F.col("g2") >= WEAK).orderBy(F.desc("g2"), "term").limit(8 * MOST_TERMS).collect()
+    found: list[bytes] = []
+    bodies: list[bytes] = []
+    for r in top:
+        term = bytes(r["term"])
+        if len(found) >= MOST_TERMS - COMMON or r["g2"] < STRONG and len(found) >= FEW:
+            break
+        if not any(term[1:].startswith(b) or b.startswith(term[1:]) for b in bodies):
+            found.append(term)
+            bodies.append(term[1:])
+    common = counts.where(F.substring("term", 1, 1) == F.lit(b"=")).orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(COMMON).collect()
+    return found + [bytes(r["term"]) for r in common if bytes(r["term"]) not in found]
+
+
+def build_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", most: int = MOST_EXAMPLES, k: int | None = None) -> ExampleIndex:
     """Index of at most ``most`` labelled examples; document frequencies count all of ``docs``."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     few = spark.createDataFrame(training_rows(docs, labels, label, key, most).collect(), f"`{key}` {kind}, y int")
     examples = settle(docs.select(key, text).join(F.broadcast(few), key).select(F.col(key).alias("k"), "y", F.col(text).alias("text")), "examples")
     terms = vocabulary(examples)
-    data, offsets = utf8(pa.array(terms, pa.string()))
-    hashes = _tokens(data, offsets)[0]
+    hashes = np.array([term_hash(t) for t in terms], np.uint64)
     order = np.argsort(hashes)
     sorted_terms = hashes[order]
 
@@ -184,15 +225,13 @@ def build_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
     rows = np.repeat(np.arange(len(found)), [len(r["c"]) for r in found])
     cols = np.array([c for r in found for c in r["c"]], int)
     tf = np.array([n for r in found for n in r["n"]], float)
-    index = ExampleIndex(hashes, idf, [r["k"] for r in found], np.array([r["y"] for r in found], float), rows, cols, tf, k)
-    index.order, index.sorted_terms = order, sorted_terms
-    return index
+    return ExampleIndex(hashes, idf, [r["k"] for r in found], np.array([r["y"] for r in found], float), rows, cols, tf, k)
 
 
 def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Add score, predicted (1 if score >= threshold) and evidence (``id:label:cosine`` of the nearest examples) to every row.
 
-    A vector holds (1 + log tf) idf of the terms that are tied to the label; the votes of the nearest examples
+    A vector holds (1 + log tf) idf of the vocabulary's terms; the votes of the nearest examples
     are weighted by their cosines and shrunk by the share of label 1.  A text without such terms, null and empty
     ones too, gets the share of label 1 among examples without any.  Rows may repeat; no row gives no row.  A
     column named like an added one is replaced.
@@ -204,10 +243,8 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", thr
         own = shared.value
         for batch, data, offsets in chunks(batches, text):
             r, c, n = _counted(data, offsets, own.order, own.sorted_terms)
-            cut = np.searchsorted(r, np.arange(batch.num_rows + 1))
-            got = [own.judge(c[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            s = np.array([x[0] for x in got])
-            yield with_columns(batch, score=pa.array(s, pa.float64()), predicted=pa.array((s >= threshold).astype(np.int32)), evidence=pa.array([x[1] for x in got], pa.list_(pa.string())))
+            s, why = own.judge(batch.num_rows, r, c, n)
+            yield with_columns(batch, score=pa.array(s, pa.float64()), predicted=pa.array((s >= threshold).astype(np.int32)), evidence=pa.array(why, pa.list_(pa.string())))
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.StringType()))]
     return base.mapInArrow(run, appended(base.schema, fields))
