@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heirloom.llm import metric_join, mixture, preferences, quality, sharding, shingle_join, toxicity, url_rules, winnowing
+from heirloom.llm import metric_join, mixture, preferences, quality, sharding, shingle_join, suffix_dedup, toxicity, url_rules, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         winnowing.op7_winnowing,
         sharding.op8_hypergeometric_shards,
         preferences.op9_preference_format,
+        suffix_dedup.op10_suffix_sort,
     )
 }
 
@@ -30,4 +31,5 @@ SQL: dict[str, str] = {
     "op6_metric_join": metric_join.SQL,
     "op7_winnowing": winnowing.SQL,
     "op9_preference_format": preferences.SQL,
+    "op10_suffix_sort": suffix_dedup.SQL,
 }
