@@ -89,11 +89,13 @@ def mix(
 
 def mixed_stream(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents in training order: each as often as passes of its source take words of it, range-partitioned
-    and sorted by the position at which each pass reaches it.  The columns are those of ``docs``."""
+    and sorted by the position at which each pass reaches it.  Texts without words, of which nothing can be taken,
+    appear ``least`` times, where the first pass reaches them.  The columns are those of ``docs``."""
+    least = options.get("least", 0)
     m = mix(docs, text=text, key=key, **options)
-    passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    copies = m.where("taken > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-    done = F.least(F.col("done") + F.col("__pass") * F.col("source_size") / F.col("target"), F.lit(1.0))
+    passes = F.when(F.col("size") == 0, F.lit(least)).otherwise(F.ceil(F.try_divide("taken", "size"))).cast("int")
+    copies = m.withColumn("__passes", passes).where("__passes > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__passes") - 1)))
+    done = F.least(F.coalesce(F.col("done") + F.try_divide(F.col("__pass") * F.col("source_size"), F.col("target")), F.lit(0.0)), F.lit(1.0))
     out = copies.select(*[F.col(f"`{c}`") for c in docs.columns], time_of(done, F.col("slope")).alias("__at"))
     return out.repartitionByRange("__at", key).sortWithinPartitions("__at", key).drop("__at")
 
