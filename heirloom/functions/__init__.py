@@ -1 +1 @@
-
+"""Column expressions: dates, places, kinship labels, text."""

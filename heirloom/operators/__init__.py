@@ -1 +1 @@
-
+"""Operators on DataFrames: ids, hierarchy, upserts, kinship graphs."""

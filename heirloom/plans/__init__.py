@@ -1 +1 @@
-
+"""Passes over a tree, and reports."""

@@ -1 +1 @@
-
+"""Files, character sets, tables and artifacts."""

@@ -1 +1 @@
-
+"""Every pass is a batch over a whole file or table; there are no streaming operators to run."""
