@@ -10,12 +10,13 @@ from heirloom.functions.dates import normalize_date
 from heirloom.sources.store import Store, report, settle
 
 
-def life_bounds(events: DataFrame, settings: dict | None = None) -> DataFrame:
+def life_bounds(dated: DataFrame) -> DataFrame:
     """subject_id, life_start, life_end: earliest start of a birth and latest end of a death, of dates that stand without guessing.
 
-    Burials don't count, and neither do open dates: these bounds clamp open dates.
+    ``dated``: events with the struct d of their dates, nothing clamped.  Burials don't count, and neither
+    do open dates: these bounds clamp open dates.
     """
-    d = events.where("subject_type = 'individual' AND event_type IN ('BIRT', 'DEAT')").withColumn("d", normalize_date(F.col("date_raw"), settings=settings)).where("d.date_start IS NOT NULL AND d.precision <> 'inferred'")
+    d = dated.where("subject_type = 'individual' AND event_type IN ('BIRT', 'DEAT') AND d.date_start IS NOT NULL AND d.precision <> 'inferred'")
     at = lambda kind, field: F.when(F.col("event_type") == kind, F.col(f"d.{field}"))
     return d.groupBy("subject_id").agg(F.min(at("BIRT", "date_start")).alias("life_start"), F.max(at("DEAT", "date_end")).alias("life_end"))
 
@@ -23,11 +24,17 @@ def life_bounds(events: DataFrame, settings: dict | None = None) -> DataFrame:
 def dated_events(events: DataFrame, settings: dict | None = None) -> DataFrame:
     """``events`` with the struct d of their dates; open dates of people are clamped to their lives.
 
-    Only events decide: running the pass again gives the same rows.
+    Only events decide: running the pass again gives the same rows.  Both steps are written to the shared
+    folder, so a date is parsed once, and only open dates of people with known bounds a second time.
     """
-    bounds = life_bounds(events, settings).withColumn("subject_type", F.lit("individual"))
-    both = events.join(bounds, ["subject_type", "subject_id"], "left")
-    return both.withColumn("d", normalize_date(F.col("date_raw"), F.col("life_start"), F.col("life_end"), settings)).drop("life_start", "life_end")
+    plain = settle(events.withColumn("d", normalize_date(F.col("date_raw"), settings=settings)), "dates")
+    bounds = life_bounds(plain).withColumn("subject_type", F.lit("individual"))
+    both = plain.join(bounds, ["subject_type", "subject_id"], "left")
+    known = F.coalesce("life_start", "life_end").isNotNull()
+    # wherever the qualifier stands, after a calendar too, its letters are in the text
+    again = known & F.col("date_raw").rlike("(?i)BEF|AFT")
+    clamped = F.when(again, normalize_date(F.col("date_raw"), F.col("life_start"), F.col("life_end"), settings)).otherwise(F.col("d"))
+    return settle(both.withColumn("d", clamped).drop("life_start", "life_end"), "dated")
 
 
 def event_dates(dated: DataFrame) -> DataFrame:
@@ -56,7 +63,7 @@ def marriages(families: DataFrame, dated: DataFrame) -> DataFrame:
 
 def run(store: Store, config: Config | None = None) -> dict:
     config = config or load_config()
-    dated = settle(dated_events(store.read("events"), config["date"]), "dated")
+    dated = dated_events(store.read("events"), config["date"])
     store.clear_for("dates")
     store.write("event_dates", event_dates(dated))
     store.write("individuals", lifespans(store.read("individuals"), dated))

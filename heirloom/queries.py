@@ -22,6 +22,7 @@ from heirloom.operators.upsert import keep_least, upsert
 from heirloom.plans import dates, ingest, inspect, places
 from heirloom.sources.encodings import decode_column
 from heirloom.sources.gedcom import parse_lines, split_lines
+from heirloom.sources.store import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,11 +323,11 @@ def least_weight(spark, sf):
 
 def order_lines(spark, sf) -> DataFrame:
     """A line for each order; every seventh is none."""
-    raw = F.concat((F.col("o_orderkey") % 3).cast("string"), F.lit(" "), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("@O"), F.col("o_orderkey").cast("string"), F.lit("@ "))).otherwise(""), F.lower(F.substring("o_orderpriority", 3, 4)), F.lit("  "), F.col("o_orderstatus"))
+    raw = F.concat((F.col("o_orderkey") % 3).cast("string"), F.lit(" "), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("@O"), F.col("o_orderkey").cast("string"), F.lit("@ "))).otherwise(""), F.lower(F.substring("o_orderpriority", 3, 3)), F.lit("  "), F.col("o_orderstatus"))
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("line_no"), F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("bad "), F.col("o_orderstatus"))).otherwise(raw).alias("raw"))
 
 
-LINES = "l AS (SELECT o_orderkey AS line_no, o_orderkey % 7 = 0 AS bad, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 3 END::INTEGER AS level, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0 THEN '@O' || o_orderkey || '@' END AS xref, CASE WHEN o_orderkey % 7 = 0 THEN '_UNPARSED' ELSE upper(substr(o_orderpriority, 3, 4)) END AS tag, CASE WHEN o_orderkey % 7 = 0 THEN 'bad ' || o_orderstatus ELSE ' ' || o_orderstatus END AS value FROM orders)"
+LINES = "l AS (SELECT o_orderkey AS line_no, o_orderkey % 7 = 0 AS bad, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 3 END::INTEGER AS level, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0 THEN '@O' || o_orderkey || '@' END AS xref, CASE WHEN o_orderkey % 7 = 0 THEN '_UNPARSED' ELSE upper(substr(o_orderpriority, 3, 3)) END AS tag, CASE WHEN o_orderkey % 7 = 0 THEN 'bad ' || o_orderstatus ELSE ' ' || o_orderstatus END AS value FROM orders)"
 
 
 @query(f"WITH {LINES} SELECT line_no, level, xref, tag, value FROM l")
@@ -416,37 +417,39 @@ def tree_lines(spark, sf) -> DataFrame:
     return a.unionByName(b).select((F.col("n") + F.col("i") + 1).alias("line_no"), "raw")
 
 
+def ingested(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines, people and families, each written once as the pass does."""
+    lines = settle(ingest.line_table(tree_lines(spark, sf)), "lines")
+    persons = settle(ingest.people(lines, 1935), "people")
+    return lines, persons, settle(ingest.families(lines, persons), "families")
+
+
 @query(
     "SELECT '@I' || c_custkey || '@' AS gedcom_xref, row_number() OVER (ORDER BY c_custkey) AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS name_given, CASE WHEN c_custkey % 4 = 1 THEN 'Vale' ELSE c_name END AS name_surname, c_mktsegment || ' /' || c_name || '/' AS name_full, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS sex, (c_custkey % 5 <> 0 AND 1900 + c_custkey % 80 > 1935)::INTEGER AS is_living FROM customer"
 )
 def ingest_people(spark, sf):
-    return ingest.people(ingest.line_table(tree_lines(spark, sf)), 1935).drop("line_no")
+    return ingested(spark, sf)[1].drop("line_no")
 
 
 @query(
     f"WITH {FAM}, n AS (SELECT min(c_custkey) AS low, max(c_custkey) AS top FROM customer) SELECT '@F' || f.id || '@' AS gedcom_xref, row_number() OVER (ORDER BY f.id) AS id, f.husband_id + 1 - low AS husband_id, CASE WHEN f.wife_id <= top THEN f.wife_id + 1 - low END AS wife_id FROM family f, n"
 )
 def ingest_families(spark, sf):
-    lines = ingest.line_table(tree_lines(spark, sf))
-    return ingest.families(lines, ingest.people(lines, 1935)).drop("line_no")
+    return ingested(spark, sf)[2].drop("line_no")
 
 
 @query(
     f"WITH {FAM}, n AS (SELECT min(c_custkey) AS low FROM customer), k AS (SELECT id, row_number() OVER (ORDER BY id) AS fid FROM family) SELECT fid AS family_id, child_id + 1 - low AS child_id, link_type FROM child JOIN k ON family_id = id, n"
 )
 def ingest_children(spark, sf):
-    lines = ingest.line_table(tree_lines(spark, sf))
-    persons = ingest.people(lines, 1935)
-    return ingest.family_children(lines, persons, ingest.families(lines, persons))
+    return ingest.family_children(*ingested(spark, sf))
 
 
 @query(
     f"WITH {FAM}, p AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) AS id FROM customer), f AS (SELECT row_number() OVER (ORDER BY id) AS id FROM family) SELECT 'individual' AS subject_type, id AS subject_id, 'BIRT' AS event_type, 'ABT ' || (1900 + k % 80) AS date_raw, 'Town ' || (k % 10) || 'ship' AS place_raw, 0::BIGINT AS source_count FROM p UNION ALL SELECT 'individual', id, CASE WHEN k % 5 = 0 THEN 'DEAT' ELSE 'Moved' END, NULL, NULL, 1 FROM p UNION ALL SELECT 'family', id, 'MARR', '1850', NULL, 0 FROM f"
 )
 def ingest_events(spark, sf):
-    lines = ingest.line_table(tree_lines(spark, sf))
-    persons = ingest.people(lines, 1935)
-    return ingest.events(lines, persons, ingest.families(lines, persons)).select("subject_type", "subject_id", "event_type", "date_raw", "place_raw", "source_count")
+    return ingest.events(*ingested(spark, sf)).select("subject_type", "subject_id", "event_type", "date_raw", "place_raw", "source_count")
 
 
 @query("SELECT '@I' || c_custkey || '@' AS gedcom_xref FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 <> 0)")
