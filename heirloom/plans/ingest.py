@@ -126,7 +126,8 @@ def run(spark: SparkSession, store: Store, path: str, config: Config | None = No
     store.write("families", fams.select("*", none.alias("marriage_start"), none.alias("marriage_end")))
     store.write("family_children", family_children(lines, persons, fams))
     facts = store.write("events", events(lines, persons, fams))
-    f = files.select("encoding", "unmappable_bytes").first()
+    # a file without a byte has no row
+    f = files.select("encoding", "unmappable_bytes").first() or {"encoding": "UTF-8", "unmappable_bytes": 0}
     store.put_meta(input_encoding=f["encoding"], input_unmappable_bytes=str(f["unmappable_bytes"]))
     level0 = lines.where("level = 0").agg(F.count_if(F.col("tag") == "INDI").alias("i"), F.count_if(F.col("tag") == "FAM").alias("f")).first()
     return report(
