@@ -152,7 +152,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base^2, ... modulo 2^64."""
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         x = np.full(max(n, 1 << 16), base, np.uint64)
         x[0] = 1
         _powers[base] = np.cumprod(x)
