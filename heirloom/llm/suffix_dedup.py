@@ -359,7 +359,8 @@ def op10_suffix_sort(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, md5(h[2 * i + 1 : 2 * i + 200]) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+b AS (SELECT doc_id, b, h[2 * b + 1 : 2 * b + 1198] AS p FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 500)) AS b FROM d WHERE length(h) >= 200)),
+w AS (SELECT doc_id, b + j AS i, md5(p[2 * j + 1 : 2 * j + 200]) AS g FROM (SELECT doc_id, b, p, unnest(range(0, least(500, length(p) // 2 - 99))) AS j FROM b)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
 e AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 101) > 100 AS fresh FROM r),
 f AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
