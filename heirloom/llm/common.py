@@ -71,30 +71,35 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     return out
 
 
-def ranked(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[str], rank: str, size: str | None = None, before: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], key: str, ties: Sequence[str], rank: str, size: str | None = None, before: str | None = None, attach: DataFrame | None = None) -> DataFrame:
     """Add the 0-based rank within ``group`` by hex ``key`` and, if asked, the sum of ``size`` before each row.
 
     A group may hold most of the rows, so none is ever sorted in one task: the first hex digits of
     the key cut it into buckets, buckets are counted with map-side partial sums, and each row adds
-    its place in its bucket to the rows in the buckets before.  ``ties`` order equal keys.
+    its place in its bucket to the rows in the buckets before.  ``ties`` order equal keys.  Columns of ``attach``, a row for
+    each group, come along with the bucket sums.  One text names group and bucket, so that ranking and joining
+    share one exchange of the rows.
     """
     group = list(group)
-    cut = df.withColumn("__bucket", F.substring(key, 1, BUCKET_DIGITS))
+    name = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in group]
+    cut = df.withColumn("__cell", F.concat_ws("\x00", *name, F.substring(key, 1, BUCKET_DIGITS)))
     sums = [F.count(F.lit(1)).alias("__n")] + ([F.sum(size).alias("__s")] if size else [])
-    counts = cut.groupBy(*group, "__bucket").agg(*sums)
-    ahead = W.Window.partitionBy(*group or [F.lit(0)]).orderBy("__bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*group, "__cell").agg(*sums)
+    ahead = W.Window.partitionBy(*group or [F.lit(0)]).orderBy("__cell").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = counts.select(
-        *group, "__bucket", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"),
+        *group, "__cell", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"),
         *([F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__s0")] if size else []),
     )
-    near = W.Window.partitionBy(*group, "__bucket").orderBy(key, *ties)
-    up_to = near.rowsBetween(W.Window.unboundedPreceding, -1)
+    more = [] if attach is None else [c for c in attach.columns if c not in group]
+    if attach is not None:
+        starts = starts.alias("s").join(attach.alias("t"), same_keys("s", "t", group), "left").select(*[F.col(f"s.`{c}`") for c in starts.columns], *[F.col(f"t.`{c}`") for c in more])
+    near = W.Window.partitionBy("__cell").orderBy(key, *ties)
     out = cut.withColumn("__r", F.row_number().over(near) - 1)
     if size:
-        out = out.withColumn("__b", F.coalesce(F.sum(size).over(up_to), F.lit(0)))
-    joined = out.alias("a").join(starts.alias("b"), same_keys("a", "b", [*group, "__bucket"]))
+        out = out.withColumn("__b", F.coalesce(F.sum(size).over(near.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = out.alias("a").join(starts.alias("b"), F.col("a.__cell") == F.col("b.__cell"))
     return joined.select(
-        *[F.col(f"a.`{c}`") for c in df.columns], (F.col("__n0") + F.col("__r")).cast("long").alias(rank),
+        *[F.col(f"a.`{c}`") for c in df.columns], *[F.col(f"b.`{c}`") for c in more], (F.col("__n0") + F.col("__r")).cast("long").alias(rank),
         *([(F.col("__s0") + F.col("__b")).cast("long").alias(before)] if size else []),
     )
 

@@ -77,8 +77,7 @@ def mix(
     kept = [F.col(f"`{c}`") for c in sized.columns]
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_num, share_den, most, least)
     keyed = sized.withColumn("__key", order_key(key, seed=seed))
-    placed = ranked(keyed, ["source"], "__key", ["size", key], "__rank", "size", "__before")
-    both = placed.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
+    both = ranked(keyed, ["source"], "__key", ["size", key], "__rank", "size", "__before", sources)
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     rest = F.floor("target") - whole * F.col("source_size")
     taken = whole * F.col("size") + F.least(F.greatest(rest - F.col("__before"), F.lit(0)), F.col("size"))
