@@ -5,10 +5,14 @@ equal windows have equal anchors; windows whose anchor occurs once in all texts
 stretches around the other anchors are dealt out by anchor, and each task sorts the suffixes of its stretches in two
 stages: those smaller than their successors directly, the rest induced from them by one scan over the buckets of
 first bytes.  Adjacent common prefixes of ``span`` bytes then tell which windows are equal.
+
+An anchor with very many stretches is dealt to many tasks, which drop equal ones, and then lengthened by bytes to its
+left or right, which its windows must share to be equal, until it is rare or as long as a window.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -26,6 +30,9 @@ SPAN, RUN = 100, 32
 #: Bytes of stretches that are sorted together; stretches of one anchor stay together.
 SORT_BYTES = 2 << 20
 
+#: Stretches of one anchor beyond which it is lengthened, and the tasks that such an anchor is dealt to.
+HOT, SALTS = 16_384, 64
+
 #: Low bits that hold a position beside the high bits of its hash.
 PLACE = np.uint64((1 << 31) - 1)
 
@@ -33,12 +40,12 @@ PLACE = np.uint64((1 << 31) - 1)
 END = 0xFF
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: its hash, the text, and the first and last window's start in the text."""
+def anchored(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: its hash, the text, the first and last window's start in the text, and the anchor's start there."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < span:
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, none
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(_BASE, n), out=sums[1:])
     grams = mixed((sums[run:] - sums[:-run]) * powers(_UNBASE, n + 1)[: n - run + 1])
@@ -54,7 +61,32 @@ def anchored(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, run: int =
     text = np.searchsorted(offsets, at, "right") - 1
     cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]) if len(at) else none
     last = np.r_[cut[1:], len(at)] - 1 if len(at) else none
-    return grams[anchor[cut]], text[cut], at[cut] - offsets[text[cut]], at[last] - offsets[text[cut]]
+    base = offsets[text[cut]]
+    return grams[anchor[cut]], text[cut], at[cut] - base, at[last] - base, anchor[cut] - base
+
+
+def lengthened(data: np.ndarray, offsets: np.ndarray, f: np.ndarray, at: np.ndarray, slack: int, span: int = SPAN) -> tuple[np.ndarray, ...]:
+    """Stretches of longer anchors in place of those given: row, first and last byte's end, anchor's hash and its start in the stretch.
+
+    ``at``: where the anchor of ``span - slack`` bytes starts in each stretch.  Of a window's bytes beside the anchor, half
+    or more are on one side; so each stretch splits into windows that go on far enough to the left and the others,
+    which go on to the right: every window is in one of the two.
+    """
+    size, base = np.diff(offsets), offsets[:-1]
+    if slack == 0:
+        return np.arange(len(size)), np.zeros(len(size), np.int64), size, f, at
+    half, core = (slack + 1) // 2, span - slack
+    left = np.flatnonzero(at >= half)
+    begin = np.maximum(0, at - half + 1)
+    right = np.flatnonzero(begin <= size - span)
+    row = np.r_[left, right]
+    starts = np.r_[at[left] - half, at[right]]
+    seal = span_hashes(data, base[row] + starts, base[row] + starts + core + half)
+    side = np.repeat(np.array([1, 2], np.uint64), [len(left), len(right)])
+    key = mixed(seal + mixed(f[row].view(np.uint64) + side)).view(np.int64)
+    first = np.r_[np.zeros(len(left), np.int64), begin[right]]
+    last = np.r_[np.minimum(size[left], at[left] - half + span), size[right]]
+    return row, first, last, key, starts - first
 
 
 def _inside(offsets: np.ndarray, n: int, span: int) -> np.ndarray:
@@ -186,38 +218,67 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _anchors(span: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
-            f, text, lo, _ = anchored(data, offsets, span, run)
+            f, text, lo, _, _ = anchored(data, offsets, span, run)
             rid = batch.column("rid").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(rid[text]), pa.array(lo.astype(np.int32))], names=["f", "rid", "lo"])
 
     return go
 
 
-def _stretches(span: int, run: int):
+def binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def salted(rid: np.ndarray, hot: np.ndarray, salts: int) -> np.ndarray:
+    """A salt from 0 for stretches of hot anchors, -1 for others."""
+    return np.where(hot, (mixed(rid.view(np.uint64)) % np.uint64(salts)).astype(np.int32), np.int32(-1)).astype(np.int32)
+
+
+def _stretches(span: int, run: int, salts: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
-            f, text, lo, hi = anchored(data, offsets, span, run)
+            f, text, lo, hi, _ = anchored(data, offsets, span, run)
             chosen = batch.column("los")
             rows = np.repeat(np.arange(batch.num_rows), np.asarray(chosen.value_lengths()))
             wide = np.int64(1) << np.int64(32)
-            keep = np.isin(text * wide + lo, rows * wide + np.asarray(chosen.flatten()))
-            f, text, lo, hi = f[keep], text[keep], lo[keep], hi[keep]
+            mine, los = text * wide + lo, np.asarray(chosen.flatten()).astype(np.int64)
+            hot = np.isin(mine, rows[los < 0] * wide + ~los[los < 0])
+            keep = hot | np.isin(mine, rows[los >= 0] * wide + los[los >= 0])
+            f, text, lo, hi, hot = f[keep], text[keep], lo[keep], hi[keep], hot[keep]
             size = hi - lo + span
             cuts = np.r_[0, np.cumsum(size)]
             index = np.arange(cuts[-1]) + np.repeat(offsets[text] + lo - cuts[:-1], size)
-            seg = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data[index])])
-            rid = batch.column("rid").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), seg, pa.array(rid[text]), pa.array(lo.astype(np.int32))], names=["f", "seg", "rid", "lo"])
+            rid = batch.column("rid").to_numpy()[text]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(f.view(np.int64)), pa.array(salted(rid, hot, salts)), binaries(data[index], cuts), pa.array(rid), pa.array(lo.astype(np.int32))],
+                names=["f", "salt", "seg", "rid", "lo"],
+            )
 
     return go
 
 
-def _sorted_tasks(span: int, limit: int):
-    """Rows come sorted by anchor, stretch, text and place.  Equal stretches are adjacent: those after the first repeat it
-    wholly and stream past; the different ones are suffix-sorted together, all of an anchor at once."""
+def _sorted_tasks(span: int, run: int, limit: int, slack: int):
+    """Rows come sorted by anchor, salt, stretch, text and place.  Equal stretches are adjacent: those after the first repeat it
+    wholly and stream past.  The different ones of an anchor are suffix-sorted together; those of a hot one
+    (salt from 0) leave with longer anchors."""
+    names = ["rid", "s", "e", "f", "seg", "at"]
 
     def spans(rid, s, e):
-        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["rid", "s", "e"])
+        empty = [pa.nulls(len(rid), t) for t in (pa.int64(), pa.binary(), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), *empty], names=names)
+
+    def longer(data, offsets, f, at, rid, lo):
+        if at is None:
+            _, text, _, _, at = anchored(data, offsets, span, run)
+            at = at[np.searchsorted(text, np.arange(len(f)))]
+        row, first, last, key, at = lengthened(data, offsets, f, at, slack, span)
+        cuts = np.r_[0, np.cumsum(last - first)]
+        index = np.arange(cuts[-1]) + np.repeat(offsets[row] + first - cuts[:-1], last - first)
+        place = (lo[row] + first).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rid[row]), pa.array(place), pa.nulls(len(row), pa.int32()), pa.array(key), binaries(data[index], cuts), pa.array(at.astype(np.int32))],
+            names=names,
+        )
 
     def flush(parts):
         bytes_ = np.concatenate([p[0] for p in parts])
@@ -232,24 +293,30 @@ def _sorted_tasks(span: int, limit: int):
         yield spans(rid[which[cut]], lo[which[cut]] + offset[cut], lo[which[cut]] + offset[last] + span)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = (None, None)
+        before = (None, None, None)
         parts: list[tuple] = []
         held = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            f, rid, lo = (batch.column(c).to_numpy() for c in ("f", "rid", "lo"))
+            f, salt, rid, lo = (batch.column(c).to_numpy() for c in ("f", "salt", "rid", "lo"))
             col = batch.column("seg")
             offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
             data = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
             seal = span_hashes(data, offsets[:-1], offsets[1:])
-            again = np.r_[(f[0], seal[0]) == before, (f[1:] == f[:-1]) & (seal[1:] == seal[:-1])]
-            before = (f[-1], seal[-1])
+            again = np.r_[(f[0], salt[0], seal[0]) == before, (f[1:] == f[:-1]) & (salt[1:] == salt[:-1]) & (seal[1:] == seal[:-1])]
+            before = (f[-1], salt[-1], seal[-1])
             size = np.diff(offsets)
             if again.any():
                 yield spans(rid[again], lo[again], lo[again] + size[again])
-            new = np.flatnonzero(~again)
+            hot = np.flatnonzero(~again & (salt >= 0))
+            if len(hot):
+                cuts = np.r_[0, np.cumsum(size[hot])]
+                index = np.arange(cuts[-1]) + np.repeat(offsets[hot] - cuts[:-1], size[hot])
+                at = batch.column("at").to_numpy()[hot].astype(np.int64) if "at" in batch.schema.names else None
+                yield longer(data[index], cuts, f[hot], at, rid[hot], lo[hot])
+            new = np.flatnonzero(~again & (salt < 0))
             if not len(new):
                 continue
             # cut before the last anchor of the batch: it may go on in the next one
@@ -299,7 +366,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, run: int = RUN, limit: int = SORT_BYTES) -> DataFrame:
+def _often(rows: DataFrame, hot: int) -> DataFrame:
+    """Anchors that occur twice or more, and whether they are hot."""
+    return rows.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f", (F.col("c") > hot).alias("hot"))
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, run: int = RUN, limit: int = SORT_BYTES, hot: int = HOT, salts: int = SALTS) -> DataFrame:
     """A row for each row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256 and removed_spans (byte positions: start, end, ...).
 
     Removed is every byte that a string of ``span`` bytes covers which also starts earlier: in a text of a smaller
@@ -309,8 +381,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", spa
 
     Copies of whole texts are set aside first (all of a copy goes if it is long enough), so a group of
     copies of any size costs no sorting.  The different texts are written once, bucketed, and read back for each
-    step without a shuffle.  What a task sorts is bounded by ``limit`` or by the different stretches around one
-    anchor, if these are more.
+    step without a shuffle.  Stretches of an anchor with more than ``hot`` of them are dealt to ``salts`` tasks, which
+    remove those equal to one before in their share, and then to the tasks of longer anchors; after at most as many rounds
+    as halve ``span - run`` to 0, windows of one anchor are equal and a task has at most one from each share.
+    So a task holds at most ``limit`` bytes and the stretches of one anchor that is not hot.
     """
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -330,16 +404,27 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", spa
     texts = spark.table(name)
 
     anchors = texts.select("rid", "text").mapInArrow(_anchors(span, run), "f bigint, rid bigint, lo int")
-    from pyspark.sql import Window
-
-    often = anchors.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("f"))).where("c > 1")
-    wanted = settle(often.groupBy("rid").agg(F.collect_list("lo").alias("los")), "anchors")
+    often = settle(_often(anchors, hot), "often")
     release(spark)
-    wanted = wanted.join(classes.select("rid", "k"), "rid").select("k", "los")
-    around = texts.join(wanted, "k").select("rid", "text", "los").mapInArrow(_stretches(span, run), "f bigint, seg binary, rid bigint, lo int")
-    dealt = around.repartition("f").sortWithinPartitions("f", "seg", "rid", "lo")
-    spans = settle(dealt.mapInArrow(_sorted_tasks(span, limit), "rid bigint, s int, e int"), "spans")
+    lo = F.when(F.col("hot"), F.bitwise_not("lo")).otherwise(F.col("lo"))
+    wanted = settle(anchors.join(often, "f").groupBy("rid").agg(F.collect_list(lo).alias("los")), "anchors")
     release(spark)
+    wanted = wanted.join(classes.select("rid", "k"), "rid").select("k", "los")
+    salts, slack = min(salts, hot), span - run
+    around = texts.join(wanted, "k").select("rid", "text", "los").mapInArrow(_stretches(span, run, salts), "f bigint, salt int, seg binary, rid bigint, lo int")
+    found = []
+    while True:
+        dealt = around.repartition("f", "salt").sortWithinPartitions("f", "salt", "seg", "rid", "lo")
+        done = settle(dealt.mapInArrow(_sorted_tasks(span, run, limit, slack), "rid bigint, s int, e int, f bigint, seg binary, at int"), "spans")
+        release(spark)
+        found.append(done.where("f is null").select("rid", "s", "e"))
+        rest = done.where("f is not null").select("f", "seg", "rid", F.col("s").alias("lo"), "at")
+        if rest.isEmpty():
+            break
+        slack -= (slack + 1) // 2
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rid"), F.lit(salts))).otherwise(-1).cast("int").alias("salt")
+        around = rest.join(settle(_often(rest, hot), "often"), "f").select("f", salt, "seg", "rid", "lo", "at")
+    spans = functools.reduce(DataFrame.unionByName, found)
     lists = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(classes.select("rid", "k"), "rid").select("k", "spans")
     cut = texts.join(lists, "k").select("k", "text", "spans").mapInArrow(_cut, "k string, removed bigint, runs bigint, digest string, cuts array<int>")
     copy = F.col("own").isNull() & (F.col("n") >= span)

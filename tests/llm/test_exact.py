@@ -307,6 +307,23 @@ def test_repeated_spans(spark):
     assert again.count() == len(rows) + 1
 
 
+@pytest.mark.parametrize(("hot", "salts"), [(1, 1), (3, 2), (8, 64)])
+def test_repeated_spans_of_hot_anchors(spark, hot, salts):
+    """Passages of many lengths in many texts, with contexts that differ, agree on one side or repeat."""
+    rng = random.Random(hot)
+    passages = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (40, 70, 99, 100, 101, 130, 300)]
+    ends = ["".join(rng.choice("xyz") for _ in range(90)) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        own = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 120))) for _ in range(2)]
+        p = rng.choice(passages)
+        rows.append((i * 3, rng.choice([own[0], *ends]) + p + rng.choice([own[1], *ends]) + (p if rng.random() < 0.3 else "")))
+    rows += [(1, "a" * 700), (2, "ab" * 300), (4, "b" + "a" * 300)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), limit=3000, hot=hot, salts=salts)
+    found = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()]
+    assert sorted(found, key=str) == sorted(brute_removed(rows), key=str)
+
+
 def test_repeated_spans_empty(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
