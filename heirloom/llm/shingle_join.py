@@ -21,8 +21,8 @@ N, LEAST = 5, 0.8
 #: Trees of the forest, the depth at which their prefixes start, and the recall at which shortening stops.
 TREES, DEPTH, RECALL = 24, 6, 0.9999
 
-#: Texts of a candidate group that one task holds while the group streams by.
-BLOCK = 512
+#: Texts of a candidate group that one task holds, and how many times as many stream by it.
+BLOCK, STREAM = 512, 8
 
 #: Share of equal MinHash values below which a pair with the least similarity falls with probability under 1e-6.
 SURE = 0.63
@@ -176,7 +176,7 @@ class _Block:
 
 
 def _compared(least: float, exact: bool):
-    """Rows sorted by group and block, held texts (role 0) before all of the group (role 1): key, links of held texts, and edges."""
+    """Rows sorted by group, block and share, held texts (role 0) before those that stream by (role 1): key, links of held texts, and edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "links", "other"]
@@ -187,7 +187,8 @@ def _compared(least: float, exact: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(block.keys, pa.binary()), pa.array(block.links), pa.array([block.keys[block.root(i)] for i in range(len(block.keys))], pa.binary())], names=names)
 
         for batch in batches:
-            comp, b, role = batch.column("comp").to_pylist(), batch.column("b").to_pylist(), batch.column("role").to_pylist()
+            comp, role = batch.column("comp").to_pylist(), batch.column("role").to_pylist()
+            part = list(zip(comp, batch.column("b").to_pylist(), batch.column("s").to_pylist(), strict=True))
             keys, m = batch.column("key").to_pylist(), batch.column("m").to_pylist()
             if exact:
                 col = batch.column("value")
@@ -197,9 +198,9 @@ def _compared(least: float, exact: bool):
                 values = [np.frombuffer(v, np.uint16) for v in batch.column("value").to_pylist()]
             out_key, out_other = [], []
             for i in range(batch.num_rows):
-                if (comp[i], b[i]) != group:
+                if part[i] != group:
                     yield from closed()
-                    block, group, open_ = _Block(least, exact), (comp[i], b[i]), True
+                    block, group, open_ = _Block(least, exact), part[i], True
                 if role[i] == 0:
                     block.add([keys[i]], [m[i]], [values[i]])
                     continue
@@ -222,14 +223,17 @@ def _compared(least: float, exact: bool):
 def compare_groups(rows: DataFrame, least: float, exact: bool, block: int = BLOCK) -> DataFrame:
     """Compare all texts of each group: rows comp, key, m, value (shingles or signature) to key, links, other.
 
-    A group is cut into blocks; a task holds one block and the whole group streams by, so that
-    memory is bounded and links are counted and chained to a forest where they are found: pairs never become rows.
+    A group is cut into blocks and, otherwise, into shares of STREAM times that many texts.  For each block and
+    share a task holds the block while the share streams by, so that its rows and memory are bounded. Links are counted
+    and chained to a forest where they are found: pairs never become rows.
     """
-    sizes = rows.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    own = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
-    spread = rows.join(sizes, "comp").withColumn("__b", F.explode(F.concat(F.sequence(F.lit(0), F.col("nb") - 1), F.array(-1 - own))))
-    dealt = spread.select("comp", F.when(F.col("__b") < 0, -1 - F.col("__b")).otherwise(F.col("__b")).alias("b"), (F.col("__b") >= 0).cast("int").alias("role"), "key", "m", "value")
-    dealt = dealt.repartition("comp", "b").sortWithinPartitions("comp", "b", "role")
+    sizes = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("nc")).select("comp", *[F.ceil(F.col("nc") / n).cast("int").alias(c) for c, n in (("nb", block), ("ns", STREAM * block))])
+    own, share = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("ns")).cast("int")
+    cell = lambda role, b, s: F.struct(F.lit(role).alias("role"), b.alias("b"), s.alias("s"))
+    held = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: cell(0, own, s))
+    streamed = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: cell(1, b, share))
+    dealt = rows.join(sizes, "comp").withColumn("__c", F.explode(F.concat(held, streamed))).select("comp", "__c.b", "__c.s", "__c.role", "key", "m", "value")
+    dealt = dealt.repartition("comp", "b", "s").sortWithinPartitions("comp", "b", "s", "role")
     return dealt.mapInArrow(_compared(least, exact), "key binary, links bigint, other binary")
 
 
