@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from heirloom.llm.common import settle, without
 from heirloom.llm.components import components
 
-#: Home vectors of a cell that one task holds while the rest of the cell streams by.
-BLOCK = 2048
+#: Home vectors of a cell that one task holds, and how many times as many rows of the cell stream by it.
+BLOCK, STREAM = 2048, 4
 
 #: Vectors for each pivot, at least; and the pivots of all groups together, about, at most.
 PER_PIVOT, MOST_PIVOTS = 4096, 8192
@@ -96,9 +96,9 @@ def _cells(shared, eps: float):
 
 
 def _joined(least: float):
-    """Links within cells.  Rows come sorted by cell and block, the block's own homes (role 0) before all rows of the cell (role 1).
+    """Links within cells.  Rows come sorted by cell, block and share, the block's own homes (role 0) before the cell's rows in the share (role 1).
 
-    Emits for each block: key, links of every home (to homes and guests) and of guests to it, and edges that
+    Emits for each block and share: key, links of every home (to homes and guests) and of guests to it, and edges that
     connect what is linked: each linked row to one home, each home to the root of those it shares a row with.
     """
 
@@ -121,7 +121,7 @@ def _joined(least: float):
                 yield out(keys, state["links"], [keys[root(i)] for i in range(len(keys))])
 
         for batch in batches:
-            group = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cell", "b", "role")), strict=True))
+            group = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cell", "b", "s", "role")), strict=True))
             cuts = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if s == e:
@@ -175,8 +175,8 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vec
     reach, the row's own included.  A column named like an added one is replaced.
 
     Pivots cut each large label into cells; the triangle inequality says which vectors must be guests in other
-    cells; a cell joins in blocks of BLOCK home vectors against which the cell streams, so memory is bounded
-    whatever the cell holds.  Where distances concentrate (many dimensions, no clusters) most vectors
+    cells; a cell joins in blocks of BLOCK home vectors, against each of which the cell streams in shares of STREAM times that many
+    rows, so that rows and memory of a task are bounded whatever the cell holds.  Where distances concentrate (many dimensions, no clusters) most vectors
     are guests everywhere and the work is quadratic in a label: exactness leaves no other way.
     """
     base = without(df, ["n_links", "component_id", "kept"])
@@ -190,11 +190,15 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vec
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema) + ", cell int, home boolean"
     cells = fields.mapInArrow(_cells(shared, eps), schema)
     group = ["label", "dim", "cell"]
-    sizes = cells.where("home").groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    block = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
-    spread = cells.join(sizes, group).withColumn("__b", F.explode(F.concat(F.sequence(F.lit(0), F.col("nb") - 1), F.when(F.col("home"), F.array(-1 - block)).otherwise(F.array().cast("array<int>")))))
-    rows = spread.select("key", *group, "unit", "m", "home", F.when(F.col("__b") < 0, -1 - F.col("__b")).otherwise(F.col("__b")).alias("b"), (F.col("__b") >= 0).cast("int").alias("role"))
-    dealt = rows.repartition(*group, "b").sortWithinPartitions(*group, "b", "role")
+    counts = cells.groupBy(*group).agg(F.count_if("home").alias("nh"), F.count(F.lit(1)).alias("nc")).where("nh > 0")
+    sizes = counts.select(*group, F.ceil(F.col("nh") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("nc") / (STREAM * BLOCK)).cast("int").alias("ns"))
+    own, share = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("ns")).cast("int")
+    dealing = lambda role, b, s: F.struct(F.lit(role).alias("role"), b.alias("b"), s.alias("s"))
+    held = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: dealing(0, own, s))
+    streamed = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: dealing(1, b, share))
+    spread = cells.join(sizes, group).withColumn("__d", F.explode(F.concat(F.when(F.col("home"), held).otherwise(F.slice(held, 1, 0)), streamed)))
+    rows = spread.select("key", *group, "unit", "m", "home", "__d.b", "__d.s", "__d.role")
+    dealt = rows.repartition(*group, "b", "s").sortWithinPartitions(*group, "b", "s", "role")
     found = settle(dealt.mapInArrow(_joined(least), "key string, links bigint, other string"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     comps = components(found.where("key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))

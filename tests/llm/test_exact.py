@@ -203,6 +203,7 @@ def closure(n, links):
 def test_metric_join(spark, monkeypatch):
     monkeypatch.setattr(metric_join, "PER_PIVOT", 40)
     monkeypatch.setattr(metric_join, "BLOCK", 16)
+    monkeypatch.setattr(metric_join, "STREAM", 1)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 6))
     rows = []
@@ -230,7 +231,8 @@ def test_metric_join(spark, monkeypatch):
 # ---- near texts
 
 
-def test_near_texts(spark):
+def test_near_texts(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "STREAM", 1)
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(3000)]
     rows = []
