@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by similarity."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index of all words, and over the terms tied to the label; votes weighted by similarity."""
 
 from __future__ import annotations
 
@@ -30,6 +30,8 @@ PRIOR_VOTES = 0.5
 #: Log-likelihood ratio (G2) above which a term is tied to the label; of weaker ones, above the second, a few are kept so that small samples have terms.
 STRONG, WEAK, FEW = 25.0, 8.0, 32
 
+#: Words that more than one in COMMON_SHARE examples have are columns, not lists; texts that are scored together; least distance that a vote is divided by.
+COMMON_SHARE, TOGETHER, CLOSEST = 16, 32, 1e-6
 
 
 #: A-Z to a-z; runs of letters and of all beyond ASCII; what sets a beginning apart from the word that equals it.
@@ -55,13 +57,46 @@ CODES = _letter_codes()
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of every term: each word, and its first bytes in all lengths of PREFIXES that it has."""
     low, starts, ends, bounds = word_spans(data, offsets, CODES)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    hashes, owner = [span_hashes(low, starts, ends)], [text]
-    for n in PREFIXES:
-        long = ends - starts >= n
-        hashes.append(span_hashes(low, starts[long], starts[long] + n) ^ TAG)
-        owner.append(text[long])
-    return np.concatenate(hashes), np.concatenate(owner)
+    hashes, word = _of_words(low, starts, ends, span_hashes(low, starts, ends))
+    return hashes, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))[word]
+
+
+def _of_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and word of the terms of words that begin and end there and have the hashes ``whole``."""
+    long = [np.flatnonzero(ends - starts >= n) for n in PREFIXES]
+    word = np.concatenate(long)
+    begun = span_hashes(low, starts[word], starts[word] + np.repeat(PREFIXES, [len(x) for x in long])) ^ TAG
+    return np.concatenate([whole, begun]), np.concatenate([np.arange(len(whole)), word])
+
+
+class Read:
+    """A run of texts as counts: ``words``, the hashes of its distinct words, and of every text and word of it ``text`` (ascending), ``word`` (its place there) and ``n``."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.low, starts, ends, bounds = word_spans(data, offsets, CODES)
+        self.words, first, place = np.unique(span_hashes(self.low, starts, ends), return_index=True, return_inverse=True)
+        self.starts, self.ends = starts[first], ends[first]
+        many = max(1, len(self.words))
+        pair, self.n = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)) * many + place, return_counts=True)
+        self.text, self.word = pair // many, pair % many
+
+    def counted(self, order: np.ndarray, sorted_terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and count of every term of the vocabulary that occurs."""
+        if not len(sorted_terms):
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        hashes, word = _of_words(self.low, self.starts, self.ends, self.words)
+        at = np.minimum(np.searchsorted(sorted_terms, hashes), len(sorted_terms) - 1)
+        hit = np.flatnonzero(sorted_terms[at] == hashes)
+        hit = hit[np.argsort(word[hit], kind="stable")]
+        word, term = word[hit], order[at[hit]]
+        start = np.searchsorted(word, np.arange(len(self.words) + 1))
+        times = np.diff(start)[self.word]
+        own = np.flatnonzero(times)
+        times = times[own]
+        each = np.repeat(start[self.word[own]] - np.r_[0, np.cumsum(times)[:-1]] if len(own) else own, times) + np.arange(times.sum())
+        pair, place = np.unique(np.repeat(self.text[own], times) * len(sorted_terms) + term[each], return_inverse=True)
+        n = np.bincount(place, np.repeat(self.n[own], times), minlength=len(pair))
+        return pair // len(sorted_terms), pair % len(sorted_terms), n
 
 
 def term_hash(term: bytes) -> int:
@@ -71,6 +106,92 @@ def term_hash(term: bytes) -> int:
     return int(found ^ TAG if term[:1] == b"^" else found)
 
 
+class WordIndex:
+    """Postings of all words of all examples, for exact cosines over whole TF-IDF vectors.
+
+    A vector holds (1 + log tf) idf of every word; document frequencies count the examples, and a word that no
+    example has still counts in a text's length.  Words of many examples are dense columns, all others lists
+    of examples and weights.  No example is skipped: cosines to all are summed, then the nearest are taken.
+    """
+
+    def __init__(self, rows: np.ndarray, hashes: np.ndarray, tf: np.ndarray, n: int):
+        self.n, self.rows = n, None
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, int)
+        self.words, self.df = hashes[first], np.diff(np.r_[first, len(hashes)]).astype(np.int32)
+        fit = lambda v: v.astype(np.uint16 if v.max(initial=0) < 1 << 16 else np.uint32)[order]
+        self.posted = fit(rows), fit(tf)
+
+    def __getstate__(self):
+        """What weights follow from: ids and counts, compressed, as every executor keeps a copy on its disk."""
+        return self.n, self.words, self.df, [(v.dtype.str, v.nbytes, pa.compress(v.tobytes(), "zstd", asbytes=True)) for v in self.posted]
+
+    def __setstate__(self, state):
+        self.n, self.words, self.df, posted = state
+        self.posted, self.rows = tuple(np.frombuffer(pa.decompress(v, size, "zstd", asbytes=True), kind) for kind, size, v in posted), None
+
+    def weigh(self) -> None:
+        """Weights of all postings; done where they are used."""
+        n, df, (rows, tf) = self.n, self.df, self.posted
+        self.idf, self.new = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32), float(np.log(1 + n) + 1)
+        w = (1 + np.log(tf, dtype=np.float32)) * np.repeat(self.idf, df)
+        w /= np.sqrt(np.bincount(rows, w * w, minlength=n)).astype(np.float32)[rows]
+        many = df.astype(int) * COMMON_SHARE > n
+        self.column = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+        common = np.repeat(many, df)
+        self.dense = np.zeros((n, int(many.sum())), np.float32)
+        self.dense[rows[common], np.repeat(self.column, df)[common]] = w[common]
+        self.rows, self.weights = rows[~common].astype(np.int32), w[~common]
+        self.start = np.r_[0, np.cumsum(np.where(many, 0, df))]
+        self.posted = None
+
+    def nearest(self, texts: int, found: np.ndarray, text: np.ndarray, word: np.ndarray, tf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples of each of ``texts`` texts, given as in ``Read``; ties by place, 0 where there is none."""
+        places, sims = np.zeros((texts, k), np.int64), np.zeros((texts, k))
+        if not self.n or not len(self.words) or not len(found):
+            return places, sims
+        if self.rows is None:
+            self.weigh()
+        at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
+        known = self.words[at] == found
+        w = (1 + np.log(tf)) * np.where(known, self.idf[at], self.new)[word]
+        w /= np.sqrt(np.bincount(text, w * w, minlength=texts))[text]
+        hit = known[word]
+        text, word, w = text[hit], at[word[hit]], w[hit]
+        bounds = np.searchsorted(text, np.arange(texts + 1))
+        column = self.column[word]
+        blocks = -(-self.n // BLOCK)
+        for lo in range(0, texts, TOGETHER):
+            hi = min(lo + TOGETHER, texts)
+            part = slice(bounds[lo], bounds[hi])
+            thick = column[part] >= 0
+            q = np.zeros((hi - lo, self.dense.shape[1]))
+            q[text[part][thick] - lo, column[part][thick]] = w[part][thick]
+            rough = q.astype(np.float32) @ self.dense.T
+            for i in range(lo, hi):
+                own = np.arange(bounds[i], bounds[i + 1])
+                own = own[column[own] < 0]
+                from_, to = self.start[word[own]], self.start[word[own] + 1]
+                spans = [slice(a, b) for a, b in zip(from_.tolist(), to.tolist(), strict=True)]
+                total = rough[i - lo].astype(np.float64)
+                rare = 0.0
+                if spans:
+                    rare = np.bincount(np.concatenate([self.rows[x] for x in spans]), np.concatenate([self.weights[x] for x in spans]) * np.repeat(w[own], to - from_), minlength=self.n)
+                    total += rare
+                # the k-th of the blocks' maxima is a bound on the k-th nearest; what reaches it is summed again in full precision
+                top = np.maximum.reduceat(total, np.arange(0, self.n, BLOCK))
+                least = np.partition(top, blocks - k)[blocks - k] - 1e-5 if blocks > k else 0.0
+                cand = np.flatnonzero((total >= least) & (total > 0))
+                if len(cand) > 4 * k:
+                    cand = cand[total[cand] >= np.partition(total[cand], len(cand) - k)[len(cand) - k] - 1e-5]
+                exact = (self.dense[cand] * q[i - lo]).sum(1) + (rare[cand] if spans else 0.0)
+                exact = np.rint(np.clip(exact, 0, 1) * ONE) / ONE
+                best = np.lexsort((cand, -exact))[:k]
+                places[i, : len(best)], sims[i, : len(best)] = cand[best], exact[best]
+        return places, sims
+
+
 class ExampleIndex:
     """Examples in blocks of like vectors, and for each term its largest weight in each block.
 
@@ -87,10 +208,14 @@ class ExampleIndex:
         self.rate = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
         bare = norm == 0
         self.bare_rate = float((y[bare].sum() + self.rate * PRIOR_VOTES) / (bare.sum() + PRIOR_VOTES))
+        self.all_ids, self.all_y, self.words = ids, y, None
         live = np.flatnonzero(~bare)
         rarest = w[live].argmax(1) if len(live) else live
         live = live[np.lexsort((live, norm[live], rarest))]
         self.ids, self.y = [ids[i] for i in live], y[live]
+        # of every example its place among those with terms, else the one after them
+        self.place = np.full(len(ids), len(live))
+        self.place[live] = np.arange(len(live))
         # postings by block: the block's rows of every term side by side
         self.weights = w[live] / norm[live, None]
         cuts = np.arange(0, len(live), block)
@@ -120,31 +245,37 @@ class ExampleIndex:
             best[go] = top[:, ::-1]
         return FULL - (best & FULL), (best >> 24) / ONE
 
-    def judge(self, rows: int, r: np.ndarray, c: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, list[list[str]]]:
-        """Score of each of ``rows`` texts, given as text, term and count, and as evidence ``id:label:cosine`` of the nearest five."""
+    def judge(self, rows: int, r: np.ndarray, c: np.ndarray, tf: np.ndarray, read: Read) -> tuple[np.ndarray, list[list[str]]]:
+        """Score of each of ``rows`` texts and as evidence ``id:label:cosine`` of the five nearest by whole vectors.
+
+        Texts are given as text, term and count, and as counts of words.  Two groups of neighbours vote: the nearest
+        by the selected terms with those cosines, and the nearest by all words with m * m / (1 - m), m being the lesser of both cosines, so
+        that a copy outweighs the others while one that lacks the telling terms doesn't.
+        """
         q = np.zeros((rows, len(self.idf)))
         q[r, c] = (1 + np.log(tf)) * self.idf[c]
         norm = np.sqrt((q * q).sum(1))
-        score, why = np.full(rows, self.bare_rate), [[] for _ in range(rows)]
+        prior, yes, mass = np.full(rows, self.bare_rate), np.zeros(rows), np.zeros(rows)
+        q[norm > 0] /= norm[norm > 0, None]
         have = np.flatnonzero(norm > 0)
         if len(have) and len(self.y):
-            at, sims = self.neighbours(q[have] / norm[have, None])
+            at, sims = self.neighbours(q[have])
             votes = np.where(sims > 0, self.y[np.minimum(at, len(self.y) - 1)], 0)
-            score[have] = ((sims * votes).sum(1) + PRIOR_VOTES * self.rate) / (sims.sum(1) + PRIOR_VOTES)
-            for i, a, s in zip(have, at[:, :5], sims[:, :5], strict=True):
-                why[i] = [f"{self.ids[x]}:{int(self.y[x])}:{v:.4f}" for x, v in zip(a, s, strict=True) if v > 0]
-        return score, why
-
-
-def _counted(data, offsets, order, sorted_terms):
-    """Text, term and count of every term of the vocabulary that occurs."""
-    if not len(sorted_terms):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    hashes, text = _terms(data, offsets)
-    at = np.minimum(np.searchsorted(sorted_terms, hashes), len(sorted_terms) - 1)
-    hit = np.flatnonzero(sorted_terms[at] == hashes)
-    pair, n = np.unique(text[hit] * len(sorted_terms) + order[at[hit]], return_counts=True)
-    return pair // len(sorted_terms), pair % len(sorted_terms), n.astype(float)
+            prior[have], yes[have], mass[have] = self.rate, (sims * votes).sum(1), sims.sum(1)
+        why: list[list[str]] = [[] for _ in range(rows)]
+        if self.words is not None and len(self.all_y):
+            at, sims = self.words.nearest(rows, read.words, read.text, read.word, read.n, self.k)
+            place = self.place[at]
+            both = np.zeros(at.shape)
+            if len(self.y):
+                both = np.clip(np.einsum("rt,rkt->rk", q, self.weights[np.minimum(place, len(self.y) - 1)]), 0, 1)
+            both = np.where(place == len(self.y), (norm == 0)[:, None], both)
+            m = np.minimum(sims, both)
+            w = m * m / np.maximum(1 - m, CLOSEST)
+            yes, mass = yes + (w * self.all_y[at]).sum(1), mass + w.sum(1)
+            for i, (a, v) in enumerate(zip(at[:, :5].tolist(), sims[:, :5].tolist(), strict=True)):
+                why[i] = [f"{self.all_ids[x]}:{int(self.all_y[x])}:{c:.4f}" for x, c in zip(a, v, strict=True) if c > 0]
+        return (yes + PRIOR_VOTES * prior) / (mass + PRIOR_VOTES), why
 
 
 def written_terms(text: str) -> set[bytes]:
@@ -206,34 +337,43 @@ def build_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
-            r, c, n = _counted(data, offsets, order, sorted_terms)
+            read = Read(data, offsets)
+            r, c, n = read.counted(order, sorted_terms)
             cut = np.searchsorted(r, np.arange(batch.num_rows + 1))
             lists = lambda v, t: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, t))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), lists(c, pa.int32()), lists(n, pa.float64())], names=["k", "y", "c", "n"])
+            ends = np.searchsorted(read.text, np.arange(batch.num_rows + 1)).tolist()
+            packed = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), lists(c, pa.int32()), lists(n, pa.float64()), packed(read.words[read.word]), packed(read.n.astype(np.uint32))], names=["k", "y", "c", "n", "words", "tf"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros(len(terms), np.int64), 0
         for batch, data, offsets in chunks(batches, text):
-            seen += np.bincount(_counted(data, offsets, order, sorted_terms)[1], minlength=len(terms))
+            seen += np.bincount(Read(data, offsets).counted(order, sorted_terms)[1], minlength=len(terms))
             rows += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms)), pa.int32()), pa.array(np.r_[rows, seen])], names=["c", "n"])
 
-    found = examples.mapInArrow(vectors, f"k {kind}, y int, c array<int>, n array<double>").collect()
+    found = list(settle(examples.mapInArrow(vectors, f"k {kind}, y int, c array<int>, n array<double>, words binary, tf binary"), "vectors").toLocalIterator())
     df = {r["c"]: r["n"] for r in docs.select(text).mapInArrow(frequencies, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], float))) + 1
-    found.sort(key=lambda r: (r["k"], r["c"], r["n"]))
+    found.sort(key=lambda r: (r["k"], r["c"], r["n"], r["words"], r["tf"]))
     rows = np.repeat(np.arange(len(found)), [len(r["c"]) for r in found])
     cols = np.array([c for r in found for c in r["c"]], int)
     tf = np.array([n for r in found for n in r["n"]], float)
-    return ExampleIndex(hashes, idf, [r["k"] for r in found], np.array([r["y"] for r in found], float), rows, cols, tf, k)
+    index = ExampleIndex(hashes, idf, [r["k"] for r in found], np.array([r["y"] for r in found], float), rows, cols, tf, k)
+    owner = np.repeat(np.arange(len(found)), [len(r["words"]) // 8 for r in found])
+    words, counts = (np.frombuffer(b"".join(r[c] for r in found), t) for c, t in (("words", np.uint64), ("tf", np.uint32)))
+    number = len(found)
+    del found
+    index.words = WordIndex(owner, words, counts, number)
+    return index
 
 
 def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Add score, predicted (1 if score >= threshold) and evidence (``id:label:cosine`` of the nearest examples) to every row.
 
-    A vector holds (1 + log tf) idf of the vocabulary's terms; the votes of the nearest examples
-    are weighted by their cosines and shrunk by the share of label 1.  A text without such terms, null and empty
-    ones too, gets the share of label 1 among examples without any.  Rows may repeat; no row gives no row.  A
+    A vector holds (1 + log tf) idf, once of the vocabulary's terms and once of all words; the votes of the nearest examples
+    by either are weighted by their cosines (see ``ExampleIndex.judge``) and shrunk by the share of label 1.  A text without such terms, null and empty
+    ones too, starts from the share of label 1 among examples without any.  Rows may repeat; no row gives no row.  A
     column named like an added one is replaced.
     """
     base = without(docs, ["score", "predicted", "evidence"])
@@ -242,8 +382,9 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", thr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch, data, offsets in chunks(batches, text):
-            r, c, n = _counted(data, offsets, own.order, own.sorted_terms)
-            s, why = own.judge(batch.num_rows, r, c, n)
+            read = Read(data, offsets)
+            r, c, n = read.counted(own.order, own.sorted_terms)
+            s, why = own.judge(batch.num_rows, r, c, n, read)
             yield with_columns(batch, score=pa.array(s, pa.float64()), predicted=pa.array((s >= threshold).astype(np.int32)), evidence=pa.array(why, pa.list_(pa.string())))
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.StringType()))]

@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy and exact neighbours, and the pipeline's stages."""
 
+import pickle
 import random
 
 import numpy as np
@@ -58,6 +59,42 @@ def test_neighbours_are_exact():
     assert np.allclose(index.neighbours(q)[1], np.maximum(sims, 0), atol=1e-9)
 
 
+def test_word_neighbours_are_exact():
+    rng = np.random.default_rng(7)
+    n, t, k = 700, 60, 9
+    often = rng.uniform(0, 0.3, t) ** 2
+    tf, q = (np.where(rng.random((m, t)) < often, rng.integers(1, 5, (m, t)), 0) for m in (n, 80))
+    tf[:, -1] = 0
+    rows, cols = np.nonzero(tf)
+    name = rng.permutation(1000)[:t].astype(np.uint64)
+    index = toxicity.WordIndex(rows, name[cols], tf[rows, cols], n)
+    index = pickle.loads(pickle.dumps(index))
+    idf = np.log((1 + n) / (1 + (tf > 0).sum(0))) + 1
+    unit = lambda x: (v := np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * idf) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    places, sims = index.nearest(len(q), name, *np.nonzero(q), q[q > 0], k)
+    all_sims = unit(q) @ unit(tf).T
+    assert 0 < index.dense.shape[1] < t and len(index.rows)
+    assert np.allclose(sims, np.sort(all_sims, axis=1)[:, ::-1][:, :k], atol=1e-6)
+    assert np.allclose(np.take_along_axis(all_sims, places, 1)[sims > 0], sims[sims > 0], atol=1e-6)
+
+
+def test_copies_find_their_example(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    common = [word() for _ in range(40)]
+    texts = {i: " ".join(rng.sample(common, 12) + [word() for _ in range(12)] + ["vile"] * (i % 4 == 0 and i != 8)) for i in range(60)}
+    assert "vile" not in texts[8]  # labelled toxic, with words of its own only
+    docs = [*texts.items(), (100, texts[8]), (101, texts[9]), (102, texts[8].replace(texts[8].split()[-1], "another")), (103, "4 5 6"), (104, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in texts], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, toxicity.build_index(docs, labels)).collect()}
+    assert got[100]["evidence"][0] == "8:1:1.0000" and got[100]["predicted"] == 1
+    assert got[101]["evidence"][0] == "9:0:1.0000" and got[101]["predicted"] == 0
+    other, label, cosine = got[102]["evidence"][0].split(":")
+    assert (other, label) == ("8", "1") and 0.8 < float(cosine) < 1
+    assert got[103]["evidence"] == got[104]["evidence"] == []
+
+
 def test_terms_hash_alike():
     rng = random.Random(2)
     text = "".join(rng.choice("abcXYZé1 -\n") for _ in range(2000))
