@@ -29,3 +29,21 @@ def test_sql(spark, name):
 def test_all_ten():
     assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
     assert set(SQL) <= set(QUERIES)
+
+
+def test_preferences_with_shared_openings(spark, tmp_path):
+    turns = [
+        (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "long"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "less"), (2, 3, "assistant", "short"),
+        (3, 0, "user", "r"), (3, 1, "assistant", "x"), (4, 0, "user", "r"), (4, 1, "assistant", "y"), (5, 0, "user", "s"), (5, 1, "assistant", "z"), (6, 0, "user", "t"), (6, 1, "assistant", "same"), (7, 0, "user", "t"), (7, 1, "assistant", "same"),
+    ]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    df = QUERIES["op9_preference_format"](spark, str(tmp_path))
+    got = df.collect()
+    cols = sorted(df.columns)
+    quoted = ", ".join(f'"{c}"' for c in cols)
+    assert rows(map(tuple, df.select(*cols).collect())) == rows(con.sql(f"SELECT {quoted} FROM ({SQL['op9_preference_format']})").fetchall())
+    assert sorted(r["status"] for r in got) == ["identical", "pair", "pair", "single"]
+    assert sorted(r["n_common"] for r in got if r["status"] == "pair") == [1, 2]
+    assert all(r["chosen_loss"] and r["rejected_loss"] and r["chosen"] != r["rejected"] for r in got if r["status"] == "pair")
