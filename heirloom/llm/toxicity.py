@@ -207,7 +207,7 @@ class ExampleIndex:
         norm = np.sqrt((w * w).sum(1))
         self.rate = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
         bare = norm == 0
-        self.bare_rate = float((y[bare].sum() + self.rate * PRIOR_VOTES) / (bare.sum() + PRIOR_VOTES))
+        self.bare_rate = float((y[bare].sum() + self.rate * PRIOR_VOTES) / (bare.sum() + PRIOR_VOTES)) if len(y) else 0.0
         self.all_ids, self.all_y, self.words = ids, y, None
         live = np.flatnonzero(~bare)
         rarest = w[live].argmax(1) if len(live) else live
@@ -373,7 +373,7 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", thr
 
     A vector holds (1 + log tf) idf, once of the vocabulary's terms and once of all words; the votes of the nearest examples
     by either are weighted by their cosines (see ``ExampleIndex.judge``) and shrunk by the share of label 1.  A text without such terms, null and empty
-    ones too, starts from the share of label 1 among examples without any.  Rows may repeat; no row gives no row.  A
+    ones too, starts from the share of label 1 among examples without any.  Without examples nothing is known to be toxic: every score is 0.  Rows may repeat; no row gives no row.  A
     column named like an added one is replaced.
     """
     base = without(docs, ["score", "predicted", "evidence"])

@@ -45,6 +45,20 @@ def test_odd_rows(spark):
     assert toxicity.build_index(docs, labels.limit(0)).rate == 0.5
 
 
+def test_no_examples(spark):
+    docs = spark.createDataFrame([(1, "idiot idiot"), (2, None), (3, "fine words"), (3, "fine words")], "doc_id long, text string")
+    none, strange = (spark.createDataFrame(x, "doc_id long, toxic int") for x in ([], [(77, 1), (None, 1), (1, None)]))
+    for labels in (none, strange):
+        judged = toxicity.score_toxicity(docs, toxicity.build_index(docs, labels)).collect()
+        assert len(judged) == 4 and all(r["predicted"] == 0 and r["score"] == 0 and r["evidence"] == [] for r in judged)
+
+
+def test_stage_keeps_all_without_examples(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "idiot idiot"), (2, None), (3, "fine words"), (3, "fine words")], "doc_id long, text string")
+    assert sorted(map(str, corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(5)
     n, t, k = 500, 40, 7
