@@ -31,7 +31,7 @@ PRIOR_VOTES = 0.5
 STRONG, WEAK, FEW = 25.0, 8.0, 32
 
 #: Words that more than one in COMMON_SHARE examples have are columns, not lists; texts that are scored together; least distance that a vote is divided by.
-COMMON_SHARE, TOGETHER, CLOSEST = 16, 32, 1e-6
+COMMON_SHARE, TOGETHER, CLOSEST = 6, 32, 1e-6
 
 
 #: A-Z to a-z; runs of letters and of all beyond ASCII; what sets a beginning apart from the word that equals it.
@@ -114,6 +114,8 @@ class WordIndex:
     of examples and weights.  No example is skipped: cosines to all are summed, then the nearest are taken.
     """
 
+    held: WordIndex | None = None
+
     def __init__(self, rows: np.ndarray, hashes: np.ndarray, tf: np.ndarray, n: int):
         self.n, self.rows = n, None
         order = np.argsort(hashes, kind="stable")
@@ -121,30 +123,37 @@ class WordIndex:
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, int)
         self.words, self.df = hashes[first], np.diff(np.r_[first, len(hashes)]).astype(np.int32)
         fit = lambda v: v.astype(np.uint16 if v.max(initial=0) < 1 << 16 else np.uint32)[order]
-        self.posted = fit(rows), fit(tf)
+        self.posted = [(v.dtype.str, v.nbytes, pa.compress(v.tobytes(), "zstd", asbytes=True)) for v in (fit(rows), fit(tf))]
 
     def __getstate__(self):
         """What weights follow from: ids and counts, compressed, as every executor keeps a copy on its disk."""
-        return self.n, self.words, self.df, [(v.dtype.str, v.nbytes, pa.compress(v.tobytes(), "zstd", asbytes=True)) for v in self.posted]
+        return self.n, self.words, self.df, self.posted
 
     def __setstate__(self, state):
-        self.n, self.words, self.df, posted = state
-        self.posted, self.rows = tuple(np.frombuffer(pa.decompress(v, size, "zstd", asbytes=True), kind) for kind, size, v in posted), None
+        (self.n, self.words, self.df, self.posted), self.rows = state, None
 
     def weigh(self) -> None:
-        """Weights of all postings; done where they are used."""
-        n, df, (rows, tf) = self.n, self.df, self.posted
+        """Weights of all postings; done where they are used.  Of the indexes of a process only the last one used holds them."""
+        if WordIndex.held is not None:
+            WordIndex.held.rows = WordIndex.held.weights = WordIndex.held.dense = None
+        WordIndex.held = self
+        n, df = self.n, self.df
+        rows, tf = (np.frombuffer(pa.decompress(v, size, "zstd", asbytes=True), kind) for kind, size, v in self.posted)
         self.idf, self.new = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32), float(np.log(1 + n) + 1)
         w = (1 + np.log(tf, dtype=np.float32)) * np.repeat(self.idf, df)
-        w /= np.sqrt(np.bincount(rows, w * w, minlength=n)).astype(np.float32)[rows]
+        del tf
+        norm = np.zeros(n)
+        for at in range(0, len(w), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            norm += np.bincount(rows[part], w[part] * w[part], minlength=n)
+        w /= np.sqrt(norm).astype(np.float32)[rows]
         many = df.astype(int) * COMMON_SHARE > n
         self.column = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
         common = np.repeat(many, df)
         self.dense = np.zeros((n, int(many.sum())), np.float32)
         self.dense[rows[common], np.repeat(self.column, df)[common]] = w[common]
-        self.rows, self.weights = rows[~common].astype(np.int32), w[~common]
+        self.rows, self.weights = rows[~common], w[~common]
         self.start = np.r_[0, np.cumsum(np.where(many, 0, df))]
-        self.posted = None
 
     def nearest(self, texts: int, found: np.ndarray, text: np.ndarray, word: np.ndarray, tf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples of each of ``texts`` texts, given as in ``Read``; ties by place, 0 where there is none."""

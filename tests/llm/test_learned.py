@@ -76,7 +76,7 @@ def test_neighbours_are_exact():
 def test_word_neighbours_are_exact():
     rng = np.random.default_rng(7)
     n, t, k = 700, 60, 9
-    often = rng.uniform(0, 0.3, t) ** 2
+    often = rng.uniform(0, 0.6, t) ** 2
     tf, q = (np.where(rng.random((m, t)) < often, rng.integers(1, 5, (m, t)), 0) for m in (n, 80))
     tf[:, -1] = 0
     rows, cols = np.nonzero(tf)
