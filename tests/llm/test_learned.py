@@ -35,6 +35,16 @@ def test_held_out(spark, name, label, least):
     assert got.count() == table(spark, SF, "documents").count()
 
 
+def test_toxic_recall_and_false_hits(spark):
+    got = QUERIES["op2_nearest_toxic"](spark, "/root/testdata/sf0.1").where("held_out").join(table(spark, "/root/testdata/sf0.1", "labels").where("toxic is not null"), "doc_id")
+    rows = got.select("doc_id", "toxic", "predicted", "evidence").collect()
+    toxic, clean = ([r for r in rows if r["toxic"] == y] for y in (1, 0))
+    assert len(toxic) == 120 and np.mean([r["predicted"] for r in toxic]) >= 0.88
+    assert len(clean) == 870 and np.mean([r["predicted"] for r in clean]) <= 0.005
+    copy = next(r for r in rows if r["doc_id"] == 8847)  # byte for byte a labelled example without telling words
+    assert copy["evidence"][0] == "8959:1:1.0000" and copy["predicted"] == 1
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "idiot idiot", 9), (2, None, 9), (2, "", 9), (None, "fine words", 9), (3, "x" * 100_000, 9)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 1, None), (None, 1, 1), (77, 1, 0)], "doc_id long, quality int, toxic int")
