@@ -225,7 +225,7 @@ class ExampleIndex:
         # of every example its place among those with terms, else the one after them
         self.place = np.full(len(ids), len(live))
         self.place[live] = np.arange(len(live))
-        # postings by block: the block's rows of every term side by side
+        # a dense matrix, scanned by block; postings are in WordIndex
         self.weights = w[live] / norm[live, None]
         cuts = np.arange(0, len(live), block)
         self.top = np.maximum.reduceat(self.weights, cuts, axis=0) if len(live) else np.zeros((0, len(terms)))
