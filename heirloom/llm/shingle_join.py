@@ -1,4 +1,4 @@
-"""Near-duplicate texts: n-gram Jaccard join through a MinHash LSH forest, verified exactly."""
+"""Near-duplicate texts: n-gram Jaccard join through MinHash bands, verified exactly."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from heirloom.llm.components import components
 #: Words of a shingle; least Jaccard similarity of a link.
 N, LEAST = 5, 0.8
 
-#: Trees of the forest, the depth at which their prefixes start, and the recall at which shortening stops.
+#: Bands, the MinHash values of each, and the recall that the prefix of a band by which texts meet must have.
 TREES, DEPTH, RECALL = 24, 6, 0.9999
 
 #: Texts of a candidate group that one task holds, and how many times as many stream by it.
@@ -81,7 +81,7 @@ def binary(rows: np.ndarray) -> pa.Array:
 
 
 def prefix_depth(trees: int, depth: int, recall: float, least: float) -> int:
-    """The forest's matched prefixes, shortened from ``depth`` until a pair of the least similarity meets in one of the trees with probability ``recall``."""
+    """Length of the bands' matched prefixes: the longest, ``depth`` at most, with which a pair of the least similarity meets in one of ``trees`` bands with probability ``recall``."""
     while depth > 1 and 1 - (1 - least**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -248,8 +248,8 @@ def near_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     unless there is no other), and kept tells whether the row's key is that one.  Repeated rows link with each other.
     No row gives no row.
 
-    Steps: MinHash signatures; a forest of ``trees`` sorted prefix tries, whose prefixes are shortened from
-    ``depth`` until a pair of similarity ``least`` shares one with probability ``recall``; texts that share a prefix
+    Steps: MinHash signatures; ``trees`` bands of ``depth`` values, matched by a prefix of fixed length with
+    which a pair of similarity ``least`` shares one with probability ``recall``; texts that share a prefix
     are chained to groups; groups are split where signatures say that no link can cross (share of equal values under
     a bound that pairs with a link miss with probability under 1e-6); and all pairs of what is left are verified
     on their whole shingle sets.
