@@ -1,9 +1,7 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index of all words, and over the terms tied to the label; votes weighted by similarity."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated out of fold."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,36 +13,34 @@ from pyspark.sql import types as T
 from heirloom.llm.common import appended, chunks, crc_text, settle, span_hashes, with_columns, without, word_spans
 from heirloom.llm.quality import training_rows
 
-#: Labelled examples, at most: those with the smallest hashes of their ids.  Terms that vectors are made of, at most.
-MOST_EXAMPLES, MOST_TERMS = 20_000, 256
+#: The sample that the classifier is fitted on: labelled documents, at most, those with the smallest hashes of their ids, and terms of them all
+#: together, at most (a document beyond is left out of the sample whole, never cut).
+MOST_EXAMPLES, MOST_POSTINGS = 10_000, 12_000_000
 
-#: Lengths in bytes of the word beginnings that are terms beside whole words; common words that join the terms.
-PREFIXES, COMMON = (4, 5, 6, 7, 8), 30
+#: Bytes of a word's beginning that is a term beside the word.
+BEGINNING = 5
 
-#: Neighbours that vote: one for each PER_NEIGHBOUR examples of label 1, within these bounds; examples in a block of the index.
-NEIGHBOURS, PER_NEIGHBOUR, BLOCK = (5, 25), 12, 64
+#: Neighbours that vote; examples in a block of the index; texts that are scored together.
+NEIGHBOURS, BLOCK, TOGETHER = 10, 64, 128
 
-#: Votes that the share of label 1 among all examples has beside the neighbours'.
-PRIOR_VOTES = 0.5
+#: Terms that more than one in COMMON_SHARE examples have are bounded by block before they are summed; least distance that a vote is divided by.
+COMMON_SHARE, CLOSEST = 48, 1e-4
 
-#: Log-likelihood ratio (G2) above which a term is tied to the label; of weaker ones, above the second, a few are kept so that small samples have terms.
-STRONG, WEAK, FEW = 25.0, 8.0, 32
+#: Documents of the other label that count beside those seen in a term's relevance; its power.
+DOUBT, POWER = 5.0, 2
 
-#: Words that more than one in COMMON_SHARE examples have are columns, not lists; texts that are scored together; least distance that a vote is divided by.
-COMMON_SHARE, TOGETHER, CLOSEST = 16, 32, 1e-6
+#: Folds of the calibration, and points of the line "the share is the vote" that it starts from.
+FOLDS, LINE = 5, 11
 
+#: A cosine of 1 in 20 bits, and the largest place that is carried below it.
+ONE, FULL = float(1 << 20), (1 << 24) - 1
 
-#: A-Z to a-z; runs of letters and of all beyond ASCII; what sets a beginning apart from the word that equals it.
-LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
-WORDS = re.compile(rb"[a-z\x80-\xff]+")
+#: What sets a beginning apart from the word that equals it.
 TAG = np.uint64(0x5851F42D4C957F2D)
 
-#: A cosine of 1 in 38 bits, and the largest place that is carried below it.
-ONE, FULL = float(1 << 38), (1 << 24) - 1
-
 
 def _letter_codes() -> np.ndarray:
-    """Of each byte: 0 outside terms, else itself with A-Z lower-cased; terms hold letters and all beyond ASCII."""
+    """Of each byte: 0 outside words, else itself with A-Z lower-cased; words hold letters and all beyond ASCII."""
     code = np.zeros(256, np.uint8)
     code[0x61:0x7B], code[0x41:0x5B] = np.arange(0x61, 0x7B), np.arange(0x61, 0x7B)
     code[0x80:] = np.arange(0x80, 0x100)
@@ -54,336 +50,264 @@ def _letter_codes() -> np.ndarray:
 CODES = _letter_codes()
 
 
-def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of every term: each word, and its first bytes in all lengths of PREFIXES that it has."""
-    low, starts, ends, bounds = word_spans(data, offsets, CODES)
-    hashes, word = _of_words(low, starts, ends, span_hashes(low, starts, ends))
-    return hashes, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))[word]
-
-
-def _of_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and word of the terms of words that begin and end there and have the hashes ``whole``."""
-    long = [np.flatnonzero(ends - starts >= n) for n in PREFIXES]
-    word = np.concatenate(long)
-    begun = span_hashes(low, starts[word], starts[word] + np.repeat(PREFIXES, [len(x) for x in long])) ^ TAG
-    return np.concatenate([whole, begun]), np.concatenate([np.arange(len(whole)), word])
-
-
-class Read:
-    """A run of texts as counts: ``words``, the hashes of its distinct words, and of every text and word of it ``text`` (ascending), ``word`` (its place there) and ``n``."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.low, starts, ends, bounds = word_spans(data, offsets, CODES)
-        self.words, first, place = np.unique(span_hashes(self.low, starts, ends), return_index=True, return_inverse=True)
-        self.starts, self.ends = starts[first], ends[first]
-        many = max(1, len(self.words))
-        pair, self.n = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)) * many + place, return_counts=True)
-        self.text, self.word = pair // many, pair % many
-
-    def counted(self, order: np.ndarray, sorted_terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, term and count of every term of the vocabulary that occurs."""
-        if not len(sorted_terms):
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        hashes, word = _of_words(self.low, self.starts, self.ends, self.words)
-        at = np.minimum(np.searchsorted(sorted_terms, hashes), len(sorted_terms) - 1)
-        hit = np.flatnonzero(sorted_terms[at] == hashes)
-        hit = hit[np.argsort(word[hit], kind="stable")]
-        word, term = word[hit], order[at[hit]]
-        start = np.searchsorted(word, np.arange(len(self.words) + 1))
-        times = np.diff(start)[self.word]
-        own = np.flatnonzero(times)
-        times = times[own]
-        each = np.repeat(start[self.word[own]] - np.r_[0, np.cumsum(times)[:-1]] if len(own) else own, times) + np.arange(times.sum())
-        pair, place = np.unique(np.repeat(self.text[own], times) * len(sorted_terms) + term[each], return_inverse=True)
-        n = np.bincount(place, np.repeat(self.n[own], times), minlength=len(pair))
-        return pair // len(sorted_terms), pair % len(sorted_terms), n
-
-
-def term_hash(term: bytes) -> int:
-    """Hash of a written term: ``=word`` or ``^beginning``."""
-    body = np.frombuffer(term[1:], np.uint8)
-    found = span_hashes(body, np.array([0]), np.array([len(body)]))[0]
-    return int(found ^ TAG if term[:1] == b"^" else found)
-
-
-class WordIndex:
-    """Postings of all words of all examples, for exact cosines over whole TF-IDF vectors.
-
-    A vector holds (1 + log tf) idf of every word; document frequencies count the examples, and a word that no
-    example has still counts in a text's length.  Words of many examples are dense columns, all others lists
-    of examples and weights.  No example is skipped: cosines to all are summed, then the nearest are taken.
+class Counts:
+    """Terms of some texts: ``terms``, the distinct hashes, and of every text and term of it ``text`` (ascending), ``term`` (its place there) and ``n``."""
+
+    def __init__(self, texts: int, terms: np.ndarray, text: np.ndarray, term: np.ndarray, n: np.ndarray):
+        self.texts, self.terms, self.text, self.term, self.n = texts, terms, text, term, n
+
+    @classmethod
+    def read(cls, data: np.ndarray, offsets: np.ndarray) -> Counts:
+        """All words of each text, and the first BEGINNING bytes of those that are as long."""
+        low, starts, ends, bounds = word_spans(data, offsets, CODES)
+        words, first, place = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        long = np.flatnonzero(ends[first] - starts[first] >= BEGINNING)
+        begun, of = np.unique(span_hashes(low, starts[first[long]], starts[first[long]] + BEGINNING) ^ TAG, return_inverse=True)
+        begin = np.full(len(words), -1)
+        begin[long] = len(words) + of
+        owner, also = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), begin[place]
+        terms = np.concatenate([words, begun])
+        many = max(1, len(terms))
+        pair, n = np.unique(np.concatenate([owner * many + place, (owner * many + also)[also >= 0]]), return_counts=True)
+        return cls(len(offsets) - 1, terms, pair // many, pair % many, n)
+
+
+def _packed(v: np.ndarray) -> tuple[str, int, bytes]:
+    v = v.astype(np.uint16 if v.max(initial=0) < 1 << 16 else np.uint32)
+    return v.dtype.str, v.nbytes, pa.compress(v.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(kept: tuple[str, int, bytes]) -> np.ndarray:
+    kind, size, raw = kept
+    return np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True), kind)
+
+
+class ExampleIndex:
+    """Postings of all terms of all examples in blocks of like examples.
+
+    A vector holds (1 + log tf) idf rf of every term of its whole text; idf is log((1 + n) / (1 + df)) + 1 over the n examples,
+    rf the relevance frequency log2(2 + r) squared, r being how many times as often examples of label 1 have the term as others.
+    No term is left out.  A term that no example has still counts in a text's length.
+
+    Terms of few examples are lists of examples and weights, and what they add is summed for every example.  Of the other
+    terms each block keeps its examples' weights and the largest of them: a text's weights times those maxima, plus
+    the largest sum of the rarer terms in the block, bound all cosines in it, and a block is summed only for texts whose bound
+    reaches their k-th best so far.  So neighbours are exact.
     """
 
-    held: WordIndex | None = None
+    held: ExampleIndex | None = None
 
-    def __init__(self, rows: np.ndarray, hashes: np.ndarray, tf: np.ndarray, n: int):
-        self.n, self.rows = n, None
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
+    def __init__(self, ids: list, y: np.ndarray, counts: Counts, k: int = NEIGHBOURS, block: int = BLOCK):
+        self.ids, self.y, self.k, self.block, self.lists = ids, np.asarray(y, float), k, block, None
+        self.n, yes = len(self.y), self.y.sum()
+        order = np.lexsort((counts.text, counts.terms[counts.term])) if len(counts.term) else np.zeros(0, int)
+        hashes = counts.terms[counts.term][order]
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, int)
-        self.words, self.df = hashes[first], np.diff(np.r_[first, len(hashes)]).astype(np.int32)
-        fit = lambda v: v.astype(np.uint16 if v.max(initial=0) < 1 << 16 else np.uint32)[order]
-        self.posted = [(v.dtype.str, v.nbytes, pa.compress(v.tobytes(), "zstd", asbytes=True)) for v in (fit(rows), fit(tf))]
+        self.terms, self.df = hashes[first], np.diff(np.r_[first, len(hashes)]).astype(np.int32)
+        self.posted = _packed(counts.text[order]), _packed(counts.n[order])
+        self.rate = float((yes + 0.5) / (self.n + 1))
+        bare = np.bincount(counts.text, minlength=self.n) == 0
+        self.bare_rate = float((self.y[bare].sum() + self.rate / 2) / (bare.sum() + 0.5)) if self.n else 0.0
+        self.knots = np.linspace(0, 1, LINE), np.linspace(0, 1, LINE)
 
     def __getstate__(self):
         """What weights follow from: ids and counts, compressed, as every executor keeps a copy on its disk."""
-        return self.n, self.words, self.df, self.posted
+        return {k: self.__dict__[k] for k in ("ids", "y", "k", "block", "n", "terms", "df", "posted", "rate", "bare_rate", "knots")} | {"lists": None}
+
+    def postings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Example and count of all postings, by term."""
+        return _unpacked(self.posted[0]), _unpacked(self.posted[1])
 
-    def __setstate__(self, state):
-        (self.n, self.words, self.df, self.posted), self.rows = state, None
+    def size(self) -> int:
+        """Bytes that are sent to each executor."""
+        return self.terms.nbytes + self.df.nbytes + sum(len(p[2]) for p in self.posted) + 64 * self.n
 
     def weigh(self) -> None:
-        """Weights of all postings; done where they are used.  Of the indexes of a process only the last one used holds them."""
-        if WordIndex.held is not None:
-            WordIndex.held.rows = WordIndex.held.weights = WordIndex.held.dense = None
-        WordIndex.held = self
-        n, df = self.n, self.df
-        rows, tf = (np.frombuffer(pa.decompress(v, size, "zstd", asbytes=True), kind) for kind, size, v in self.posted)
-        self.idf, self.new = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32), float(np.log(1 + n) + 1)
-        w = (1 + np.log(tf, dtype=np.float32)) * np.repeat(self.idf, df)
-        del tf
+        """Weights and blocks; done where they are used.  Of the indexes of a process only the last one used holds them."""
+        if ExampleIndex.held is not None:
+            ExampleIndex.held.lists = ExampleIndex.held.dense = None
+        ExampleIndex.held = self
+        n, df, yes = self.n, self.df, self.y.sum()
+        rows, tf = self.postings()
+        place = np.repeat(np.arange(len(df)), df)
+        seen = np.bincount(place, self.y[rows], minlength=len(df))
+        relevance = (seen / max(yes, 1)) / ((df - seen + DOUBT) / max(n - yes, 1))
+        self.idf = ((np.log((1 + n) / (1 + df)) + 1) * np.log2(2 + relevance) ** POWER).astype(np.float32)
+        self.new = float(np.log(1 + n) + 1)
+        del seen, relevance
+        w = (1 + np.log(tf, dtype=np.float32)) * self.idf[place]
         norm = np.zeros(n)
         for at in range(0, len(w), 1 << 18):
             part = slice(at, at + (1 << 18))
             norm += np.bincount(rows[part], w[part] * w[part], minlength=n)
         w /= np.sqrt(norm).astype(np.float32)[rows]
         many = df.astype(int) * COMMON_SHARE > n
+        common = many[place]
         self.column = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
-        common = np.repeat(many, df)
-        self.dense = np.zeros((n, int(many.sum())), np.float32)
-        self.dense[rows[common], np.repeat(self.column, df)[common]] = w[common]
-        self.rows, self.weights = rows[~common], w[~common]
+        dense = np.zeros((n, max(1, int(many.sum()))), np.float32)
+        dense[rows[common], self.column[place[common]]] = w[common]
+        by = np.lexsort((np.arange(n), np.argpartition(dense, -2, axis=1)[:, -2] if dense.shape[1] > 1 else np.zeros(n), dense.argmax(1)))  # alike: the same heaviest common terms
+        new_place = np.empty(n, np.int64)
+        new_place[by] = np.arange(n)
+        self.order, self.dense = by, dense[by]
+        del dense
+        self.lists, self.weights = new_place[rows[~common]].astype(np.int32), w[~common]
         self.start = np.r_[0, np.cumsum(np.where(many, 0, df))]
-
-    def nearest(self, texts: int, found: np.ndarray, text: np.ndarray, word: np.ndarray, tf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples of each of ``texts`` texts, given as in ``Read``; ties by place, 0 where there is none."""
-        places, sims = np.zeros((texts, k), np.int64), np.zeros((texts, k))
-        if not self.n or not len(self.words) or not len(found):
-            return places, sims
-        if self.rows is None:
+        self.cuts = np.arange(0, n, self.block)
+        self.top = np.maximum.reduceat(self.dense, self.cuts, axis=0)
+
+    def nearest(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the k nearest of each text, the nearest first; ties by place in the index, cosine 0 where there is none."""
+        k = min(self.k, self.n)
+        found, sims = np.zeros((counts.texts, self.k), np.int64), np.zeros((counts.texts, self.k))
+        if not self.n or not len(self.terms) or not len(counts.terms):
+            return found, sims
+        if self.lists is None:
             self.weigh()
-        at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
-        known = self.words[at] == found
-        w = (1 + np.log(tf)) * np.where(known, self.idf[at], self.new)[word]
-        w /= np.sqrt(np.bincount(text, w * w, minlength=texts))[text]
-        hit = known[word]
-        text, word, w = text[hit], at[word[hit]], w[hit]
-        bounds = np.searchsorted(text, np.arange(texts + 1))
-        column = self.column[word]
-        blocks = -(-self.n // BLOCK)
-        for lo in range(0, texts, TOGETHER):
-            hi = min(lo + TOGETHER, texts)
+        at = np.minimum(np.searchsorted(self.terms, counts.terms), len(self.terms) - 1)
+        known = self.terms[at] == counts.terms
+        w = (1 + np.log(counts.n)) * np.where(known, self.idf[at], self.new)[counts.term]
+        w /= np.sqrt(np.bincount(counts.text, w * w, minlength=counts.texts))[counts.text]
+        hit = known[counts.term]
+        text, term, w = counts.text[hit], at[counts.term[hit]], w[hit].astype(np.float32)
+        bounds = np.searchsorted(text, np.arange(counts.texts + 1))
+        for lo in range(0, counts.texts, TOGETHER):
+            hi = min(lo + TOGETHER, counts.texts)
             part = slice(bounds[lo], bounds[hi])
-            thick = column[part] >= 0
-            q = np.zeros((hi - lo, self.dense.shape[1]))
-            q[text[part][thick] - lo, column[part][thick]] = w[part][thick]
-            rough = q.astype(np.float32) @ self.dense.T
-            for i in range(lo, hi):
-                own = np.arange(bounds[i], bounds[i + 1])
-                own = own[column[own] < 0]
-                from_, to = self.start[word[own]], self.start[word[own] + 1]
-                spans = [slice(a, b) for a, b in zip(from_.tolist(), to.tolist(), strict=True)]
-                total = rough[i - lo].astype(np.float64)
-                rare = 0.0
-                if spans:
-                    rare = np.bincount(np.concatenate([self.rows[x] for x in spans]), np.concatenate([self.weights[x] for x in spans]) * np.repeat(w[own], to - from_), minlength=self.n)
-                    total += rare
-                # the k-th of the blocks' maxima is a bound on the k-th nearest; what reaches it is summed again in full precision
-                top = np.maximum.reduceat(total, np.arange(0, self.n, BLOCK))
-                least = np.partition(top, blocks - k)[blocks - k] - 1e-5 if blocks > k else 0.0
-                cand = np.flatnonzero((total >= least) & (total > 0))
-                if len(cand) > 4 * k:
-                    cand = cand[total[cand] >= np.partition(total[cand], len(cand) - k)[len(cand) - k] - 1e-5]
-                exact = (self.dense[cand] * q[i - lo]).sum(1) + (rare[cand] if spans else 0.0)
-                exact = np.rint(np.clip(exact, 0, 1) * ONE) / ONE
-                best = np.lexsort((cand, -exact))[:k]
-                places[i, : len(best)], sims[i, : len(best)] = cand[best], exact[best]
-        return places, sims
-
-
-class ExampleIndex:
-    """Examples in blocks of like vectors, and for each term its largest weight in each block.
-
-    A query's bound on a block is the sum of its weights times those maxima.  Queries are answered together:
-    a block is scored only for those whose bound reaches their k-th best similarity so far, so the result is exact.
-    """
-
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], y: np.ndarray, rows: np.ndarray, cols: np.ndarray, tf: np.ndarray, k: int | None = None, block: int = BLOCK):
-        self.order = np.argsort(terms)
-        self.sorted_terms, self.idf, self.k, self.block = terms[self.order], idf, k or int(np.clip(y.sum() // PER_NEIGHBOUR, *NEIGHBOURS)), block
-        w = np.zeros((len(ids), len(terms)))
-        w[rows, cols] = (1 + np.log(tf)) * idf[cols]
-        norm = np.sqrt((w * w).sum(1))
-        self.rate = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
-        bare = norm == 0
-        self.bare_rate = float((y[bare].sum() + self.rate * PRIOR_VOTES) / (bare.sum() + PRIOR_VOTES)) if len(y) else 0.0
-        self.all_ids, self.all_y, self.words = ids, y, None
-        live = np.flatnonzero(~bare)
-        rarest = w[live].argmax(1) if len(live) else live
-        live = live[np.lexsort((live, norm[live], rarest))]
-        self.ids, self.y = [ids[i] for i in live], y[live]
-        # of every example its place among those with terms, else the one after them
-        self.place = np.full(len(ids), len(live))
-        self.place[live] = np.arange(len(live))
-        # a dense matrix, scanned by block; postings are in WordIndex
-        self.weights = w[live] / norm[live, None]
-        cuts = np.arange(0, len(live), block)
-        self.top = np.maximum.reduceat(self.weights, cuts, axis=0) if len(live) else np.zeros((0, len(terms)))
-
-    def neighbours(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples of each row of unit vectors, the nearest first; ties by place.
-
-        Cosines are compared to 38 bits and carried in one number with the place, so that ties fall alike
-        in any company.
-        """
-        bound = q @ self.top.T
-        best = np.zeros((len(q), self.k), np.int64)
-        for b in np.argsort(-bound.sum(0), kind="stable"):
-            worst = (best[:, -1] >> 24) / ONE
-            go = np.flatnonzero(bound[:, b] >= worst - 1e-9)
-            if not len(go):
-                continue
-            lo = b * self.block
-            part = self.weights[lo : lo + self.block]
-            sims = np.rint(np.clip(q[go] @ part.T, 0, 1) * ONE).astype(np.int64)
-            packed = np.where(sims > 0, (sims << 24) | (FULL - lo - np.arange(len(part))), 0)
-            both = np.concatenate([best[go], packed], axis=1)
-            both.partition(both.shape[1] - self.k, axis=1)
-            top = both[:, -self.k :]
-            top.sort(axis=1)
-            best[go] = top[:, ::-1]
-        return FULL - (best & FULL), (best >> 24) / ONE
-
-    def judge(self, rows: int, r: np.ndarray, c: np.ndarray, tf: np.ndarray, read: Read) -> tuple[np.ndarray, list[list[str]]]:
-        """Score of each of ``rows`` texts and as evidence ``id:label:cosine`` of the five nearest by whole vectors.
-
-        Texts are given as text, term and count, and as counts of words.  Two groups of neighbours vote: the nearest
-        by the selected terms with those cosines, and the nearest by all words with m * m / (1 - m), m being the lesser of both cosines, so
-        that a copy outweighs the others while one that lacks the telling terms doesn't.
-        """
-        q = np.zeros((rows, len(self.idf)))
-        q[r, c] = (1 + np.log(tf)) * self.idf[c]
-        norm = np.sqrt((q * q).sum(1))
-        prior, yes, mass = np.full(rows, self.bare_rate), np.zeros(rows), np.zeros(rows)
-        q[norm > 0] /= norm[norm > 0, None]
-        have = np.flatnonzero(norm > 0)
-        if len(have) and len(self.y):
-            at, sims = self.neighbours(q[have])
-            votes = np.where(sims > 0, self.y[np.minimum(at, len(self.y) - 1)], 0)
-            prior[have], yes[have], mass[have] = self.rate, (sims * votes).sum(1), sims.sum(1)
-        why: list[list[str]] = [[] for _ in range(rows)]
-        if self.words is not None and len(self.all_y):
-            at, sims = self.words.nearest(rows, read.words, read.text, read.word, read.n, self.k)
-            place = self.place[at]
-            both = np.zeros(at.shape)
-            if len(self.y):
-                both = np.clip(np.einsum("rt,rkt->rk", q, self.weights[np.minimum(place, len(self.y) - 1)]), 0, 1)
-            both = np.where(place == len(self.y), (norm == 0)[:, None], both)
-            m = np.minimum(sims, both)
-            w = m * m / np.maximum(1 - m, CLOSEST)
-            yes, mass = yes + (w * self.all_y[at]).sum(1), mass + w.sum(1)
-            for i, (a, v) in enumerate(zip(at[:, :5].tolist(), sims[:, :5].tolist(), strict=True)):
-                why[i] = [f"{self.all_ids[x]}:{int(self.all_y[x])}:{c:.4f}" for x, c in zip(a, v, strict=True) if c > 0]
-        return (yes + PRIOR_VOTES * prior) / (mass + PRIOR_VOTES), why
-
-
-def written_terms(text: str) -> set[bytes]:
-    """The terms of a text as bytes, the same that ``_terms`` hashes."""
-    found = set(WORDS.findall(text.translate(LOWER).encode()))
-    return {b"=" + w for w in found} | {b"^" + w[:n] for w in found for n in PREFIXES if len(w) >= n}
-
-
-def vocabulary(examples: DataFrame) -> list[bytes]:
-    """The terms that vectors are made of, at most MOST_TERMS.
-
-    ``examples``: y, text.  Terms tied to the label come first, by their log-likelihood ratio; of terms
-    that begin alike only the most strongly tied one is taken.  Then the commonest words, against which
-    the others weigh less in a long text.  A term counts once a text; Spark sums the counts.
-    """
+            best = self._best(hi - lo, text[part] - lo, term[part], w[part], k)
+            found[lo:hi, :k], sims[lo:hi, :k] = self.order[FULL - (best & FULL)], (best >> 24) / ONE
+        return found, sims
+
+    def _best(self, m: int, text: np.ndarray, term: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+        """For each of m texts the k largest cosines, each carried in one number with the example's place, so that equal ones fall alike in any company."""
+        n, column = self.n, self.column[term]
+        thick = column >= 0
+        q = np.zeros((m, self.dense.shape[1]), np.float32)
+        q[text[thick], column[thick]] = w[thick]
+        text, term, w = text[~thick], term[~thick], w[~thick]
+        size = self.start[term + 1] - self.start[term]
+        index = np.arange(size.sum()) + np.repeat(self.start[term] - np.r_[0, np.cumsum(size)[:-1]], size) if len(size) else np.zeros(0, int)
+        rare = np.bincount(np.repeat(text * n, size) + self.lists[index], self.weights[index] * np.repeat(w, size), minlength=m * n).reshape(m, n).astype(np.float32)
+        bound = q @ self.top.T + np.maximum.reduceat(rare, self.cuts, axis=1)
+        sums = np.zeros((m, n), np.float32)
+        least, done, step = np.zeros(m, np.float32), np.zeros(0, np.int64), 4
+        order = np.argsort(-bound.sum(0), kind="stable")
+        at = 0
+        while at < len(order):
+            now = order[at : at + step]
+            for b in now:
+                go = np.flatnonzero(bound[:, b] >= least - 1e-5)
+                if len(go):
+                    a, z = self.cuts[b], min(self.cuts[b] + self.block, n)
+                    sums[go, a:z] = q[go] @ self.dense[a:z].T + rare[go, a:z]
+            at, step = at + step, 2 * step
+            done = np.concatenate([done, *(np.arange(self.cuts[b], min(self.cuts[b] + self.block, n)) for b in now)])
+            if at < len(order) and len(done) > k:
+                least = np.maximum(least, np.partition(sums[:, done], len(done) - k, axis=1)[:, len(done) - k])
+        bits = np.rint(np.clip(sums, 0, 1) * ONE).astype(np.int64)
+        packed = np.where(bits > 0, (bits << 24) | (FULL - np.arange(n)), FULL)
+        packed.partition(n - k, axis=1)
+        top = packed[:, n - k :]
+        top.sort(axis=1)
+        return top[:, ::-1]
+
+    def votes(self, found: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Share of label 1 among the neighbours, each with weight cosine / distance; nan without any."""
+        w = sims / np.maximum(1 - sims, CLOSEST)
+        mass = w.sum(1)
+        return np.divide((w * self.y[found]).sum(1), mass, out=np.full(len(mass), np.nan), where=mass > 0) if self.n else np.full(len(found), np.nan)
+
+    def score(self, votes: np.ndarray) -> np.ndarray:
+        """Votes to calibrated shares; a text without neighbours gets the share of label 1 among examples without terms."""
+        return np.where(np.isnan(votes), self.bare_rate, np.interp(np.nan_to_num(votes), *self.knots))
+
+    def fold(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of a fold, and their votes by an index, weights included, of all the others."""
+        rows, tf = self.postings()
+        term = np.repeat(np.arange(len(self.df)), self.df)
+        own = np.arange(self.n) % FOLDS == f
+        number = np.empty(self.n, np.int64)
+        number[own], number[~own] = np.arange(own.sum()), np.arange((~own).sum())
+
+        def part(chosen):
+            mine = np.flatnonzero(chosen[rows])
+            mine = mine[np.argsort(rows[mine], kind="stable")]
+            return Counts(int(chosen.sum()), self.terms, number[rows[mine]], term[mine], tf[mine].astype(np.int64))
+
+        rest = ExampleIndex([], self.y[~own], part(~own), self.k, self.block)
+        return np.flatnonzero(own), rest.votes(*rest.nearest(part(own)))
+
+
+def isotonic(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising line that turns votes into shares of label 1: pools of neighbours that would fall, with LINE points of the diagonal as a start."""
+    line = np.linspace(0, 1, LINE)
+    x, y = np.r_[line, votes], np.r_[line, y]
+    order = np.lexsort((-y, x))  # of equal votes label 1 comes first, so they share a pool
+    pools: list[list[float]] = []  # weight, sum of y, sum of x
+    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        pools.append([1.0, b, a])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0] - 1e-9:
+            last = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], last, strict=True)]
+    n, yes, at = np.array(pools).T
+    return at / n, yes / n
+
+
+def calibrated(spark, index: ExampleIndex) -> ExampleIndex:
+    """The index with knots from the votes that each example gets from those of other folds; folds are tasks."""
+    if index.n < 2 * FOLDS or index.y.min() == index.y.max():
+        return index
+    shared = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both: tuple[Counter, Counter] = (Counter(), Counter())
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                both[y].update(written_terms(text or ""))
-            for y in (0, 1):
-                n = pa.array(list(both[y].values()), pa.int64())
-                none = pa.array(np.zeros(len(n), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(list(both[y]), pa.binary()), none if y else n, n if y else none], names=["term", "n0", "n1"])
-
-    totals = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = float(totals.get(0, 0)), float(totals.get(1, 0))
-    if not n0 or not n1:
-        return []
-    counts = settle(examples.select("y", "text").mapInArrow(run, "term binary, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).where("a + b >= 3"), "terms")
-    share = (F.col("a") + F.col("b")) / (n0 + n1)
-    part = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
-    g2 = 2 * (part(F.col("a"), n0 * share) + part(F.col("b"), n1 * share) + part(n0 - F.col("a"), n0 * (1 - share)) + part(n1 - F.col("b"), n1 * (1 - share)))
-    top = counts.where(F.col("a") + F.col("b") < n0 + n1).select("term", g2.alias("g2")).where(F.col("g2") >= WEAK).orderBy(F.desc("g2"), "term").limit(8 * MOST_TERMS).collect()
-    found: list[bytes] = []
-    bodies: list[bytes] = []
-    for r in top:
-        term = bytes(r["term"])
-        if len(found) >= MOST_TERMS - COMMON or r["g2"] < STRONG and len(found) >= FEW:
-            break
-        if not any(term[1:].startswith(b) or b.startswith(term[1:]) for b in bodies):
-            found.append(term)
-            bodies.append(term[1:])
-    common = counts.where(F.substring("term", 1, 1) == F.lit(b"=")).orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(COMMON).collect()
-    return found + [bytes(r["term"]) for r in common if bytes(r["term"]) not in found]
-
-
-def build_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", most: int = MOST_EXAMPLES, k: int | None = None) -> ExampleIndex:
-    """Index of at most ``most`` labelled examples; document frequencies count all of ``docs``."""
+            for f in batch.column(0).to_pylist():
+                at, votes = shared.value.fold(f)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(votes)], names=["place", "vote"])
+
+    rows = spark.range(0, FOLDS, 1, FOLDS).mapInArrow(run, "place bigint, vote double").toArrow()
+    at, votes = rows.column("place").to_numpy(), rows.column("vote").to_numpy()
+    order = np.argsort(at)
+    at, votes = at[order], votes[order]
+    seen = ~np.isnan(votes)
+    index.knots = isotonic(votes[seen], index.y[at[seen]])
+    return index
+
+
+def build_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", most: int = MOST_EXAMPLES, postings: int = MOST_POSTINGS, k: int = NEIGHBOURS) -> ExampleIndex:
+    """Calibrated index of at most ``most`` labelled examples with at most ``postings`` terms; of rows with one key the smallest text stands."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     few = spark.createDataFrame(training_rows(docs, labels, label, key, most).collect(), f"`{key}` {kind}, y int")
-    examples = settle(docs.select(key, text).join(F.broadcast(few), key).select(F.col(key).alias("k"), "y", F.col(text).alias("text")), "examples")
-    terms = vocabulary(examples)
-    hashes = np.array([term_hash(t) for t in terms], np.uint64)
-    order = np.argsort(hashes)
-    sorted_terms = hashes[order]
+    chosen = docs.select(key, text).join(F.broadcast(few), key).groupBy(F.col(key).alias("k")).agg(F.first("y").alias("y"), F.min(text).alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
-            read = Read(data, offsets)
-            r, c, n = read.counted(order, sorted_terms)
-            cut = np.searchsorted(r, np.arange(batch.num_rows + 1))
-            lists = lambda v, t: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, t))
-            ends = np.searchsorted(read.text, np.arange(batch.num_rows + 1)).tolist()
-            packed = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), lists(c, pa.int32()), lists(n, pa.float64()), packed(read.words[read.word]), packed(read.n.astype(np.uint32))], names=["k", "y", "c", "n", "words", "tf"])
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(len(terms), np.int64), 0
-        for batch, data, offsets in chunks(batches, text):
-            seen += np.bincount(Read(data, offsets).counted(order, sorted_terms)[1], minlength=len(terms))
-            rows += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms)), pa.int32()), pa.array(np.r_[rows, seen])], names=["c", "n"])
-
-    found = list(settle(examples.mapInArrow(vectors, f"k {kind}, y int, c array<int>, n array<double>, words binary, tf binary"), "vectors").toLocalIterator())
-    df = {r["c"]: r["n"] for r in docs.select(text).mapInArrow(frequencies, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], float))) + 1
-    found.sort(key=lambda r: (r["k"], r["c"], r["n"], r["words"], r["tf"]))
-    rows = np.repeat(np.arange(len(found)), [len(r["c"]) for r in found])
-    cols = np.array([c for r in found for c in r["c"]], int)
-    tf = np.array([n for r in found for n in r["n"]], float)
-    index = ExampleIndex(hashes, idf, [r["k"] for r in found], np.array([r["y"] for r in found], float), rows, cols, tf, k)
-    owner = np.repeat(np.arange(len(found)), [len(r["words"]) // 8 for r in found])
-    words, counts = (np.frombuffer(b"".join(r[c] for r in found), t) for c, t in (("words", np.uint64), ("tf", np.uint32)))
-    number = len(found)
-    del found
-    index.words = WordIndex(owner, words, counts, number)
-    return index
+            c = Counts.read(data, offsets)
+            ends = np.searchsorted(c.text, np.arange(batch.num_rows + 1))
+            packed = lambda v, ends=ends: pa.array([v[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(np.diff(ends), pa.int64()), packed(c.terms[c.term]), packed(c.n.astype(np.uint32))], names=["k", "y", "n", "terms", "tf"])
+
+    rows = settle(chosen.mapInArrow(vectors, f"k {kind}, y int, n bigint, terms binary, tf binary"), "examples")
+    sizes = rows.select("k", "n").orderBy(F.xxhash64("k"), "k").collect()
+    fits = np.cumsum([r["n"] for r in sizes]) <= postings
+    if not all(fits):
+        rows = rows.join(F.broadcast(spark.createDataFrame([(r["k"],) for r, fit in zip(sizes, fits, strict=True) if fit], f"k {kind}")), "k", "left_semi")
+    found = rows.orderBy(F.xxhash64("k"), "k").toArrow()
+    owner = np.repeat(np.arange(found.num_rows), found.column("n").to_numpy())
+    flat = lambda name, t: np.frombuffer(b"".join(found.column(name).to_pylist()), t)
+    terms, term = np.unique(flat("terms", np.uint64), return_inverse=True)
+    counts = Counts(found.num_rows, terms, owner, term, flat("tf", np.uint32).astype(np.int64))
+    return calibrated(spark, ExampleIndex(found.column("k").to_pylist(), found.column("y").to_numpy(), counts, k))
 
 
 def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Add score, predicted (1 if score >= threshold) and evidence (``id:label:cosine`` of the nearest examples) to every row.
+    """Add score, predicted (1 if score >= threshold) and evidence (``id:label:cosine`` of the five nearest examples) to every row.
 
-    A vector holds (1 + log tf) idf, once of the vocabulary's terms and once of all words; the votes of the nearest examples
-    by either are weighted by their cosines (see ``ExampleIndex.judge``) and shrunk by the share of label 1.  A text without such terms, null and empty
-    ones too, starts from the share of label 1 among examples without any.  Without examples nothing is known to be toxic: every score is 0.  Rows may repeat; no row gives no row.  A
-    column named like an added one is replaced.
+    A text's nearest examples vote with weights cosine / distance, and the votes' share is calibrated on the examples out of fold, so a score
+    is the share of label 1 to be expected.  A text without terms of the examples, null and empty ones too, scores the share of label 1 among
+    examples without terms.  Without examples nothing is known to be toxic: every score is 0.  Texts of any length are read whole.
+    Equally near examples count in the index's order.  Rows may repeat; no row gives no row.  A column named like an added one is replaced.
     """
     base = without(docs, ["score", "predicted", "evidence"])
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -391,9 +315,9 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", thr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch, data, offsets in chunks(batches, text):
-            read = Read(data, offsets)
-            r, c, n = read.counted(own.order, own.sorted_terms)
-            s, why = own.judge(batch.num_rows, r, c, n, read)
+            at, sims = own.nearest(Counts.read(data, offsets))
+            s = own.score(own.votes(at, sims))
+            why = [[f"{own.ids[x]}:{int(own.y[x])}:{c:.4f}" for x, c in zip(a, v, strict=True) if c > 0] for a, v in zip(at[:, :5].tolist(), sims[:, :5].tolist(), strict=True)]
             yield with_columns(batch, score=pa.array(s, pa.float64()), predicted=pa.array((s >= threshold).astype(np.int32)), evidence=pa.array(why, pa.list_(pa.string())))
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.StringType()))]
