@@ -97,16 +97,17 @@ class ExampleIndex:
 
     held: ExampleIndex | None = None
 
-    def __init__(self, ids: list, y: np.ndarray, counts: Counts, k: int = NEIGHBOURS, block: int = BLOCK):
+    def __init__(self, ids: list, y: np.ndarray, rows: np.ndarray, hashes: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, block: int = BLOCK):
+        """Of every term of every example ``rows``, the example's place (ascending), its hash and its count."""
         self.ids, self.y, self.k, self.block, self.lists = ids, np.asarray(y, float), k, block, None
         self.n, yes = len(self.y), self.y.sum()
-        order = np.lexsort((counts.text, counts.terms[counts.term])) if len(counts.term) else np.zeros(0, int)
-        hashes = counts.terms[counts.term][order]
+        order = np.argsort(hashes, kind="stable")
+        self.posted = _packed(rows[order]), _packed(tf[order])
+        hashes = hashes[order]
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, int)
         self.terms, self.df = hashes[first], np.diff(np.r_[first, len(hashes)]).astype(np.int32)
-        self.posted = _packed(counts.text[order]), _packed(counts.n[order])
         self.rate = float((yes + 0.5) / (self.n + 1))
-        bare = np.bincount(counts.text, minlength=self.n) == 0
+        bare = np.bincount(rows, minlength=self.n) == 0
         self.bare_rate = float((self.y[bare].sum() + self.rate / 2) / (bare.sum() + 0.5)) if self.n else 0.0
         self.knots = np.linspace(0, 1, LINE), np.linspace(0, 1, LINE)
 
@@ -129,13 +130,14 @@ class ExampleIndex:
         ExampleIndex.held = self
         n, df, yes = self.n, self.df, self.y.sum()
         rows, tf = self.postings()
-        place = np.repeat(np.arange(len(df)), df)
+        place = np.repeat(np.arange(len(df), dtype=np.int32), df)
         seen = np.bincount(place, self.y[rows], minlength=len(df))
         relevance = (seen / max(yes, 1)) / ((df - seen + DOUBT) / max(n - yes, 1))
         self.idf = ((np.log((1 + n) / (1 + df)) + 1) * np.log2(2 + relevance) ** POWER).astype(np.float32)
         self.new = float(np.log(1 + n) + 1)
         del seen, relevance
         w = (1 + np.log(tf, dtype=np.float32)) * self.idf[place]
+        del tf
         norm = np.zeros(n)
         for at in range(0, len(w), 1 << 18):
             part = slice(at, at + (1 << 18))
@@ -144,14 +146,19 @@ class ExampleIndex:
         many = df.astype(int) * COMMON_SHARE > n
         common = many[place]
         self.column = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
-        dense = np.zeros((n, max(1, int(many.sum()))), np.float32)
-        dense[rows[common], self.column[place[common]]] = w[common]
-        by = np.lexsort((np.arange(n), np.argpartition(dense, -2, axis=1)[:, -2] if dense.shape[1] > 1 else np.zeros(n), dense.argmax(1)))  # alike: the same heaviest common terms
-        new_place = np.empty(n, np.int64)
-        new_place[by] = np.arange(n)
-        self.order, self.dense = by, dense[by]
-        del dense
-        self.lists, self.weights = new_place[rows[~common]].astype(np.int32), w[~common]
+        at, col, value = rows[common], self.column[place[common]], w[common]
+        del place
+        heavy = np.lexsort((-value, at))
+        first = heavy[np.flatnonzero(np.r_[True, np.diff(at[heavy]) != 0])] if len(at) else heavy
+        alike = np.full(n, -1)
+        alike[at[first]] = col[first]  # examples with the same heaviest common term share blocks
+        del heavy, first
+        self.order = np.argsort(alike, kind="stable")
+        new_place = np.empty(n, np.int32)
+        new_place[self.order] = np.arange(n)
+        self.dense = np.zeros((n, max(1, int(many.sum()))), np.float32)
+        self.dense[new_place[at], col] = value
+        self.lists, self.weights = new_place[rows[~common]], w[~common]
         self.start = np.r_[0, np.cumsum(np.where(many, 0, df))]
         self.cuts = np.arange(0, n, self.block)
         self.top = np.maximum.reduceat(self.dense, self.cuts, axis=0)
@@ -223,19 +230,24 @@ class ExampleIndex:
 
     def fold(self, f: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples of a fold, and their votes by an index, weights included, of all the others."""
-        rows, tf = self.postings()
-        term = np.repeat(np.arange(len(self.df)), self.df)
         own = np.arange(self.n) % FOLDS == f
-        number = np.empty(self.n, np.int64)
+        number = np.empty(self.n, np.int32)
         number[own], number[~own] = np.arange(own.sum()), np.arange((~own).sum())
 
         def part(chosen):
-            mine = np.flatnonzero(chosen[rows])
-            mine = mine[np.argsort(rows[mine], kind="stable")]
-            return Counts(int(chosen.sum()), self.terms, number[rows[mine]], term[mine], tf[mine].astype(np.int64))
+            """Example, term and count of the chosen examples' postings."""
+            rows, tf = self.postings()
+            mine = np.flatnonzero(chosen[rows]).astype(np.int32)
+            term = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)[mine]
+            at = number[rows[mine]]
+            by = np.argsort(at, kind="stable")
+            return at[by], term[by], tf[mine[by]]
 
-        rest = ExampleIndex([], self.y[~own], part(~own), self.k, self.block)
-        return np.flatnonzero(own), rest.votes(*rest.nearest(part(own)))
+        at, term, tf = part(~own)
+        rest = ExampleIndex([], self.y[~own], at, self.terms[term], tf, self.k, self.block)
+        del at, term, tf
+        at, term, tf = part(own)
+        return np.flatnonzero(own), rest.votes(*rest.nearest(Counts(int(own.sum()), self.terms, at.astype(np.int64), term, tf)))
 
 
 def isotonic(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,11 +306,11 @@ def build_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
     if not all(fits):
         rows = rows.join(F.broadcast(spark.createDataFrame([(r["k"],) for r, fit in zip(sizes, fits, strict=True) if fit], f"k {kind}")), "k", "left_semi")
     found = rows.orderBy(F.xxhash64("k"), "k").toArrow()
-    owner = np.repeat(np.arange(found.num_rows), found.column("n").to_numpy())
-    flat = lambda name, t: np.frombuffer(b"".join(found.column(name).to_pylist()), t)
-    terms, term = np.unique(flat("terms", np.uint64), return_inverse=True)
-    counts = Counts(found.num_rows, terms, owner, term, flat("tf", np.uint32).astype(np.int64))
-    return calibrated(spark, ExampleIndex(found.column("k").to_pylist(), found.column("y").to_numpy(), counts, k))
+    ids, y = found.column("k").to_pylist(), found.column("y").to_numpy()
+    owner = np.repeat(np.arange(found.num_rows, dtype=np.int32), found.column("n").to_numpy())
+    hashes, tf = (np.concatenate([np.frombuffer(x, t) for x in found.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in (("terms", np.uint64), ("tf", np.uint32)))
+    del found
+    return calibrated(spark, ExampleIndex(ids, y, owner, hashes, tf, k))
 
 
 def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -122,7 +122,8 @@ def test_neighbours_are_exact(monkeypatch, share, block):
     read = lambda t: toxicity.Counts.read(np.frombuffer("".join(t).encode(), np.uint8), np.r_[0, np.cumsum([len(x.encode()) for x in t])])
     known, asked = [texts[i] for i in range(250)], [*(texts[i] for i in range(250, 300)), texts[4], "", "12 34", "x" * 300_000]
     y = np.array([i % 4 == 0 for i in range(250)], float)
-    index = pickle.loads(pickle.dumps(toxicity.ExampleIndex(list(range(250)), y, read(known), 7, block)))
+    c = read(known)
+    index = pickle.loads(pickle.dumps(toxicity.ExampleIndex(list(range(250)), y, c.text, c.terms[c.term], c.n, 7, block)))
     found, sims = index.nearest(read(asked))
     assert share or not (index.column >= 0).any()
     examples = [(plain_terms(t), v) for t, v in zip(known, y, strict=True)]
