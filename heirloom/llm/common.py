@@ -5,6 +5,8 @@ Every helper keeps data distributed; only tables whose size is checked first rea
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -28,27 +30,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where the cluster names none, as in tests, a local one."""
+    """The folder that all executors share.  Where the cluster names none, a local one serves if the executors run in the driver, as in tests; else this is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='heirloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders of the ``scratch`` blocks that are open, the innermost last.
+_open: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """All that is settled inside goes to one folder, which is removed at the end of the block.
+
+    Operators return frames that read what they settled, so write the result inside the block.  Without a
+    block it is the owner of the shared folder who clears it.
+    """
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _open.append(path)
+    try:
+        yield path
+    finally:
+        _open.remove(path)
+        remove(spark, path)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path in the innermost open block, else in the shared folder."""
+    return f"{_open[-1] if _open else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Of what is written inside, Spark deletes the shuffle files as soon as a write has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts lineage, outlives executors and frees its shuffle files."""
+    path = place(df.sparkSession, name)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing refers to any more."""
-    import gc
+def settle_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``settle``, bucketed by ``key``, so that joins on it need no exchange of these rows.
+
+    Only a table can be bucketed; it leaves the catalog at once, while the frame keeps its files and buckets.  Without a width of its own it
+    has as many buckets as a shuffle has partitions.
+    """
+    spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    with freed(spark):
+        df.write.bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), key).option("path", place(spark, name)).saveAsTable(table_name)
+    out = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    return out
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def discard(*settled: DataFrame) -> None:
+    """Delete the folders of settled frames that nothing will read again."""
+    for df in settled:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, path)
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -57,6 +118,17 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def order_key(*cols: Column | str, seed: str) -> Column:
     """A pseudo-random, reproducible hex string; the same rows get the same key on every run."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00")) for c in cols]

@@ -1,4 +1,10 @@
-"""Near-duplicate texts: n-gram Jaccard join through MinHash bands, verified exactly."""
+"""Near-duplicate texts: n-gram Jaccard join through a MinHash LSH forest, verified exactly.
+
+A tree of the forest orders the texts by a label, some MinHash values one after the other; texts below one node of its prefix trie have a
+prefix of their labels in common.  The tries are kept as tables of nodes.  The join starts at the leaves and
+shortens the prefixes by one value a round, where a node joins texts that no deeper one has, until pairs of the least similarity
+have met with the target recall.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +13,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import window as W
 
-from heirloom.llm.common import chunks, gram_hashes, mixed, run_starts, settle, utf8, with_columns, without, words
+from heirloom.llm.common import chunks, discard, gram_hashes, mixed, run_starts, settle, unused, words
 from heirloom.llm.components import components
 
 #: Words of a shingle; least Jaccard similarity of a link.
 N, LEAST = 5, 0.8
 
-#: Bands, the MinHash values of each, and the recall that the prefix of a band by which texts meet must have.
+#: Trees of the forest, the MinHash values of a label, and the recall that a pair of the least similarity must have.
 TREES, DEPTH, RECALL = 24, 6, 0.9999
 
+#: Probability with which a pair of the least similarity may fail the comparison of its signatures.
+MISS = 1e-6
+
 #: Texts of a candidate group that one task holds, and how many times as many stream by it.
 BLOCK, STREAM = 512, 8
 
-#: Share of equal MinHash values below which a pair with the least similarity falls with probability under 1e-6.
-SURE = 0.63
-
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after the other, and where each text's begin.
@@ -80,11 +84,23 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * wide, wide, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def prefix_depth(trees: int, depth: int, recall: float, least: float) -> int:
-    """Length of the bands' matched prefixes: the longest, ``depth`` at most, with which a pair of the least similarity meets in one of ``trees`` bands with probability ``recall``."""
-    while depth > 1 and 1 - (1 - least**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def shortest_prefix(trees: int, depth: int, recall: float, least: float) -> int:
+    """The longest prefix, ``depth`` at most, of which pairs of the least similarity share one in some tree with probability ``recall``."""
+    for d in range(depth, 0, -1):
+        if 1 - (1 - least**d) ** trees >= recall:
+            return d
+    raise ValueError(f"{trees} trees reach a recall of {1 - (1 - least) ** trees:.6f} at similarity {least}; {recall} was asked for")
+
+
+def surely_equal(hashes: int, least: float, miss: float = MISS) -> int:
+    """The most equal values of ``hashes`` that a pair of the least similarity has but for a probability of ``miss``: the tail of the binomial law."""
+    below = 0.0
+    for k in range(hashes + 1):
+        chance = math.lgamma(hashes + 1) - math.lgamma(k + 1) - math.lgamma(hashes - k + 1)
+        below += math.exp(chance + k * math.log(least) + (hashes - k) * math.log(1 - least)) if least < 1 else float(k == hashes)
+        if below > miss:
+            return k
+    return hashes
 
 
 def _signed(text: str, n: int, hashes: int):
@@ -93,7 +109,7 @@ def _signed(text: str, n: int, hashes: int):
             found, _, bounds = words(data, offsets)
             grams, cuts = shingles(found, bounds, n)
             sig = binary(signatures(grams, cuts, hashes))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), binary(set_keys(grams, cuts, data, offsets)), pa.array(np.diff(cuts), pa.int32()), sig], names=["id", "cls", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), binary(set_keys(grams, cuts, data, offsets)), pa.array(np.diff(cuts), pa.int32()), sig], names=["id", "row", "cls", "n", "sig"])
 
     return run
 
@@ -153,7 +169,7 @@ class _Block:
             close = both >= self.least * (self.sizes + len(value) - both) - 1e-9
             close &= both > 0
         else:
-            close = (self.sig == value).sum(1) >= self.least * len(value)
+            close = (self.sig == value).sum(1) >= self.least
         if key in self.place:
             close[self.place[key]] = False
         return np.flatnonzero(close)
@@ -221,73 +237,120 @@ def _compared(least: float, exact: bool):
 
 
 def compare_groups(rows: DataFrame, least: float, exact: bool, block: int = BLOCK) -> DataFrame:
-    """Compare all texts of each group: rows comp, key, m, value (shingles or signature) to key, links, other.
+    """Compare all texts of each group: rows comp, nc (its number of texts), key, m, value (shingles or signature) to key, links, other.
 
     A group is cut into blocks and, otherwise, into shares of STREAM times that many texts.  For each block and
     share a task holds the block while the share streams by, so that its rows and memory are bounded. Links are counted
-    and chained to a forest where they are found: pairs never become rows.
+    and chained to a forest where they are found: pairs never become rows.  ``least`` is the similarity of a link or, for signatures, the
+    number of equal values.
     """
-    sizes = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("nc")).select("comp", *[F.ceil(F.col("nc") / n).cast("int").alias(c) for c, n in (("nb", block), ("ns", STREAM * block))])
+    rows = rows.withColumns({c: F.ceil(F.col("nc") / n).cast("int") for c, n in (("nb", block), ("ns", STREAM * block))})
     own, share = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("ns")).cast("int")
     cell = lambda role, b, s: F.struct(F.lit(role).alias("role"), b.alias("b"), s.alias("s"))
     held = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: cell(0, own, s))
     streamed = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: cell(1, b, share))
-    dealt = rows.join(sizes, "comp").withColumn("__c", F.explode(F.concat(held, streamed))).select("comp", "__c.b", "__c.s", "__c.role", "key", "m", "value")
+    dealt = rows.withColumn("__c", F.explode(F.concat(held, streamed))).select("comp", "__c.b", "__c.s", "__c.role", "key", "m", "value")
     dealt = dealt.repartition("comp", "b", "s").sortWithinPartitions("comp", "b", "s", "role")
     return dealt.mapInArrow(_compared(least, exact), "key binary, links bigint, other binary")
 
 
-def near_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, least: float = LEAST, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def _met(classes: DataFrame, trees: int, depth: int, floor: int, block: int, sure: int) -> DataFrame:
+    """Descend the forest: ``node`` and ``root`` of the texts that chains of pairs join, each pair under a common prefix and with ``sure`` equal values.
+
+    Round d looks at the nodes of prefixes of d values, ``depth`` first, ``floor`` last.  Only nodes count
+    whose texts are not yet in one chain; so what deeper nodes have matched is not compared again, and where
+    they have matched all, the prefix is not shortened.  Nodes are counted by partial sums, and one of many texts is dealt to
+    many tasks (``compare_groups``).
+    """
+    width = 2 * depth
+    labels = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("sig"), (t * width + 1).cast("int"), F.lit(width)).alias("label")))
+    leaves = classes.where("n > 0").select("cls", F.explode(labels).alias("leaf")).select("cls", F.col("leaf.tree").alias("tree"), F.col("leaf.label").alias("label"))
+    edges, roots = None, None
+    for d in range(depth, floor - 1, -1):
+        at = leaves.withColumn("comp", F.xxhash64("tree", F.substring("label", 1, 2 * d))).select("comp", "cls")
+        if roots is not None:
+            at = at.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("comp", "cls", F.coalesce("root", "cls").alias("root"))
+        else:
+            at = at.withColumn("root", F.col("cls"))
+        nodes = settle(at.groupBy("comp").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("nc")).where("a <> b").select("comp", "nc"), "nodes")
+        below = at.select("comp", "cls").join(nodes, "comp")
+        rows = below.join(classes.select("cls", "m", F.col("sig").alias("value")), "cls")
+        found = compare_groups(rows.select("comp", "nc", F.col("cls").alias("key"), "m", "value"), sure, False, 4 * block).where("key <> other").select(F.col("key").alias("a"), F.col("other").alias("b"))
+        now = settle(found if edges is None else found.unionByName(edges), "met")
+        discard(nodes, *([] if edges is None else [edges, roots]))
+        edges, roots = now, components(now)
+    discard(edges)
+    return roots
+
+
+def linked(source: DataFrame, n: int = N, least: float = LEAST, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Of texts (id, row, text): id, row, cls of each; and of each cls its component, whose ``root`` holds the smallest id and the
+    smallest cls that has it, m copies and links to other sets."""
+    floor, sure = shortest_prefix(trees, depth, recall, least), surely_equal(trees * depth, least)
+    kind = lambda c: source.schema[c].dataType.simpleString()
+    signed = settle(source.mapInArrow(_signed("text", n, trees * depth), f"id {kind('id')}, row {kind('row')}, cls binary, n int, sig binary"), "signatures")
+    classes = settle(signed.groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("row").alias("row")), "classes")
+    close = _met(classes, trees, depth, floor, block, sure)
+    wanted = settle(close.join(classes, close.node == classes.cls).select("cls", F.col("root").alias("comp"), "m", "row"), "wanted")
+    sizes = settle(wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("nc")), "sizes")
+    texts = source.join(wanted.select("row"), "row", "left_semi")
+    sets = texts.select("text").mapInArrow(_shingled("text", n), "key binary, grams array<bigint>").groupBy("key").agg(F.first("grams").alias("value"))
+    rows = sets.join(wanted.join(sizes, "comp").withColumnRenamed("cls", "key"), "key")
+    found = settle(compare_groups(rows.select("comp", "nc", "key", "m", "value"), least, True, block), "verified")
+    discard(close, wanted, sizes)
+    links = settle(found.groupBy("key").agg(F.sum("links").alias("links")), "link_counts")
+    name = classes.select("cls", "m", F.struct(F.col("id").isNull().alias("none"), "id", "cls").alias("node"))
+    ends = found.where("key <> other").select("key", "other").join(name.select(F.col("cls").alias("key"), F.col("node").alias("a")), "key").join(name.select(F.col("cls").alias("other"), F.col("node").alias("b")), "other").select("a", "b")
+    roots = components(ends)
+    discard(found)
+    info = name.join(links, F.col("cls") == links.key, "left").drop("key").join(roots, "node", "left")
+    return signed.select("id", "row", "cls"), info.select("cls", "m", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _row(docs: DataFrame, text: str, key: str) -> Column:
+    """A name that rows share only if they are equal in all columns."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, key)]
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\x00")), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("\x00")).cast("binary")), *([F.to_json(F.struct(*rest))] if rest else [])))
+
+
+def near_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """A row for each row of ``docs``: its key, class_id, n_links and kept.
 
     Texts link if the Jaccard similarity of their sets of n-word shingles is ``least`` or more; words are
     runs of 0-9, A-Z (lower-cased), a-z and all beyond ASCII.  Texts with the same set are copies: they link with
     each other and share all other links, so each set is compared once.  A text without words links with
-    texts of the same bytes only; null counts as empty.  n_links counts the other rows that link
+    texts of the same bytes only; null counts as empty.  Texts of any length are read whole.  n_links counts the other rows that link
     directly, class_id is the smallest key that links reach, the row's own included (null keys are ignored
     unless there is no other), and kept tells whether the row's key is that one.  Repeated rows link with each other.
     No row gives no row.
 
-    Steps: MinHash signatures; ``trees`` bands of ``depth`` values, matched by a prefix of fixed length with
-    which a pair of similarity ``least`` shares one with probability ``recall``; texts that share a prefix
-    are chained to groups; groups are split where signatures say that no link can cross (share of equal values under
-    a bound that pairs with a link miss with probability under 1e-6); and all pairs of what is left are verified
-    on their whole shingle sets.
+    Options and steps: MinHash signatures; a forest of ``trees`` tries of labels of ``depth`` values, whose matched prefixes are shortened until
+    pairs of similarity ``least`` meet with probability ``recall`` (an error if they can't); pairs that meet and have as many equal values as
+    all but MISS of linked pairs do are chained; and all pairs of a chain are verified on their whole shingle sets.
     """
-    d = prefix_depth(trees, depth, recall, least)
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    id_type = source.schema["id"].dataType.simpleString()
-    signed = settle(source.mapInArrow(_signed("text", n, trees * depth), f"id {id_type}, cls binary, n int, sig binary"), "signatures")
-    classes = settle(signed.groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    width = 2 * depth
-    prefix = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), (t * width + 1).cast("int"), F.lit(2 * d))))
-    leaves = classes.where("n > 0").select("cls", F.explode(prefix).alias("bucket"))
-    trie = W.Window.partitionBy("bucket")
-    met = leaves.withColumns({"first": F.min("cls").over(trie), "size": F.count(F.lit(1)).over(trie)}).where("size > 1")
-    groups = components(met.select(F.col("cls").alias("a"), F.col("first").alias("b")))
-    rough = groups.join(classes, groups.node == classes.cls).select(F.col("root").alias("comp"), F.col("cls").alias("key"), "m", F.col("sig").alias("value"))
-    maybe = settle(compare_groups(rough, SURE if least == LEAST else max(0.0, least - 0.17), False, 4 * block).select("key", "other"), "maybe")
-    close = components(maybe.where("key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    wanted = settle(close.join(classes, close.node == classes.cls).select("cls", F.col("root").alias("comp"), "m", "id"), "wanted")
-    texts = source.join(wanted.select("id").distinct(), "id", "left_semi") if not wanted.where("id is null").limit(1).count() else source
-    sets = texts.select("text").mapInArrow(_shingled("text", n), "key binary, grams array<bigint>")
-    rows = sets.join(wanted.withColumnRenamed("cls", "key"), "key").groupBy("key").agg(F.first("comp").alias("comp"), F.first("m").alias("m"), F.first("grams").alias("value"))
-    found = settle(compare_groups(rows.select("comp", "key", "m", "value"), least, True, block), "verified")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    final = components(found.where("key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    info = classes.select("cls", "m", "id").join(links, F.col("cls") == links.key, "left").drop("key").join(final, F.col("cls") == final.node, "left")
-    info = info.select("cls", "m", "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
-    ids = info.groupBy("root").agg(F.min("id").alias("class_id"))
-    info = info.join(ids, "root").select("cls", "class_id", (F.col("links") + F.col("m") - 1).cast("long").alias("n_links"))
-    return signed.select("id", "cls").join(info, "cls").select(F.col("id").alias(key), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    signed, info = linked(docs.select(F.col(key).alias("id"), _row(docs.select(key, text), text, key).alias("row"), F.col(text).alias("text")), **options)
+    info = info.select("cls", F.col("root.id").alias("class_id"), (F.col("links") + F.col("m") - 1).cast("long").alias("n_links"))
+    return signed.join(info, "cls").select(F.col("id").alias(key), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row of each group of ``near_texts`` stays: the one with the smallest key (of repeated rows with that key, one)."""
-    kept = settle(near_texts(docs, text, key, **options).where("kept").groupBy(F.col(key).alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    most = kept.agg(F.max("__n")).collect()[0][0] or 1
-    out = docs.join(kept, F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates([key]) if most > 1 else out
+    """Of each group of rows that links connect (``near_texts``) exactly one stays, with all its columns.
+
+    That is the one with the smallest key (null last); rows of one key are told apart by their values, so rows that share a key or have none are
+    lost only to a row of their own group.  Of rows that are equal in all columns one stays.
+    """
+    row, times = unused(docs, "row", "times")
+    named = docs.withColumn(row, _row(docs, text, key))
+    signed, info = linked(named.select(F.col(key).alias("id"), F.col(row).alias("row"), F.col(text).alias("text")), **options)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+    of_class = settle(signed.groupBy("cls").agg(first.alias("f")), "firsts")
+    kept = of_class.join(info.select("cls", "root"), "cls").groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.row").alias(row))
+    kept = settle(kept.join(signed.groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias(times)), row), "kept")
+    found = named.join(kept, row)
+    out = found.where(F.col(times) == 1)
+    if kept.where(F.col(times) > 1).limit(1).count():
+        out = out.unionByName(found.where(F.col(times) > 1).dropDuplicates([row]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_forest_join(spark, sf_dir: str) -> DataFrame:

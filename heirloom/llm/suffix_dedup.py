@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heirloom.llm.common import _BASE, _BYTE, _UNBASE, chunks, mixed, powers, release, settle, shared_dir, span_hashes, utf8
+from heirloom.llm.common import _BASE, _BYTE, _UNBASE, chunks, discard, mixed, powers, settle, settle_bucketed, span_hashes, utf8
 
 #: Bytes of a repeated string, and of the runs whose hashes are anchors.
 SPAN, RUN = 100, 32
@@ -386,7 +385,6 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", spa
     as halve ``span - run`` to 0, windows of one anchor are equal and a task has at most one from each share.
     So a task holds at most ``limit`` bytes and the stretches of one anchor that is not hot.
     """
-    spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     source = docs.select(F.col(key).alias("id"), raw.alias("raw")).select("id", F.octet_length("raw").cast("long").alias("n"), F.sha2("raw", 256).alias("sha"), F.col("raw").cast("string").alias("text"))
     source = source.withColumn("k", F.concat_ws(":", "sha", F.coalesce(F.col("id").cast("string"), F.lit("null"))))
@@ -397,33 +395,29 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", spa
     classes = settle(order.select("n", "k", F.monotonically_increasing_id().alias("rid")), "classes")
     again = meta.groupBy("k").count().where("count > 1").limit(1).count()
     long = source.where(F.col("n") >= span).select("k", "text").join(classes.where(F.col("n") >= span).select("k", "rid"), "k")
-    name = f"texts_{uuid.uuid4().hex}"
-    (long.dropDuplicates(["k"]) if again else long).write.bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    del long
-    release(spark)
-    texts = spark.table(name)
+    texts = settle_bucketed(long.dropDuplicates(["k"]) if again else long, "long_texts", "k")
 
     anchors = texts.select("rid", "text").mapInArrow(_anchors(span, run), "f bigint, rid bigint, lo int")
     often = settle(_often(anchors, hot), "often")
-    release(spark)
     lo = F.when(F.col("hot"), F.bitwise_not("lo")).otherwise(F.col("lo"))
     wanted = settle(anchors.join(often, "f").groupBy("rid").agg(F.collect_list(lo).alias("los")), "anchors")
-    release(spark)
+    discard(often)
     wanted = wanted.join(classes.select("rid", "k"), "rid").select("k", "los")
     salts, slack = min(salts, hot), span - run
     around = texts.join(wanted, "k").select("rid", "text", "los").mapInArrow(_stretches(span, run, salts), "f bigint, salt int, seg binary, rid bigint, lo int")
-    found = []
+    found, used = [], []
     while True:
         dealt = around.repartition("f", "salt").sortWithinPartitions("f", "salt", "seg", "rid", "lo")
         done = settle(dealt.mapInArrow(_sorted_tasks(span, run, limit, slack), "rid bigint, s int, e int, f bigint, seg binary, at int"), "spans")
-        release(spark)
         found.append(done.where("f is null").select("rid", "s", "e"))
         rest = done.where("f is not null").select("f", "seg", "rid", F.col("s").alias("lo"), "at")
         if rest.isEmpty():
             break
         slack -= (slack + 1) // 2
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rid"), F.lit(salts))).otherwise(-1).cast("int").alias("salt")
-        around = rest.join(settle(_often(rest, hot), "often"), "f").select("f", salt, "seg", "rid", "lo", "at")
+        used.append(settle(_often(rest, hot), "often"))
+        around = rest.join(used[-1], "f").select("f", salt, "seg", "rid", "lo", "at")
+    discard(*used)
     spans = functools.reduce(DataFrame.unionByName, found)
     lists = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(classes.select("rid", "k"), "rid").select("k", "spans")
     cut = texts.join(lists, "k").select("k", "text", "spans").mapInArrow(_cut, "k string, removed bigint, runs bigint, digest string, cuts array<int>")

@@ -1,6 +1,7 @@
 """Operators with exact results against brute force, on rows with nulls, repeats, empty texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -271,7 +272,70 @@ def test_near_texts(spark, monkeypatch):
 def test_near_texts_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert shingle_join.near_texts(docs).count() == 0
-    assert shingle_join.prefix_depth(24, 6, 0.9999, 0.8) == 5
+    assert shingle_join.drop_near_copies(docs).count() == 0
+
+
+def test_bounds_of_the_forest():
+    assert shingle_join.shortest_prefix(24, 6, 0.9999, 0.8) == 5
+    assert shingle_join.shortest_prefix(24, 9, 0.99, 0.8) == 7
+    with pytest.raises(ValueError, match="recall"):
+        shingle_join.shortest_prefix(1, 6, 0.9999, 0.8)
+    for hashes, least in ((12, 0.8), (144, 0.8), (30, 0.5)):
+        k = shingle_join.surely_equal(hashes, least)
+        tail = lambda k: sum(math.comb(hashes, j) * least**j * (1 - least) ** (hashes - j) for j in range(k))  # noqa: E731, B023
+        assert tail(k) <= 1e-6 < tail(k + 1)
+
+
+def test_drop_near_copies_by_row(spark):
+    """Unrelated texts with null or with equal keys stay; a copy under another key goes; of equal rows one stays."""
+    rows = [
+        (None, "alpha", "r", 1), (None, "beta", "r", 1),
+        (5, "gamma", "r", 1), (5, "delta", "r", 1),
+        (3, "epsilon", "r", 1), (6, "zeta", "r", 1), (6, "epsilon ", "r", 1),
+        (7, "eta", "r", 1), (7, "eta", "r", 1), (7, "eta", "r", 1), (None, "eta", None, 1), (8, "eta", "r", 2),
+        (4, None, None, None), (2, "", "r", None), (None, None, None, None), (9, "!", "r", 1),
+    ]
+    got = [tuple(r) for r in shingle_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, row string, Times long")).collect()]
+    assert sorted(got, key=str) == sorted([*rows[:6], rows[7], rows[13], rows[15]], key=str)
+
+
+def test_drop_near_copies_model(spark):
+    """One row of each connected group, the one with the smallest key, whatever keys repeat or are null."""
+    rng = random.Random(21)
+    bases = [[rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.randrange(30, 80))] for _ in range(15)]
+    rows = []
+    for _ in range(90):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randrange(0, 3)):
+            t[rng.randrange(len(t))] = "changed"
+        rows.append((rng.choice([None, *range(40)]), " ".join(t), rng.randrange(2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (split(t) for _, t, _ in rows)]
+    up = closure(len(rows), [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    groups: dict = {}
+    for i, r in enumerate(up):
+        groups.setdefault(r, []).append(rows[i])
+    got = [tuple(r) for r in shingle_join.drop_near_copies(docs).collect()]
+    assert len(got) == len(groups) < len(rows)
+    for own in groups.values():
+        least = min((k is None, k or 0) for k, _, _ in own)
+        assert sum(r in own for r in got) == 1 and next((r[0] is None, r[0] or 0) for r in got if r in own) == least
+
+
+def test_recall_at_the_least_similarity(spark):
+    """Pairs just above the threshold, against brute force."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(700):
+        w = [f"{i}x{j}" for j in range(49)]
+        u = list(w)
+        u[rng.randrange(44)] = "other"  # 40 or more of 50 shingles are shared: similarity 0.8 or little more
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(u))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    links = {2 * i for i in range(700) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    assert len(links) == 700
+    got = {r["doc_id"]: r["class_id"] for r in shingle_join.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in links) >= 0.999 * len(links)
 
 
 # ---- repeated strings
