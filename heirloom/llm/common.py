@@ -129,6 +129,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by their place, which no operator's columns clash with, and the new name of each."""
+    names = [f"__{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def order_key(*cols: Column | str, seed: str) -> Column:
     """A pseudo-random, reproducible hex string; the same rows get the same key on every run."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00")) for c in cols]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heirloom.llm.common import settle, without
+from heirloom.llm.common import discard, settle, without
 from heirloom.llm.components import components
 
 #: Home vectors of a cell that one task holds, and how many times as many rows of the cell stream by it.
@@ -24,12 +24,17 @@ SLACK = 1e-9
 
 
 def unit_vectors(df: DataFrame, vec: str) -> DataFrame:
-    """Rows whose vector can link: not null, no null or non-finite component, not zero; ``unit`` has length 1, ``dim`` components."""
+    """Rows whose vector can link: not null, no null or non-finite component, not zero; ``unit`` has length 1, ``dim`` components.
+
+    The largest component and the length are bound outside the functions that use them, so that they are
+    computed once a vector and not once a component.
+    """
     v = F.col(vec).cast("array<double>")
-    fine = F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sane = df.where(fine).withColumn("__top", F.array_max(F.transform(v, F.abs))).where("__top > 0").withColumn("__s", F.transform(v, lambda x: x / F.col("__top")))
-    norm = F.sqrt(F.aggregate("__s", F.lit(0.0), lambda a, x: a + x * x))
-    return sane.withColumns({"unit": F.transform("__s", lambda x: x / norm), "dim": F.size("__s")}).drop("__top", "__s")
+    fine = F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    bound = lambda x, use: F.get(F.transform(F.array(x), use), 0)
+    scaled = bound(F.array_max(F.transform(v, F.abs)), lambda top: F.transform(v, lambda x: x / top))
+    unit = bound(scaled, lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x, lambda n: F.transform(s, lambda x: x / F.sqrt(n))))
+    return df.where(fine).withColumns({"unit": unit, "dim": F.size(vec)})
 
 
 def choose_pivots(classes: DataFrame) -> dict[tuple, np.ndarray]:
@@ -75,13 +80,13 @@ def _cells(shared, eps: float):
                     take.append(at), cell.append(np.zeros(len(at), int)), home.append(np.ones(len(at), bool))
                     continue
                 p = pivots[k]
-                gaps = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
                 for piece in np.array_split(at, max(1, len(at) * len(p) // 1_000_000)):
                     x = vectors(batch.column("unit").take(pa.array(piece)), k[1])
                     d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
                     own = d.argmin(1)
                     near = d[np.arange(len(x)), own][:, None]
-                    plane = (d**2 - near**2) <= 2 * gaps[own] * eps + SLACK
+                    gaps = np.sqrt(np.maximum(2 - 2 * p[own] @ p.T, 0))
+                    plane = (d**2 - near**2) <= 2 * gaps * eps + SLACK
                     guest = (d - near <= 2 * eps + SLACK) & plane & (np.arange(len(p))[None, :] < own[:, None])
                     r, c = np.nonzero(guest)
                     take += [piece, piece[r]]
@@ -177,7 +182,8 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vec
     Pivots cut each large label into cells; the triangle inequality says which vectors must be guests in other
     cells; a cell joins in blocks of BLOCK home vectors, against each of which the cell streams in shares of STREAM times that many
     rows, so that rows and memory of a task are bounded whatever the cell holds.  Where distances concentrate (many dimensions, no clusters) most vectors
-    are guests everywhere and the work is quadratic in a label: exactness leaves no other way.
+    are guests everywhere and the work is quadratic in a label: exactness leaves no other way.  A worker holds the pivots, BLOCK home vectors and a
+    million distances at a time; the cost of a vector is linear in its length.
     """
     base = without(df, ["n_links", "component_id", "kept"])
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
@@ -191,7 +197,7 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vec
     cells = fields.mapInArrow(_cells(shared, eps), schema)
     group = ["label", "dim", "cell"]
     counts = cells.groupBy(*group).agg(F.count_if("home").alias("nh"), F.count(F.lit(1)).alias("nc")).where("nh > 0")
-    sizes = counts.select(*group, F.ceil(F.col("nh") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("nc") / (STREAM * BLOCK)).cast("int").alias("ns"))
+    sizes = settle(counts.select(*group, F.ceil(F.col("nh") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("nc") / (STREAM * BLOCK)).cast("int").alias("ns")), "sizes")
     own, share = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("ns")).cast("int")
     dealing = lambda role, b, s: F.struct(F.lit(role).alias("role"), b.alias("b"), s.alias("s"))
     held = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: dealing(0, own, s))
@@ -200,11 +206,14 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vec
     rows = spread.select("key", *group, "unit", "m", "home", "__d.b", "__d.s", "__d.role")
     dealt = rows.repartition(*group, "b", "s").sortWithinPartitions(*group, "b", "s", "role")
     found = settle(dealt.mapInArrow(_joined(least), "key string, links bigint, other string"), "links")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    comps = components(found.where("key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    info = classes.join(links, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "m", "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root"))
-    least_id = info.groupBy("root").agg(F.min("id").alias("component_id"))
-    info = info.join(least_id, "root").select("key", (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id")
+    discard(sizes)
+    links = settle(found.groupBy("key").agg(F.sum("links").alias("links")), "link_counts")
+    name = classes.select("key", "m", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("node"))
+    ends = found.where("key <> other").select("key", "other").join(name.select("key", F.col("node").alias("a")), "key").join(name.select(F.col("key").alias("other"), F.col("node").alias("b")), "other").select("a", "b")
+    comps = components(ends)
+    discard(found)
+    info = name.join(links, "key", "left").join(comps, "node", "left")
+    info = info.select("key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "node")["id"].alias("component_id"))
     out = base.withColumn("__key", fit).join(info, F.col("__key") == F.col("key"), "left")
     cid = F.coalesce("component_id", F.col(vec_id))
     return out.select(*[F.col(f"`{c}`") for c in base.columns], F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), cid.eqNullSafe(F.col(vec_id)).alias("kept"))

@@ -84,9 +84,27 @@ def test_mixture(spark):
     assert stream.columns == docs.columns
     seen = Counter(r["doc_id"] for r in stream.where("doc_id IS NOT NULL").collect())
     assert set(seen) == {r[0] for r in rows if r[0] is not None} and max(seen.values()) > 1
+    assert stream.schema == docs.schema and set(map(tuple, stream.collect())) == set(rows)  # clashing columns keep their values
     assert mixture.mix(docs.limit(0)).count() == 0 and mixture.mixed_stream(docs.limit(0)).count() == 0
 
 
+def test_mixture_weights_and_slopes(spark):
+    rows = [(i, "abcd"[i % 4], "w " * (1 + i % 7)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixture.mix(docs, weights=(0.5, 0.25), slopes=(0.5, -0.5, 0.0)).collect()
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    want = waterfill(sizes, {"a": 2, "b": 1, "c": 2, "d": 1}, 1.5 * sum(sizes.values()), 2)
+    slope = {"a": 0.5, "b": -0.5, "c": 0.0, "d": 0.5}
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["slope"] == slope[r["source"]]
+        if r["position"] is not None:
+            assert r["position"] + r["slope"] * (r["position"] ** 2 - r["position"]) == pytest.approx(r["done"], abs=1e-9)
+    with pytest.raises(ValueError, match="positive"):
+        mixture.mix(docs, weights=(1, 0))
+
+
 # ---- sharding
 
 
