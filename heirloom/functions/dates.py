@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from heirloom.config import DEFAULTS
-from heirloom.functions.text import group, let, squeezed, trimmed
+from heirloom.functions.text import filled, group, let, squeezed, trimmed
 
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
@@ -41,35 +41,35 @@ def days_in_month(year: Column, month: Column) -> Column:
     return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
-def year_number(text: Column) -> Column:
+def year_number(digits: Column) -> Column:
     """Of one to four digits a year from 1; else null."""
-    number = F.when(text.rlike(r"\A[0-9]{1,4}\z"), text.cast("int"))
-    return F.when(number >= 1, number)
+    return F.when(F.length(digits) <= 4, F.nullif(digits.try_cast("int"), F.lit(0)))
+
+
+#: The forms of a date with one value: ``9 JUN 1850``, ``JUN 1850``; ``1850/51``, ``1850``.
+BASIC = r"\A(?:(?:([0-9]{1,2}) +)?([A-Z]{3}) +([0-9]{1,4})|([0-9]{1,4})(?:/([0-9]{2,4}))?)\z"
 
 
 def basic_date(raw: Column) -> Column:
-    """Struct y1, m1, d1, y2, m2, d2, precision of ``9 JUN 1850``, ``JUN 1850``, ``1850/51`` or ``1850``; null if it is none or no real date."""
-    return let(F.upper(trimmed(raw)), _basic)
+    """Struct y1, m1, d1, y2, m2, d2, precision of a date of one of the forms of BASIC; null if it is none or no real date."""
+    part = lambda t, n: filled(F.regexp_extract(t, BASIC, n))
+    parts = lambda t: F.struct(part(t, 1).cast("int").alias("day"), part(t, 2).alias("name"), F.coalesce(part(t, 3), part(t, 4)).alias("year"), part(t, 5).alias("next"))
+    numbers = lambda p: F.struct(p["day"].alias("day"), p["name"].alias("name"), month_number(p["name"]).alias("month"), year_number(p["year"]).alias("year"), p["next"].alias("next"))
+    return let(let(let(F.upper(trimmed(raw)), parts), numbers), _basic)
 
 
-def _basic(text: Column) -> Column:
-    day_form, month_form, dual_form = r"\A([0-9]{1,2}) +([A-Z]{3}) +([0-9]{1,4})\z", r"\A([A-Z]{3}) +([0-9]{1,4})\z", r"\A([0-9]{1,4})/([0-9]{2,4})\z"
+def _basic(p: Column) -> Column:
+    day, month, year, more = p["day"], p["month"], p["year"], p["next"]
+    second = F.when(F.length(more) == 2, F.floor(year / 100).cast("int") * 100 + more.cast("int")).otherwise(year_number(more))
+    last = F.when(month.isNull(), 31).otherwise(days_in_month(year, month))
+    real = year.isNotNull() & (p["name"].isNull() | month.isNotNull()) & (day.isNull() | day.between(1, last)) & (more.isNull() | (second == year + 1))
+    fields = {"y1": year, "m1": F.coalesce(month, F.lit(1)), "d1": F.coalesce(day, F.lit(1)), "y2": F.coalesce(second, year), "m2": F.coalesce(month, F.lit(12)), "d2": F.coalesce(day, last)}
+    precision = F.when(day.isNotNull(), "day").when(month.isNotNull(), "month").otherwise("year")
+    return F.when(real, F.struct(*[v.cast("int").alias(k) for k, v in fields.items()], precision.alias("precision")))
 
-    def whole(y1, m1, d1, y2, m2, d2, precision):
-        fields = zip(("y1", "m1", "d1", "y2", "m2", "d2"), (y1, m1, d1, y2, m2, d2), strict=True)
-        return F.struct(*[(F.lit(v) if isinstance(v, int) else v).cast("int").alias(k) for k, v in fields], F.lit(precision).alias("precision"))
 
-    day, month, year = group(text, day_form, 1).cast("int"), month_number(group(text, day_form, 2)), year_number(group(text, day_form, 3))
-    as_day = F.when((day >= 1) & (day <= days_in_month(year, month)) & month.isNotNull() & year.isNotNull(), whole(year, month, day, year, month, day, "day"))
-    m, y = month_number(group(text, month_form, 1)), year_number(group(text, month_form, 2))
-    as_month = F.when(m.isNotNull() & y.isNotNull(), whole(y, m, 1, y, m, days_in_month(y, m), "month"))
-    first, suffix = year_number(group(text, dual_form, 1)), group(text, dual_form, 2)
-    century = F.floor(first / 100).cast("int")
-    second = F.when(F.length(suffix) == 2, century * 100 + suffix.cast("int")).otherwise(year_number(suffix))
-    as_dual = F.when(second == first + 1, whole(first, 1, 1, second, 12, 31, "year"))
-    only = year_number(text)
-    as_year = F.when(only.isNotNull(), whole(only, 1, 1, only, 12, 31, "year"))
-    return F.when(text.rlike(day_form), as_day).when(text.rlike(month_form), as_month).when(text.rlike(dual_form), as_dual).otherwise(as_year)
+#: The forms of a date with a qualifier.
+FORM = r"(?s)\A(?:BET +(.+) +AND +(.+)|FROM +(.+) +TO +(.+)|(ABT|CAL|EST|BEF|AFT) +(.+))\z"
 
 
 def lexical_form(raw: Column) -> Column:
@@ -124,43 +124,32 @@ def _interval(calendar: Column, text: Column, life_start: Column, life_end: Colu
         p = F.lit(precision) if isinstance(precision, str) else precision
         return F.struct(start.alias("date_start"), end.alias("date_end"), p.alias("precision"), qualifier.alias("qualifier"), status.alias("parse_status"), none.alias("reason"))
 
-    between, span = r"(?s)\ABET +(.+) +AND +(.+)\z", r"(?s)\AFROM +(.+) +TO +(.+)\z"
-    is_between, is_span = text.rlike(between), text.rlike(span)
-    ends = F.struct(
-        basic_date(F.when(is_between, group(text, between, 1)).otherwise(group(text, span, 1))).alias("left"), basic_date(F.when(is_between, group(text, between, 2)).otherwise(group(text, span, 2))).alias("right")
-    )
-    of_range = lambda e: F.when(e["left"].isNull() | e["right"].isNull() | (_start(e["left"]) > _end(e["right"])), missing("invalid range")).otherwise(
-        found(_start(e["left"]), _end(e["right"]), "range", F.concat(mark, F.when(is_between, "BET").otherwise("FROM TO")))
-    )
-    ranged = let(ends, of_range)
-    about = r"(?s)\A(ABT|CAL|EST) +(.+)\z"
-    word = group(text, about, 1)
-    years = F.when(word == "ABT", F.lit(int(s["abt_years"]))).when(word == "CAL", F.lit(int(s["cal_years"]))).otherwise(F.lit(int(s["est_years"])))
-    of_rough = lambda b: F.when(b.isNull(), missing("invalid qualified date")).otherwise(found(iso(F.greatest(F.lit(1), b["y1"] - years), 1, 1), iso(b["y2"] + years, 12, 31), "year", F.concat(mark, word)))
-    rough = let(basic_date(group(text, about, 2)), of_rough)
-    open_form = r"(?s)\A(BEF|AFT) +(.+)\z"
-    side, reach = group(text, open_form, 1), int(s["open_interval_fallback_years"])
-
-    def of_open(o):
-        start = F.when(side == "BEF", F.coalesce(life_start, iso(F.greatest(F.lit(1), o["y1"] - reach), 1, 1))).otherwise(_moved(o["y2"], o["m2"], o["d2"], 1))
-        end = F.when(side == "BEF", _moved(o["y1"], o["m1"], o["d1"], -1)).otherwise(F.coalesce(life_end, iso(o["y2"] + reach, 12, 31)))
-        known = F.when(side == "BEF", life_start).otherwise(life_end)
-        clamped = lambda e: F.when(e["a"] > e["z"], missing("outside lifespan")).otherwise(found(e["a"], e["z"], F.when(known.isNull(), "inferred").otherwise("range"), F.concat(mark, side)))
-        return F.when(o.isNull(), missing("invalid open date")).otherwise(let(F.struct(start.alias("a"), end.alias("z")), clamped))
-
-    opened = let(basic_date(group(text, open_form, 2)), of_open)
-    days = int(s["pre_1752_widen_days"])
-
-    def of_plain(p):
+    part = lambda n: filled(F.regexp_extract(text, FORM, n))
+    kind = F.when(part(1).isNotNull(), "BET").when(part(3).isNotNull(), "FROM TO").otherwise(part(5))
+    operands = F.array(F.coalesce(part(1), part(3), part(6), text), F.coalesce(part(2), part(4)))
+    reach, days = int(s["open_interval_fallback_years"]), int(s["pre_1752_widen_days"])
+
+    def of(form):
+        word, p, right = form["kind"], F.get(form["dates"], F.lit(0)), F.get(form["dates"], F.lit(1))
+        ranged = F.when(p.isNull() | right.isNull() | (_start(p) > _end(right)), missing("invalid range")).otherwise(found(_start(p), _end(right), "range", F.concat(mark, word)))
+        years = F.when(word == "ABT", int(s["abt_years"])).when(word == "CAL", int(s["cal_years"])).otherwise(int(s["est_years"]))
+        rough = F.when(p.isNull(), missing("invalid qualified date")).otherwise(found(iso(F.greatest(F.lit(1), p["y1"] - years), 1, 1), iso(p["y2"] + years, 12, 31), "year", F.concat(mark, word)))
+        before = word == "BEF"
+        start = F.when(before, F.coalesce(life_start, iso(F.greatest(F.lit(1), p["y1"] - reach), 1, 1))).otherwise(_moved(p["y2"], p["m2"], p["d2"], 1))
+        end = F.when(before, _moved(p["y1"], p["m1"], p["d1"], -1)).otherwise(F.coalesce(life_end, iso(p["y2"] + reach, 12, 31)))
+        known = F.when(before, life_start).otherwise(life_end)
+        clamped = lambda e: F.when(e["a"] > e["z"], missing("outside lifespan")).otherwise(found(e["a"], e["z"], F.when(known.isNull(), "inferred").otherwise("range"), F.concat(mark, word)))
+        opened = F.when(p.isNull(), missing("invalid open date")).otherwise(let(F.struct(start.alias("a"), end.alias("z")), clamped))
         early = calendar.isNull() & (p["y1"] < 1752)
-        start, end = F.when(early, _moved(p["y1"], p["m1"], p["d1"], -days)).otherwise(_start(p)), F.when(early, _moved(p["y2"], p["m2"], p["d2"], days)).otherwise(_end(p))
-        return F.when(p.isNull(), missing("unrecognized date")).otherwise(found(start, end, p["precision"], calendar))
-
-    plain = let(basic_date(text), of_plain)
-    return (
-        F.when(calendar.isNotNull() & ~calendar.isin("@#DGREGORIAN@", "@#DJULIAN@"), missing(F.concat(F.lit("unsupported calendar "), calendar)))
-        .when(is_between | is_span, ranged)
-        .when(word.isNotNull(), rough)
-        .when(side.isNotNull(), opened)
-        .otherwise(plain)
-    )
+        at = lambda moved, plain: F.when(early, moved).otherwise(plain)
+        exact = found(at(_moved(p["y1"], p["m1"], p["d1"], -days), _start(p)), at(_moved(p["y2"], p["m2"], p["d2"], days), _end(p)), p["precision"], calendar)
+        return (
+            F.when(word.isin("BET", "FROM TO"), ranged)
+            .when(word.isin("BEF", "AFT"), opened)
+            .when(word.isNotNull(), rough)
+            .otherwise(F.when(p.isNull(), missing("unrecognized date")).otherwise(exact))
+        )
+
+    parsed = let(F.struct(kind.alias("kind"), operands.alias("texts")), lambda f: F.struct(f["kind"].alias("kind"), F.transform(f["texts"], basic_date).alias("dates")))
+    strange = calendar.isNotNull() & ~calendar.isin("@#DGREGORIAN@", "@#DJULIAN@")
+    return F.when(strange, missing(F.concat(F.lit("unsupported calendar "), calendar))).otherwise(let(parsed, of))

@@ -11,11 +11,26 @@ from pyspark.sql import window as W
 from heirloom.functions.text import filled, trimmed
 
 
-def with_records(lines: DataFrame, key: Sequence[str] = ()) -> DataFrame:
-    """Add record_no, the number of level-0 lines so far in the file, and record_xref, the xref of the last one (or empty)."""
-    w = W.Window.partitionBy(*key or [F.lit(0)]).orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, 0)
+#: Line numbers in one bucket.
+WIDTH = 1 << 17
+
+
+def with_records(lines: DataFrame, key: Sequence[str] = (), width: int = WIDTH) -> DataFrame:
+    """Add record_no, the number of level-0 lines so far in the file, and record_xref, the xref of the last one (or empty).
+
+    A file is never sorted in one task: buckets of ``width`` line numbers are counted first, and a line adds the level-0 lines of the
+    buckets before to those before it in its own.
+    """
+    key = list(key)
     head = F.when(F.col("level") == 0, F.struct(F.coalesce("xref", F.lit("")).alias("x")))
-    return lines.withColumns({"record_no": F.sum((F.col("level") == 0).cast("long")).over(w), "record_xref": F.coalesce(F.last(head, ignorenulls=True).over(w)["x"], F.lit(""))})
+    cut = lines.withColumns({"__b": F.floor(F.col("line_no") / width), "__h": head})
+    before = W.Window.partitionBy(*key or [F.lit(0)]).orderBy("__b").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*key, "__b").agg(F.count("__h").alias("__n"), F.max_by("__h", F.when(F.col("level") == 0, F.col("line_no"))).alias("__x"))
+    starts = sums.select(*key, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.last("__x", ignorenulls=True).over(before).alias("__x0"))
+    near = W.Window.partitionBy(*key, "__b").orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, 0)
+    inside = cut.withColumns({"__r": F.count("__h").over(near), "__l": F.last("__h", ignorenulls=True).over(near)})
+    out = inside.join(starts, [*key, "__b"])
+    return out.select(*[F.col(f"`{c}`") for c in lines.columns], (F.col("__n0") + F.col("__r")).alias("record_no"), F.coalesce(F.coalesce("__l", "__x0")["x"], F.lit("")).alias("record_xref"))
 
 
 def with_parents(lines: DataFrame, record: Sequence[str] = ("record_no",)) -> DataFrame:

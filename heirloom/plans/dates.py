@@ -10,6 +10,23 @@ from heirloom.functions.dates import normalize_date
 from heirloom.sources.store import Store, report, settle
 
 
+def with_dates(df: DataFrame, *keys: str, settings: dict | None = None) -> DataFrame:
+    """Add the struct d of the dates that ``keys`` write: a text and, if open dates are to be clamped, the start and end of a life.
+
+    Files write the same date many times, so each is read once.  The distinct ones are few bytes but slow to read, hence a
+    fixed number of partitions, which Spark won't merge.  They are written, so that the join back is a broadcast if they are
+    small and splits a frequent date if not.
+    """
+    spark = df.sparkSession
+    written = df.select(*keys).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    raw, *life = [F.col(k) for k in keys]
+    read = settle(written.withColumn("d", normalize_date(raw, *life, settings=settings)), "dates")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return df.alias("e").join(read.alias("r"), on, "left").select("e.*", "r.d")
+
+
 def life_bounds(dated: DataFrame) -> DataFrame:
     """subject_id, life_start, life_end: earliest start of a birth and latest end of a death, of dates that stand without guessing.
 
@@ -25,16 +42,17 @@ def dated_events(events: DataFrame, settings: dict | None = None) -> DataFrame:
     """``events`` with the struct d of their dates; open dates of people are clamped to their lives.
 
     Only events decide: running the pass again gives the same rows.  Both steps are written to the shared
-    folder, so a date is parsed once, and only open dates of people with known bounds a second time.
+    folder; a written date is read once, and again only with the bounds of lives that open dates are clamped to.
     """
-    plain = settle(events.withColumn("d", normalize_date(F.col("date_raw"), settings=settings)), "dates")
+    plain = settle(with_dates(events, "date_raw", settings=settings), "dates")
     bounds = life_bounds(plain).withColumn("subject_type", F.lit("individual"))
     both = plain.join(bounds, ["subject_type", "subject_id"], "left")
     known = F.coalesce("life_start", "life_end").isNotNull()
     # wherever the qualifier stands, after a calendar too, its letters are in the text
     again = known & F.col("date_raw").rlike("(?i)BEF|AFT")
-    clamped = F.when(again, normalize_date(F.col("date_raw"), F.col("life_start"), F.col("life_end"), settings)).otherwise(F.col("d"))
-    return settle(both.withColumn("d", clamped).drop("life_start", "life_end"), "dated")
+    again = F.coalesce(again, F.lit(False))
+    clamped = with_dates(both.where(again).drop("d"), "date_raw", "life_start", "life_end", settings=settings)
+    return settle(both.where(~again).unionByName(clamped).drop("life_start", "life_end"), "dated")
 
 
 def event_dates(dated: DataFrame) -> DataFrame:

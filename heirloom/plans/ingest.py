@@ -113,9 +113,14 @@ def people_without_events(persons: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, store: Store, path: str, config: Config | None = None) -> dict:
-    """Read one file and replace the tables of this pass; what depends on them is cleared."""
+    """Read one file and replace the tables of this pass; what depends on them is cleared.
+
+    A store holds one tree: xrefs and line numbers are those of one file, so a path that names several is refused.
+    """
     config = config or load_config()
     files = settle(read_files(spark, path), "file")
+    if files.limit(2).count() > 1:
+        raise ValueError(f"{path} names more than one file; ingest each into a store of its own")
     lines = settle(line_table(split_lines(files.select("text"))), "lines")
     store.clear_for("ingest")
     store.write("raw_records", raw_records(lines))

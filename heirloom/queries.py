@@ -136,7 +136,7 @@ dated AS (SELECT * FROM raw WHERE date_start <= date_end)"""
 )
 def date_normalize(spark, sf):
     """Twelve forms of written dates."""
-    return orders_dated(spark, sf).select("o_orderkey", normalize_date(phrase(F.col("form"))).alias("n")).select("o_orderkey", "n.*")
+    return dates.with_dates(orders_dated(spark, sf).select("o_orderkey", phrase(F.col("form")).alias("raw")), "raw").select("o_orderkey", "d.*")
 
 
 @query(
@@ -145,7 +145,7 @@ def date_normalize(spark, sf):
 def date_widen(spark, sf):
     """The same three hundred years earlier, where plain dates are widened."""
     o = orders_dated(spark, sf).withColumn("d", F.add_months("d", -3600))
-    return o.select("o_orderkey", normalize_date(phrase(F.col("form"))).alias("n")).select("o_orderkey", "n.date_start", "n.date_end", "n.precision", "n.qualifier")
+    return dates.with_dates(o.select("o_orderkey", phrase(F.col("form")).alias("raw")), "raw").select("o_orderkey", "d.date_start", "d.date_end", "d.precision", "d.qualifier")
 
 
 @query(
@@ -189,6 +189,37 @@ def undated_report(spark, sf):
     return inspect.undated(ev, dates.event_dates(dates.dated_events(ev)))
 
 
+WRITTEN = """list_extract([day(d) || ' ' || upper(strftime(d, '%b')) || ' ' || year(d), lower(strftime(d, '%b')) || ' ' || year(d), year(d)::VARCHAR, 'Abt. ' || year(d), 'cal ' || upper(strftime(d, '%b')) || ' ' || year(d),
+  'EST  ' || day(d) || '  ' || upper(strftime(d, '%b')) || '  ' || year(d), 'Bet. ' || year(d) || '–' || (year(d) + 2), 'FROM ' || upper(strftime(d, '%b')) || ' ' || year(d) || ' TO ' || (year(d) + 1), 'BEF ' || year(d),
+  'Aft. ' || day(d) || ' ' || upper(strftime(d, '%b')) || ' ' || year(d), year(d) || '/' || lpad(((year(d) + 1) % 100)::VARCHAR, 2, '0'), 'about ' || year(d)], form + 1)"""
+
+
+def named(spark, sf) -> DataFrame:
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name_full"))
+
+
+@query(f"WITH {DATED} SELECT c_name AS name_full, ev.event_type, {WRITTEN} AS date_raw, date_start, date_end, precision, qualifier, 'ok' AS parse_status FROM dated JOIN ev USING (id) LEFT JOIN customer ON ev.subject_type = 'individual' AND c_custkey = ev.subject_id ORDER BY id LIMIT 30")
+def date_sample(spark, sf):
+    """The first thirty dated events."""
+    ev = tree_events(spark, sf)
+    return inspect.date_sample(ev, dates.event_dates(dates.dated_events(ev)), named(spark, sf))
+
+
+@query(
+    f"WITH {DATED}, l AS (SELECT subject_id AS k, min(date_start) FILTER (event_type = 'BIRT') AS birth_start, max(date_end) FILTER (event_type <> 'BIRT') AS death_end FROM dated WHERE subject_type = 'individual' GROUP BY 1) SELECT c_name AS name_full, ev.event_type, {WRITTEN} AS date_raw, date_start, date_end, birth_start, death_end FROM dated JOIN ev USING (id) JOIN l ON k = ev.subject_id JOIN customer ON c_custkey = k WHERE ev.subject_type = 'individual' AND qualifier IN ('BEF', 'AFT') AND (date_start < birth_start OR date_end > death_end)"
+)
+def lifespan_violations(spark, sf):
+    """Open dates that leave the life of their person: an open date is clamped on its open side only."""
+    ev = tree_events(spark, sf)
+    dated = settle(dates.dated_events(ev), "dated")
+    return inspect.lifespan_violations(ev, dates.event_dates(dated), dates.lifespans(named(spark, sf), dated))
+
+
+@query(f"WITH {EV}, {FAM} SELECT 'events' AS table_name, count(*) AS n_rows FROM ev UNION ALL SELECT 'families', count(*) FROM family UNION ALL SELECT 'family_children', count(*) FROM child UNION ALL SELECT 'places', 0")
+def row_counts(spark, sf):
+    return inspect.row_counts({"events": tree_events(spark, sf), "families": tree_families(spark, sf), "family_children": tree_children(spark, sf), "places": tree_events(spark, sf).limit(0)})
+
+
 @query(
     f"WITH {DATED} SELECT count(*) AS events_in, (SELECT count(*) FROM dated) AS rows_out, (SELECT count(*) FROM dated WHERE qualifier IN ('BEF', 'AFT')) AS clamped FROM ev"
 )
@@ -481,6 +512,16 @@ def edge_integrity(spark, sf):
     return inspect.one_way_edges(tree_edges(spark, sf).where("from_id % 5 <> 0"))
 
 
+@query(
+    f"WITH {EDGE}, k AS (SELECT * FROM e WHERE from_id % 5 <> 0), d AS (SELECT c_custkey AS a_id, c_custkey * 7 % 1000 AS b_id, CASE WHEN c_custkey % 3 <> 0 THEN 1 END AS blood_degree, CASE WHEN c_custkey % 4 = 0 THEN 1 END AS mrca_id FROM customer) SELECT (SELECT count(*) FROM k WHERE NOT EXISTS (SELECT 1 FROM k r WHERE r.from_id = k.to_id AND r.to_id = k.from_id AND r.weight = k.weight AND ((k.edge_type = 'parent' AND r.edge_type = 'child') OR (k.edge_type = 'child' AND r.edge_type = 'parent') OR (k.edge_type = 'spouse' AND r.edge_type = 'spouse')))) AS missing_reverse_edges, (SELECT count(*) FROM d WHERE a_id >= b_id) AS noncanonical_distance_pairs, (SELECT count(*) FROM d WHERE blood_degree IS NULL AND mrca_id IS NOT NULL) AS bloodless_rows_with_mrca"
+)
+def kinship_integrity(spark, sf):
+    """Counts of what a sound store has none of, on edges and pairs that were spoilt."""
+    k = F.col("c_custkey")
+    pairs = table(spark, sf, "customer").select(k.alias("a_id"), (k * 7 % 1000).alias("b_id"), F.when(k % 3 != 0, 1).alias("blood_degree"), F.when(k % 4 == 0, 1).alias("mrca_id"))
+    return inspect.kinship_integrity(tree_edges(spark, sf).where("from_id % 5 <> 0"), pairs)
+
+
 UP = """up AS (SELECT to_id AS node, from_id AS parent FROM e WHERE edge_type = 'parent' AND weight = 1),
 walk AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT start, parent, depth + 1 FROM walk JOIN up USING (node) WHERE depth < 10),
 anc AS (SELECT start, node, depth, count(*) AS paths FROM walk w WHERE depth = (SELECT min(depth) FROM walk v WHERE v.start = w.start AND v.node = w.node) GROUP BY 1, 2, 3)"""

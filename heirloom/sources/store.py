@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
-import shutil
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -47,10 +47,15 @@ STALE = {
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the shared folder named in spark.checkpoint.dir and read back, so that lost executors cost no recomputation."""
+    """Write to the shared folder named in spark.checkpoint.dir and read back, so that lost executors cost no recomputation.
+
+    Only where executors run in the driver, as in tests, a local folder serves if none is named.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='heirloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
@@ -128,28 +133,24 @@ def artifact_path(folder: str, name: str) -> Path:
     base = Path(folder).resolve()
     path = (base / name).resolve()
     if path == base or not path.is_relative_to(base):
-        raise ValueError(f"Artifact path escapes output directory: {name}")
+        raise ValueError(f"{name} lies outside {folder}")
     return path
 
 
 def write_csv(df: DataFrame, folder: str, name: str) -> Path:
     """Write a report as one CSV file: header, LF, quotes only where a comma, quote or line end needs them.
 
-    Rows keep the order of ``df``.  The file is meant for people, so one task writes it.
+    Rows keep the order of ``df`` and come to the driver one partition at a time, as the file is one on its disk.
     """
     path = artifact_path(folder, name)
-    spool = path.with_name(f".{path.name}-{uuid.uuid4().hex}")
     cells = [F.col(c).cast("string") for c in df.columns]
     need = lambda c: c.rlike(r'[",\r\n]')
     quoted = [F.when(need(c), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))) for c in cells]
-    df.select(F.concat_ws(",", *quoted).alias("value")).coalesce(1).write.option("lineSep", "\n").text(f"file://{spool}")
     path.parent.mkdir(parents=True, exist_ok=True)
     with path.open("w", encoding="utf-8", newline="") as out:
         out.write(",".join(df.columns) + "\n")
-        for part in sorted(spool.glob("part-*")):
-            with part.open(encoding="utf-8", newline="") as lines:
-                shutil.copyfileobj(lines, out)
-    shutil.rmtree(spool)
+        for row in df.select(F.concat_ws(",", *quoted).alias("value")).toLocalIterator():
+            out.write(row["value"] + "\n")
     return path
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heirloom import cli
 from heirloom.operators.hierarchy import with_parents, with_records
-from heirloom.plans import inspect, kinship
+from heirloom.plans import ingest, inspect, kinship
 from heirloom.sources.encodings import decode, hint_of
 from heirloom.sources.gedcom import parse_lines, split_lines
 from heirloom.sources.store import Store
@@ -40,7 +40,7 @@ def test_parents_equal_a_stack(spark):
             want[file, n] = stack.get(level - 1) if level else None
             stack = {k: v for k, v in stack.items() if k < level} | {level: n}
     lines = spark.createDataFrame(rows, "file int, line_no long, level int, xref string")
-    got = with_parents(with_records(lines, ["file"]), ["file", "record_no"])
+    got = with_parents(with_records(lines, ["file"], width=7), ["file", "record_no"])
     assert {(r["file"], r["line_no"]): r["parent_line"] for r in got.collect()} == want
 
 
@@ -125,3 +125,14 @@ def test_empty_file(spark, tmp_path):
     (tmp_path / "e.ged").write_bytes(b"")
     assert cli.main(["ingest", "--db", str(tmp_path / "t"), "--gedcom", str(tmp_path / "e.ged")], spark) == 0
     assert Store(spark, f"file://{tmp_path}/t").read("individuals").agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_one_file_a_store(spark, tmp_path):
+    """Two files have the same xrefs and line numbers; together they are refused, and nothing is written."""
+    for name, person in (("a", "Ann /A/"), ("b", "Bob /B/")):
+        (tmp_path / f"{name}.ged").write_text(f"0 HEAD\n0 @I1@ INDI\n1 NAME {person}\n0 TRLR\n")
+    store = Store(spark, f"{tmp_path}/db")
+    with pytest.raises(ValueError, match="more than one file"):
+        ingest.run(spark, store, str(tmp_path / "*.ged"))
+    assert store.read("individuals").count() == 0
+    assert ingest.run(spark, store, str(tmp_path / "a.ged"))["individuals"] == 1
