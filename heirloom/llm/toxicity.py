@@ -15,16 +15,16 @@ from heirloom.llm.quality import training_rows
 
 #: The sample that the classifier is fitted on: labelled documents, at most, those with the smallest hashes of their ids, and terms of them all
 #: together, at most (a document beyond is left out of the sample whole, never cut).
-MOST_EXAMPLES, MOST_POSTINGS = 10_000, 12_000_000
+MOST_EXAMPLES, MOST_POSTINGS = 8_000, 8_000_000
 
 #: Bytes of a word's beginning that is a term beside the word.
 BEGINNING = 5
 
 #: Neighbours that vote; examples in a block of the index; texts that are scored together.
-NEIGHBOURS, BLOCK, TOGETHER = 10, 64, 128
+NEIGHBOURS, BLOCK, TOGETHER = 10, 64, 32
 
 #: Terms that more than one in COMMON_SHARE examples have are bounded by block before they are summed; least distance that a vote is divided by.
-COMMON_SHARE, CLOSEST = 48, 1e-4
+COMMON_SHARE, CLOSEST = 24, 1e-4
 
 #: Documents of the other label that count beside those seen in a term's relevance; its power.
 DOUBT, POWER = 5.0, 2
@@ -123,26 +123,33 @@ class ExampleIndex:
         """Bytes that are sent to each executor."""
         return self.terms.nbytes + self.df.nbytes + sum(len(p[2]) for p in self.posted) + 64 * self.n
 
+    def release(self) -> None:
+        self.lists = self.weights = self.dense = self.top = None
+        ExampleIndex.held = None
+
     def weigh(self) -> None:
         """Weights and blocks; done where they are used.  Of the indexes of a process only the last one used holds them."""
         if ExampleIndex.held is not None:
-            ExampleIndex.held.lists = ExampleIndex.held.dense = None
+            ExampleIndex.held.release()
         ExampleIndex.held = self
         n, df, yes = self.n, self.df, self.y.sum()
         rows, tf = self.postings()
         place = np.repeat(np.arange(len(df), dtype=np.int32), df)
-        seen = np.bincount(place, self.y[rows], minlength=len(df))
+        seen = np.bincount(place[(self.y > 0)[rows]], minlength=len(df))
         relevance = (seen / max(yes, 1)) / ((df - seen + DOUBT) / max(n - yes, 1))
         self.idf = ((np.log((1 + n) / (1 + df)) + 1) * np.log2(2 + relevance) ** POWER).astype(np.float32)
         self.new = float(np.log(1 + n) + 1)
         del seen, relevance
-        w = (1 + np.log(tf, dtype=np.float32)) * self.idf[place]
-        del tf
-        norm = np.zeros(n)
+        w, norm = np.empty(len(rows), np.float32), np.zeros(n)
         for at in range(0, len(w), 1 << 18):
             part = slice(at, at + (1 << 18))
+            w[part] = (1 + np.log(tf[part], dtype=np.float32)) * self.idf[place[part]]
             norm += np.bincount(rows[part], w[part] * w[part], minlength=n)
-        w /= np.sqrt(norm).astype(np.float32)[rows]
+        del tf
+        norm = np.sqrt(norm).astype(np.float32)
+        for at in range(0, len(w), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            w[part] /= norm[rows[part]]
         many = df.astype(int) * COMMON_SHARE > n
         common = many[place]
         self.column = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
@@ -193,8 +200,14 @@ class ExampleIndex:
         q[text[thick], column[thick]] = w[thick]
         text, term, w = text[~thick], term[~thick], w[~thick]
         size = self.start[term + 1] - self.start[term]
-        index = np.arange(size.sum()) + np.repeat(self.start[term] - np.r_[0, np.cumsum(size)[:-1]], size) if len(size) else np.zeros(0, int)
-        rare = np.bincount(np.repeat(text * n, size) + self.lists[index], self.weights[index] * np.repeat(w, size), minlength=m * n).reshape(m, n).astype(np.float32)
+        index = np.repeat((self.start[term] - np.r_[0, np.cumsum(size)[:-1]]).astype(np.int32), size) if len(size) else np.zeros(0, np.int32)
+        index += np.arange(len(index), dtype=np.int32)
+        value = self.weights[index]
+        value *= np.repeat(w, size)
+        index = self.lists[index]
+        index += np.repeat((text * n).astype(np.int32), size)
+        rare = np.bincount(index, value, minlength=m * n).astype(np.float32).reshape(m, n)
+        del index, value
         bound = q @ self.top.T + np.maximum.reduceat(rare, self.cuts, axis=1)
         sums = np.zeros((m, n), np.float32)
         least, done, step = np.zeros(m, np.float32), np.zeros(0, np.int64), 4
@@ -247,7 +260,9 @@ class ExampleIndex:
         rest = ExampleIndex([], self.y[~own], at, self.terms[term], tf, self.k, self.block)
         del at, term, tf
         at, term, tf = part(own)
-        return np.flatnonzero(own), rest.votes(*rest.nearest(Counts(int(own.sum()), self.terms, at.astype(np.int64), term, tf)))
+        votes = rest.votes(*rest.nearest(Counts(int(own.sum()), self.terms, at, term, tf)))
+        rest.release()
+        return np.flatnonzero(own), votes
 
 
 def isotonic(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,6 +293,7 @@ def calibrated(spark, index: ExampleIndex) -> ExampleIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(votes)], names=["place", "vote"])
 
     rows = spark.range(0, FOLDS, 1, FOLDS).mapInArrow(run, "place bigint, vote double").toArrow()
+    shared.unpersist()
     at, votes = rows.column("place").to_numpy(), rows.column("vote").to_numpy()
     order = np.argsort(at)
     at, votes = at[order], votes[order]

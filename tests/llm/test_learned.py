@@ -115,7 +115,7 @@ def prose(seed, texts, common, own, insults):
     return {i: " ".join(rng.choices(pool, k=20) + [word() for _ in range(own)] + rng.choices(insults, k=i % 4 == 0)) for i in range(texts)}
 
 
-@pytest.mark.parametrize(("share", "block"), [(48, 64), (3, 7), (0, 16), (10**9, 16)])
+@pytest.mark.parametrize(("share", "block"), [(24, 64), (3, 7), (0, 16), (10**9, 16)])
 def test_neighbours_are_exact(monkeypatch, share, block):
     monkeypatch.setattr(toxicity, "COMMON_SHARE", share)
     texts = prose(3, 300, 60, 5, ["vile", "vileness"])
