@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heirloom.llm import metric_join, mixture, preferences, sharding, shingle_join, suffix_dedup, url_rules, winnowing
+from heirloom.llm import common, metric_join, mixture, preferences, sharding, shingle_join, suffix_dedup, url_rules, winnowing
 
 WORDS = "the of and to ab cd ef gh ij kl mn op qr st uv wx yz éa ßo ñu".split()
 
@@ -119,6 +120,28 @@ def test_communication_matrix():
     assert abs(np.mean(draws) - 6) < 0.15 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.3
 
 
+def test_shards_model(spark):
+    """The query's rows from a plain model of draw, cut and rank."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, i, i, i]), rng.choice([None, "", "é", "xyz" * (i % 5)])) for i in range(400)]
+    key = lambda seed, *v: hashlib.md5("|".join([seed, *("\x00" if x is None else str(x) for x in v)]).encode()).hexdigest()
+    full = [(k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in rows]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    buckets: dict = {}
+    for r in full:
+        buckets.setdefault(key("shard-bucket", r[0])[:3], []).append(r)
+    names = sorted(buckets)
+    matrix = sharding.communication_matrix([len(buckets[b]) for b in names], 8, "shard")
+    shards: list[list] = [[] for _ in range(8)]
+    for b, counts in zip(names, matrix, strict=True):
+        own = iter(sorted(buckets[b], key=lambda r: (key("shard-local", r[0]), *order(r))))
+        for k, n in enumerate(counts):
+            shards[k] += [next(own) for _ in range(n)]
+    want = [(*r, k, slot) for k, own in enumerate(shards) for slot, r in enumerate(sorted(own, key=lambda r: (key("shard-slot", r[0], r[2]), *order(r))))]
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_shards(spark):
     rng = random.Random(2)
     rows = [(i if i % 7 else None, rng.choice([None, "", "éß", "x" * 5000]), 1) for i in range(501)] + [(3, "x", 1)] * 40
@@ -356,6 +379,22 @@ def test_recall_at_the_least_similarity(spark):
     assert sum(got[i + 1] == i for i in links) >= 0.999 * len(links)
 
 
+# ---- what operators leave behind
+
+
+def test_nothing_is_left(spark):
+    """After a scratch block the shared folder is as before, and no operator leaves a table in the catalog."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    there = lambda: {p.name for p in shared.iterdir()} if shared.exists() else set()
+    before = there()
+    docs = spark.createDataFrame([(i, "a b c d e f g " * 12 + str(i % 3)) for i in range(9)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 2)], 1) for i in range(9)], "vec_id long, embedding array<double>, label int")
+    with common.scratch(spark):
+        results = [shingle_join.drop_near_copies(docs), suffix_dedup.repeated_spans(docs), metric_join.near_vectors(vectors)]
+        assert [r.count() for r in results] == [3, 9, 9] and len(there() - before) == 1
+    assert there() == before and not spark.catalog.listTables()
+
+
 # ---- repeated strings
 
 

@@ -30,6 +30,31 @@ def test_additive_model_learns_a_pair():
     assert np.isfinite(alone.score(x)).all() and quality.fit(x[:0], np.zeros(0)).score(x[:1])[0] == 0.5
 
 
+def test_quality_by_plain_counts(spark):
+    """Features from a plain count, and a score as the sum of the table entries of its bins."""
+    rng = random.Random(4)
+    texts = ["", "A b!", "é é É 9,9\n" * 3] + ["".join(rng.choice("abC dé,.!|\n9 ") for _ in range(rng.randrange(300))) for _ in range(60)]
+    enc = [t.encode() for t in texts]
+    x = quality.features(np.frombuffer(b"".join(enc), np.uint8), np.r_[0, np.cumsum([len(b) for b in enc])])
+    for b, row in zip(enc, x, strict=True):
+        f = dict(zip(quality.FEATURES, row, strict=True))
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", b.lower())
+        some, one = max(len(words), 1), max(len(b), 1)
+        assert f["log_bytes"] == pytest.approx(math.log1p(len(b))) and f["log_words"] == pytest.approx(math.log1p(len(words)))
+        assert f["upper"] == pytest.approx(len(re.findall(rb"[A-Z]", b)) / one) and f["digit"] == pytest.approx(len(re.findall(rb"[0-9]", b)) / one)
+        assert f["bang"] == pytest.approx(b.count(b"!") / some) and f["bar"] == pytest.approx(b.count(b"|") / some) and f["newline"] == pytest.approx(b.count(b"\n") / some)
+        assert f["distinct_words"] == pytest.approx(len(set(words)) / some) and f["top_word"] == pytest.approx(max(Counter(words).values(), default=0) / some)
+        assert f["deflated"] == pytest.approx(len(zlib.compress(b, 1)) / one) and f["beyond_ascii"] == pytest.approx(sum(c > 127 for c in b) / one)
+    model = quality.fit(x, np.array([i % 3 == 0 for i in range(len(x))], float))
+    assert model.pairs
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for i, row in enumerate(x):
+        at = lambda edges, v: sum(e <= v for e in edges)
+        z = model.base + sum(t[at(e, v)] for e, t, v in zip(model.edges, model.tables, row, strict=True)) + sum(t[at(model.coarse[a], row[a]), at(model.coarse[b], row[b])] for a, b, t in model.pairs)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_additive_quality", "quality", 0.9), ("op2_nearest_toxic", "toxic", 0.85)])
 def test_held_out(spark, name, label, least):
     got = QUERIES[name](spark, SF)
