@@ -215,9 +215,47 @@ def test_winnowing(spark, block):
         n, hit, found = brute_hits(r["text"], items)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0), r
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-    if block == winnowing.BLOCK_BYTES:
-        none = spark.createDataFrame([], "item_id long, text string")
-        assert winnowing.decontaminate(df, none).where("contaminated").count() == 0 and winnowing.decontaminate(df.limit(0), none).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    for least in (block, -1):
+        assert winnowing.decontaminate(df, none, block_bytes=least).where("contaminated").count() == 0 and winnowing.decontaminate(df.limit(0), none, block_bytes=least).count() == 0
+
+
+@pytest.mark.parametrize("block", [winnowing.BLOCK_BYTES, 900])
+def test_winnowing_of_copies_and_long_words(spark, block):
+    rng = random.Random(16)
+    giant = ["x" * 300_000, "x" * 299_999 + "y", "é" * 150_000]
+    passage = [*giant, *(f"w{i}" for i in range(12))]
+    items = [(1, " ".join(passage)), (2, "the the"), (2, "the the"), (3, " ".join(["ab"] * 40)), (4, "w1 w2 w3 " + "cd " * 20)]
+    docs = [("id", i % 3, "the  THE ab " * 30 + " ".join(passage)) for i in range(40)]
+    docs += [("id", 50, " ".join(passage[1:11])), ("id", 51, " ".join(passage[1:10])), ("id", 52, " ".join([giant[1], *passage[1:10]])), ("id", 53, " ".join(rng.choice(["the", "ab", "cd"]) for _ in range(20_000))), ("id", None, None)]
+    df = spark.createDataFrame(docs, "owner string, start long, text string").repartition(5)
+    got = winnowing.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    assert got.columns[:3] == ["owner", "start", "text"]
+    got = got.collect()
+    assert len(got) == len(docs) and {r["owner"] for r in got} == {"id"}
+    model = {t: brute_hits(t, items) for _, _, t in set(docs)}
+    for r in got:
+        n, hit, found = model[r["text"]]
+        spans = r["hit_spans"]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0)
+        assert sum(spans[1::2]) - sum(spans[::2]) == hit and spans == sorted(spans)
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_winnowing_compares_words(monkeypatch):
+    """With hashes that mostly collide the index still finds the right words, and nothing else."""
+    real = winnowing.gram_hashes
+    monkeypatch.setattr(winnowing, "gram_hashes", lambda hashes, k, seed=1: real(hashes, k, seed) % np.uint64(2))
+    rng = random.Random(26)
+    items = list(enumerate(texts(rng, 12, 0, 30)))
+    index = winnowing.Index([str(i) for i, _ in items], [t for _, t in items])
+    for t in [*texts(rng, 8, 0, 50), *(f"ab {t} cd" for _, t in items)]:
+        hit, found = set(), set()
+        for at, n, which, item in index.hits(winnowing.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))):
+            hit |= {int(a) + j for a in at for j in range(n)}
+            found |= {str(i) for i in item}
+            assert len(which) == len(item)
+        assert (len(hit), found) == brute_hits(t, items)[1:]
 
 
 # ---- vectors
