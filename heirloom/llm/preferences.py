@@ -11,13 +11,17 @@ from heirloom.llm.common import order_key, ranked
 HEAD, MID, TAIL = "<|", "|>\n", "<|end|>\n"
 
 
+def told() -> Column:
+    """A turn: number, role and text; null texts as empty, null roles as user."""
+    return F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def gathered(turns: DataFrame) -> DataFrame:
-    """A row for each conversation: conv_id and its turns in order (turn, role, text; null texts as empty, null roles as user).
+    """A row for each conversation that has an id: conv_id and its turns in order.
 
     Turns of the same number are ordered by role and text; repeated rows stay.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(told())).alias("turns"))
 
 
 def opening_pairs(turns: DataFrame, seed: str = "prefer") -> DataFrame:
@@ -26,10 +30,9 @@ def opening_pairs(turns: DataFrame, seed: str = "prefer") -> DataFrame:
     The conversations of an opening are ranked by a hash of their id and paired in that order, so a common
     opening is never gathered: ranks come from buckets, and a pair is a group of two.  The last of an odd
     number, and every conversation with an opening of its own, has a null rejected_id.  Pairs are not
-    preferences of people: which is chosen follows from the hash.
+    preferences of people: which is chosen follows from the hash.  Turns without a conv_id are in no pair.
     """
-    first = F.min(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-    opening = turns.groupBy("conv_id").agg(first.alias("f")).select("conv_id", F.md5(F.concat_ws("|", "f.role", "f.text")).alias("opening"))
+    opening = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.min(told()).alias("f")).select("conv_id", F.md5(F.concat_ws("|", "f.role", "f.text")).alias("opening"))
     placed = ranked(opening.withColumn("key", order_key("conv_id", seed=seed)), ["opening"], "key", ["conv_id"], "rank")
     side = F.col("rank") % 2
     pair = placed.groupBy("opening", F.floor(F.col("rank") / 2).alias("n")).agg(
@@ -63,16 +66,20 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     are the rest of each, and their loss spans hold what the assistant says.  Status: ``pair``;
     ``identical`` if nothing differs (empty completions); ``prefix`` if one continues the other;
     ``single`` for a conversation without a partner: its prompt ends before its last assistant turn (none: it
-    is all prompt) and the rejected columns are null.  A null conv_id is a conversation like others.
-    Conversations that no pair names don't appear; ids that name no turns count as empty conversations.
+    is all prompt) and the rejected columns are null.  Turns without a conv_id are not gathered, as
+    they may be a large part of all: each is a ``single`` conversation of one turn with a null chosen_id.
+    Other conversations that no pair names don't appear; ids that name no turns, null too, count as empty conversations.
+    Other columns of ``turns`` and ``pairs`` are not looked at.
     """
     convs = gathered(turns)
     a = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"))
     b = convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b"))
-    both = pairs.alias("p").join(a.alias("a"), F.col("p.chosen_id").eqNullSafe(F.col("a.chosen_id")), "left")
-    both = both.join(b.alias("b"), F.col("paired") & F.col("p.rejected_id").eqNullSafe(F.col("b.rejected_id")), "left")
+    both = pairs.alias("p").join(a.alias("a"), F.col("p.chosen_id") == F.col("a.chosen_id"), "left")
+    both = both.join(b.alias("b"), F.col("paired") & (F.col("p.rejected_id") == F.col("b.rejected_id")), "left")
     none = F.expr("cast(array() as array<struct<turn:bigint,role:string,text:string>>)")
     t = both.select("p.chosen_id", "p.rejected_id", "paired", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    nobody = turns.where("conv_id IS NULL").select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), F.lit(False).alias("paired"), F.array(told()).alias("a"), none.alias("b"))
+    t = t.unionByName(nobody)
     same = F.transform(F.sequence(F.lit(0), F.least(F.size("a"), F.size("b")) - 1), lambda i: (F.get("a", i)["role"] == F.get("b", i)["role"]) & (F.get("a", i)["text"] == F.get("b", i)["text"]))
     shortest = F.least(F.size("a"), F.size("b"))
     miss = F.array_position(F.when(shortest > 0, same), False)

@@ -162,10 +162,14 @@ def test_shards(spark):
 
 
 def test_preferences(spark):
-    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (2, 0, "user", "q"), (2, 1, "assistant", "b"), (3, 0, "user", "q"), (3, 1, "assistant", "a"), (4, 0, None, None), (5, 0, "user", "q"), (5, 1, "assistant", "a"), (None, 0, "system", "s")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    pairs = spark.createDataFrame([(1, 2, True), (3, 5, True), (1, 3, True), (4, None, False), (2, None, False), (9, 1, True)], "chosen_id long, rejected_id long, paired boolean")
-    got = {(r["chosen_id"], r["rejected_id"]): r for r in preferences.format_preferences(df, pairs).collect()}
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (2, 0, "user", "q"), (2, 1, "assistant", "b"), (3, 0, "user", "q"), (3, 1, "assistant", "a"), (4, 0, None, None), (5, 0, "user", "q"), (5, 1, "assistant", "a"), (None, 0, "system", "s"), (None, 0, "system", "s"), (None, 0, "user", "q"), (None, 1, "assistant", "a"), (6, 0, "user", "u"), (6, 0, "assistant", "v"), (6, 0, "user", "u")]
+    df = spark.createDataFrame([(*t, "clash", -1) for t in turns], "conv_id long, turn long, role string, text string, status string, n_common long")
+    pairs = spark.createDataFrame([(1, 2, True), (3, 5, True), (1, 3, True), (4, None, False), (2, None, False), (9, 1, True), (6, None, False)], "chosen_id long, rejected_id long, paired boolean")
+    out = preferences.format_preferences(df, pairs).collect()
+    got = {(r["chosen_id"], r["rejected_id"]): r for r in out}
+    assert got[6, None]["prompt"] == "" and got[6, None]["chosen"] == "<|assistant|>\nv<|end|>\n" + 2 * "<|user|>\nu<|end|>\n"
+    alone = Counter((r["status"], r["prompt"], r["chosen"], r["rejected"]) for r in out if r["chosen_id"] is None)
+    assert alone == Counter({("single", "<|system|>\ns<|end|>\n", "", None): 2, ("single", "<|user|>\nq<|end|>\n", "", None): 1, ("single", "", "<|assistant|>\na<|end|>\n", None): 1})
     u = "<|user|>\nq<|end|>\n"
     assert got[1, 2]["prompt"] == u and got[1, 2]["status"] == "pair" and got[1, 2]["rejected"] == "<|assistant|>\nb<|end|>\n"
     text, span = got[1, 2]["chosen"], got[1, 2]["chosen_loss"]
@@ -176,7 +180,7 @@ def test_preferences(spark):
     assert got[2, None]["prompt"] == u and got[2, None]["rejected"] is None and got[9, 1]["n_common"] == 0
     found = preferences.opening_pairs(df).collect()
     ids = Counter(x for r in found for x in ([r["chosen_id"], r["rejected_id"]] if r["paired"] else [r["chosen_id"]]))
-    assert ids == Counter([1, 2, 3, 4, 5, None])
+    assert ids == Counter([1, 2, 3, 4, 5, 6])
     assert preferences.format_preferences(df.limit(0), preferences.opening_pairs(df.limit(0))).count() == 0
 
 
