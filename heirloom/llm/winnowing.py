@@ -271,7 +271,8 @@ def _joined(base: DataFrame, given: DataFrame, text: str, span: int, k: int) ->
     hits = settle(met.groupBy("owner").agg(F.collect_set(F.struct("start", "n")).alias("runs"), F.collect_set("item").alias("items")).mapInArrow(_spans_of, schema), "hits")
     none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256), "contaminated": F.lit(False), "hit_spans": F.array().cast("array<int>")}
     out = keyed.alias("d").join(hits.alias("h"), F.col(f"d.{key}") == F.col("h.owner"), "left")
-    n_words = F.regexp_count(F.coalesce(F.col(f"d.`{text}`"), F.lit("")), F.lit(WORD)).cast("long").alias("n_words")
+    marks = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"d.`{text}`"), F.lit("")), WORD, "w"), "[^w]+", "")
+    n_words = F.length(marks).cast("long").alias("n_words")
     return out.select(*[F.col(f"d.`{c}`") for c in base.columns], n_words, *[F.coalesce(F.col(f"h.{c}"), v).alias(c) for c, v in none.items()])
 
 
