@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heirloom.llm import metric_join, mixture, preferences, quality, sharding, shingle_join, suffix_dedup, toxicity, url_rules, winnowing
+from heirloom.llm import fill_middle, line_dedup, metric_join, mixture, preferences, quality, sharding, shingle_join, suffix_dedup, toxicity, turn_repair, url_rules, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sharding.op8_hypergeometric_shards,
         preferences.op9_preference_format,
         suffix_dedup.op10_suffix_sort,
+        line_dedup.op11_line_dedup,
+        fill_middle.op12_fill_in_middle,
+        turn_repair.op13_turn_repair,
     )
 }
 
@@ -32,4 +35,6 @@ SQL: dict[str, str] = {
     "op7_winnowing": winnowing.SQL,
     "op9_preference_format": preferences.SQL,
     "op10_suffix_sort": suffix_dedup.SQL,
+    "op11_line_dedup": line_dedup.SQL,
+    "op12_fill_in_middle": fill_middle.SQL,
 }

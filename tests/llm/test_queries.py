@@ -15,7 +15,7 @@ def rows(records):
     return sorted(tuple("" if v is None else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in records)
 
 
-@pytest.mark.parametrize("name", ["op3_url_rules", "op4_curriculum_mix", "op6_metric_join", "op7_winnowing", "op9_preference_format"])
+@pytest.mark.parametrize("name", ["op3_url_rules", "op4_curriculum_mix", "op6_metric_join", "op7_winnowing", "op9_preference_format", "op11_line_dedup", "op12_fill_in_middle"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
@@ -26,8 +26,8 @@ def test_sql(spark, name):
     assert rows(map(tuple, df.select(*cols).collect())) == rows(con.sql(f"SELECT {quoted} FROM ({SQL[name]})").fetchall())
 
 
-def test_all_ten():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+def test_all():
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     assert set(SQL) <= set(QUERIES)
 
 
