@@ -206,4 +206,4 @@ def test_conversations(spark):
 def test_steps_give_the_repaired_turns(spark):
     rows = spark.createDataFrame([(1, 0, "assistant", "Hi."), (1, 1, "user", "And"), (1, 2, "user", "And")], "k long, turn long, role string, text string")
     got = [tuple(r) for r in turn_repair.repair_steps(rows).orderBy("seq", "step").select("edit", "fault", "role", "text").collect()]
-    assert got == [("D", 0, None, None), ("D", 3, None, None), ("D", 2, None, None)]
+    assert got == [("I", None, "user", ""), ("K", 0, "assistant", "Hi."), ("D", 3, None, None), ("D", 2, None, None)]
