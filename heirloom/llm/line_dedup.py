@@ -26,6 +26,9 @@ def _lower() -> np.ndarray:
     return out
 
 
+#: A key in more rows than one of so many shares of all (and than so many) is dealt to several tasks; there can be no more such keys than shares.
+SHARES, SHARE_ROWS = 1000, 256
+
 LOWER = _lower()
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -181,7 +184,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     A first scan fills two Bloom filters, for hashes seen in one document and in two; pages of them are merged over tasks, and the second one, of fixed
     size, is broadcast.  A second scan lets only lines pass that it suspects.  Their keys are counted by their text, with partial counts before the
     shuffle, so a hash never decides; a line that it suspects wrongly is found once and stays.  A full filter suspects more lines, which
-    costs shuffle and changes no row.  Documents without suspects never move their text.
+    costs shuffle and changes no row.  Documents without suspects never move their text.  Rows of a frequent key are dealt to several tasks, by a table of
+    at most SHARES hashes, where they meet the verdict on it.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
@@ -189,8 +193,13 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     shared = spark.sparkContext.broadcast(twice_seen(given.select("t"), least_chars, bits))
     scanned = settle(given.mapInArrow(_suspects(shared, least_chars, bits), f"k {kind}, {SCANNED}").withColumn("row", F.monotonically_increasing_id()), "lines")
     suspects = scanned.select("row", "k", F.explode("keys").alias("s")).select("row", "k", "s.key", "s.lines")
-    repeated = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last")).where(F.col("n") >= least_docs).select("key", "last")
-    hits = suspects.join(repeated, "key").where(~F.col("k").eqNullSafe(F.col("last"))).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("dropped"))
+    repeated = settle(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last")).where(F.col("n") >= least_docs), "repeated")
+    share = max(SHARE_ROWS, (repeated.agg(F.sum("n")).first()[0] or 0) // SHARES)
+    hot = F.broadcast(repeated.where(F.col("n") > share).groupBy(F.xxhash64("key").alias("hash")).agg(F.max(F.ceil(F.col("n") / share)).cast("int").alias("parts")))
+    dealt = lambda df: df.withColumn("hash", F.xxhash64("key")).join(hot, "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("hash")
+    left = dealt(suspects).withColumn("part", F.pmod("row", "parts")).drop("parts")
+    right = dealt(repeated).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("key", "last", "part")
+    hits = left.join(right, ["key", "part"]).where(~F.col("k").eqNullSafe(F.col("last"))).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("dropped"))
     both = scanned.drop("keys").join(hits, "row", "left").select("k", "n_lines", "digest", "t", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
     return both.mapInArrow(_kept, f"k {kind}, n_lines long, dropped array<int>, kept string, kept_sha256 string").withColumnRenamed("k", key)
 
