@@ -1,4 +1,4 @@
-"""Command line: init, ingest, dates, places, kinship, all, inspect; planned passes are refused."""
+"""Command line: init, the passes from ingest to export, all (the first four), inspect."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from heirloom.config import load_config
-from heirloom.plans import dates, ingest, inspect, kinship, places
-from heirloom.sources.store import Store
+from heirloom.plans import candidates, dates, export, ingest, inspect, kinship, places, presence
+from heirloom.sources.store import Store, scratch
 
-PLANNED = ("presence", "candidates", "score", "export")
-COMMANDS = ("init", "ingest", "dates", "places", "kinship", *PLANNED, "all", "inspect")
+COMMANDS = ("init", "ingest", "dates", "places", "kinship", "presence", "candidates", "score", "export", "all", "inspect")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -25,8 +24,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--verbose", action="store_true")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING, format="%(message)s")
-    if args.command in PLANNED:
-        parser.error(f"{args.command} is planned, not implemented")
     if args.command in ("ingest", "all") and not args.gedcom:
         parser.error("ingest requires --gedcom <path>")
     config = load_config(Path(args.config).read_text(encoding="utf-8") if args.config else None)
@@ -34,15 +31,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = Store(spark, args.db if "://" in args.db else f"file://{Path(args.db).resolve()}")
     store.migrate()
     steps = ("ingest", "dates", "places", "kinship") if args.command == "all" else (args.command,)
+    beside = Path(args.db).resolve().parent
+    runs = {
+        "ingest": lambda: ingest.run(spark, store, args.gedcom, config),
+        "dates": lambda: dates.run(store, config),
+        "places": lambda: places.run(store, config, artifacts=str(beside / "artifacts")),
+        "kinship": lambda: kinship.run(store, config),
+        "presence": lambda: presence.run(store, config),
+        "candidates": lambda: candidates.run_candidates(store, config),
+        "score": lambda: candidates.run_score(store, config),
+        "export": lambda: export.run(store, f"{store.root}-export" if "://" in args.db else f"file://{beside / 'export'}", config),
+    }
     for step in steps:
-        if step == "ingest":
-            print("ingest", ingest.run(spark, store, args.gedcom, config))
-        elif step == "dates":
-            print("dates", dates.run(store, config))
-        elif step == "places":
-            print("places", places.run(store, config, artifacts=str(Path(args.db).resolve().parent / "artifacts")))
-        elif step == "kinship":
-            print("kinship", kinship.run(store, config))
+        if step in runs:
+            with scratch(spark):
+                print(step, runs[step]())
         elif step == "inspect":
             for name, df in inspect.all_reports(store).items():
                 print(name)

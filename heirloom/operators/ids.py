@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -10,8 +12,8 @@ from pyspark.sql import window as W
 WIDTH = 1 << 17
 
 
-def dense_ids(df: DataFrame, order: str, name: str = "id", width: int = WIDTH) -> DataFrame:
-    """Add ids 1, 2, 3, ... in the order of the distinct integers in ``order``.
+def dense_ids(df: DataFrame, order: str, name: str = "id", width: int = WIDTH, ties: Sequence[str] = ()) -> DataFrame:
+    """Add ids 1, 2, 3, ... in the order of the integers in ``order``, equal ones by ``ties``.
 
     Buckets of ``width`` values are counted first; a row's id is the rows in buckets before its own plus its place there.
     """
@@ -19,5 +21,5 @@ def dense_ids(df: DataFrame, order: str, name: str = "id", width: int = WIDTH) -
     counts = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = W.Window.orderBy("__b").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
-    ranked = cut.withColumn("__r", F.row_number().over(W.Window.partitionBy("__b").orderBy(order)))
+    ranked = cut.withColumn("__r", F.row_number().over(W.Window.partitionBy("__b").orderBy(order, *ties)))
     return ranked.join(starts, "__b").withColumn(name, (F.col("__s") + F.col("__r")).cast("long")).drop("__b", "__s", "__r")

@@ -7,6 +7,7 @@ operators parse.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,13 @@ from heirloom.functions.places import cache_key, normalize_place, parse_resoluti
 from heirloom.operators.graph import analyze_pairs, ancestors, build_edges
 from heirloom.operators.hierarchy import assembled, with_parents
 from heirloom.operators.ids import dense_ids
+from heirloom.operators.intervals import islands
+from heirloom.operators.kin import household_pairs, kin_of_pairs
 from heirloom.operators.upsert import keep_least, upsert
-from heirloom.plans import dates, ingest, inspect, places
+from heirloom.plans import candidates, dates, export, ingest, inspect, places, presence
 from heirloom.sources.encodings import decode_column
 from heirloom.sources.gedcom import parse_lines, split_lines
-from heirloom.sources.store import settle
+from heirloom.sources.store import settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -572,3 +575,196 @@ def cached_answers(spark, sf):
     """Which cached answers can be used."""
     n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("query_text"))
     return place_cache(spark, sf).join(n, "query_text").select("n_nationkey", parse_resolution(F.col("response_json")).isNotNull().alias("valid"))
+
+
+# ---- presence and candidates ----------------------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + (l_linenumber * l_quantity)::INTEGER % 40 - 5 AS z, l_quantity AS q FROM lineitem),
+w AS (SELECT *, max(z) OVER (PARTITION BY k ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s WHERE a <= z),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS n FROM w)
+SELECT k AS l_suppkey, (min(a) - DATE '1970-01-01')::INTEGER AS first_day, (max(z) - DATE '1970-01-01')::INTEGER AS last_day, count(*) AS n_rows, max(q) AS most FROM i GROUP BY k, n"""
+)
+def interval_islands(spark, sf):
+    """Shipments of a supplier that overlap or follow each other, coalesced; some end before they begin."""
+    day = F.unix_date(F.to_date("l_shipdate"))
+    s = table(spark, sf, "lineitem").select("l_suppkey", day.alias("first_day"), (day + (F.col("l_linenumber") * F.col("l_quantity")).cast("int") % 40 - 5).cast("int").alias("last_day"), "l_quantity")
+    return islands(s, ["l_suppkey"], "first_day", "last_day", {"n_rows": (F.count(F.lit(1)), "sum"), "most": (F.max("l_quantity"), "max")}, bucket=64)
+
+
+def town_events(spark, sf) -> DataFrame:
+    """An event for each order in the town of its customer, with days that are known (date_start, date_end, precision)."""
+    k, t = F.col("o_orderkey") % 8, F.col("o_custkey")
+    family = k % 4 == 0
+    kind = F.when(family, "MARR").when(k % 4 == 1, "BIRT").when(k == 2, "DEAT").when(k == 6, "CENS").when(k == 3, "RESI").otherwise("IMMI")
+    form = F.col("form")
+    d = F.col("d")
+    start = F.when(form < 7, d).when(form < 9, F.trunc(d, "month")).when(form < 11, F.trunc(d, "year")).otherwise(d)
+    end = F.when(form < 7, d).when(form < 9, F.last_day(d)).when(form < 11, F.make_date(F.year(d), F.lit(12), F.lit(31))).otherwise(F.date_add(d, 500))
+    return orders_dated(spark, sf).select(
+        (F.col("o_orderkey") + 1).alias("id"), F.when(family, "family").otherwise("individual").alias("subject_type"), F.when(family, F.floor(t / 2)).otherwise(t).alias("subject_id"), kind.alias("event_type"),
+        F.concat(F.lit("Town "), F.floor(t / 8).cast("string")).alias("place_raw"), start.cast("string").alias("date_start"), end.cast("string").alias("date_end"),
+        F.when(form < 7, "day").when(form < 9, "month").when(form < 11, "year").otherwise("range").alias("precision"),
+    )
+
+
+def towns(spark, sf) -> DataFrame:
+    """A place for each town, in a region twenty degrees high; a sixth have no coordinates, a sixth are regions."""
+    t = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 8).alias("t")).distinct()
+    tier = F.element_at(F.array(*[F.lit(x) for x in ("locality", "district", "address", "locality", "region", "unknown")]), (F.col("t") % 6 + 1).cast("int"))
+    known = F.col("t") % 6 != 5
+    return t.select(
+        (F.col("t") + 1).alias("id"), F.concat(F.lit("Town "), F.col("t").cast("string")).alias("place_raw"), F.when(known, F.col("t") * 7919 % 2000 / 100 + 30).alias("lat"), F.when(known, F.col("t") * 104729 % 3000 / 100 - 10).alias("lon"),
+        tier_radius(tier).alias("radius_km"), tier.alias("precision_tier"), (0.5 + F.col("t") % 6 / 10).alias("geocode_conf"),
+    )
+
+
+def town_windows(spark, sf) -> DataFrame:
+    ev = town_events(spark, sf)
+    return presence.windows(ev, ev.withColumnRenamed("id", "event_id"), towns(spark, sf), tree_families(spark, sf), tree_children(spark, sf), load_config()["presence"])
+
+
+def town_presence(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Windows and the intervals made of them, each written once."""
+    rows = settle(town_windows(spark, sf), "windows")
+    return rows, settle(presence.presence_intervals(rows), "presence")
+
+
+PRESENCE = f"""{FAM}, o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS d, (o_orderkey // 4) % 12 AS form FROM orders),
+te AS (SELECT k + 1 AS id, k % 4 = 0 AS fam, CASE WHEN k % 4 = 0 THEN c // 2 ELSE c END AS subject, CASE WHEN k % 4 = 0 THEN 'MARR' WHEN k % 4 = 1 THEN 'BIRT' WHEN k % 8 = 2 THEN 'DEAT' WHEN k % 8 = 6 THEN 'CENS' WHEN k % 8 = 3 THEN 'RESI' ELSE 'IMMI' END AS kind, c // 8 AS t,
+  CASE WHEN form < 7 THEN d WHEN form < 9 THEN date_trunc('month', d)::DATE WHEN form < 11 THEN date_trunc('year', d)::DATE ELSE d END AS s, CASE WHEN form < 7 THEN d WHEN form < 9 THEN last_day(d) WHEN form < 11 THEN make_date(year(d), 12, 31) ELSE d + 500 END AS e,
+  CASE WHEN form < 7 THEN 1.0 WHEN form < 9 THEN 0.9 WHEN form < 11 THEN 0.7 ELSE 0.6 END::DOUBLE AS date_share FROM o),
+pl AS (SELECT DISTINCT c_custkey // 8 AS t FROM customer), place AS (SELECT t, t + 1 AS place_id, (t * 7919 % 2000)::DOUBLE / 100 + 30 AS lat, (t * 104729 % 3000)::DOUBLE / 100 - 10 AS lon, [10.0, 50.0, 1.0, 10.0, 250.0][1 + t % 6]::DOUBLE AS radius_km,
+  ['locality', 'district', 'address', 'locality', 'region'][1 + t % 6] AS precision_tier, [2, 3, 1, 2, 4][1 + t % 6] AS tier_no, 0.5::DOUBLE + (t % 6)::DOUBLE / 10 AS conf FROM pl WHERE t % 6 <> 5),
+couple AS (SELECT id AS family_id, husband_id AS p FROM family UNION ALL SELECT id, wife_id FROM family WHERE wife_id IS NOT NULL),
+roles AS (SELECT id, subject AS p, CASE WHEN kind IN ('RESI', 'CENS') THEN 'resident' ELSE 'subject' END AS role, 1.0 AS r FROM te WHERE NOT fam UNION ALL SELECT te.id, p, 'spouse', 0.9 FROM te JOIN couple ON fam AND subject = family_id
+  UNION ALL SELECT te.id, p, 'parent', 0.8 FROM te JOIN child ON NOT fam AND kind = 'BIRT' AND subject = child_id AND link_type = 'birth' JOIN couple USING (family_id)),
+seen AS (SELECT id, p, arg_max(role, r) AS role, max(r)::DOUBLE AS r FROM roles GROUP BY 1, 2),
+win AS (SELECT p, te.id AS ev, place_id, s - pad AS a, e + pad AS z, role, conf * r * date_share AS c, lat, lon, radius_km, precision_tier, tier_no FROM (SELECT *, CASE WHEN kind IN ('IMMI', 'EMIG') THEN 14 ELSE 30 END AS pad FROM te) te JOIN place USING (t) JOIN seen USING (id)),
+wr AS (SELECT *, max(z) OVER (PARTITION BY p, place_id ORDER BY a, z, ev ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM win),
+wn AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p, place_id ORDER BY a, z, ev ROWS UNBOUNDED PRECEDING) AS n FROM wr),
+pi0 AS (SELECT p, place_id, n, min(a) AS a, max(z) AS z, first(ev ORDER BY c DESC, ev) AS ev, first(role ORDER BY c DESC, ev) AS role, max(c) AS c, any_value(lat) AS lat, any_value(lon) AS lon, any_value(radius_km) AS radius_km, any_value(precision_tier) AS precision_tier, any_value(tier_no) AS tier_no, count(*) AS n_events FROM wn GROUP BY 1, 2, 3),
+pi AS (SELECT row_number() OVER (ORDER BY p, place_id, a) AS id, * FROM pi0)"""
+
+
+@query(f"WITH {PRESENCE} SELECT id, p AS individual_id, ev AS event_id, place_id, strftime(a, '%Y-%m-%d') AS date_start, strftime(z, '%Y-%m-%d') AS date_end, role, c AS presence_conf, precision_tier, radius_km, n_events FROM pi")
+def presence_intervals(spark, sf):
+    """Who was where: windows around events, coalesced by person and place."""
+    return town_presence(spark, sf)[1].drop("lat", "lon")
+
+
+@query(f"WITH {PRESENCE} SELECT pi.id AS interval_id, wn.ev AS event_id FROM pi JOIN wn USING (p, place_id, n)")
+def presence_evidence(spark, sf):
+    """The events that each interval was made from."""
+    return presence.evidence(*town_presence(spark, sf))
+
+
+KM = "round(2 * 6371.0::DOUBLE * asin(sqrt(least(1, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))), 6)"
+PAIRS = f"""{PRESENCE}, met AS (SELECT x.id AS a_interval_id, y.id AS b_interval_id, x.p AS a_id, y.p AS b_id, greatest(x.a, y.a) AS s, least(x.z, y.z) AS e, {KM} AS distance_km, 1.25::DOUBLE * (x.radius_km + y.radius_km) AS combined_radius,
+  x.c AS ca, y.c AS cb, greatest(x.tier_no, y.tier_no) AS tier_no, x.precision_tier AS ta, y.precision_tier AS tb, least(x.z - x.a, y.z - y.a) + 1 AS shorter, least(x.n_events, y.n_events) AS fewer
+  FROM pi x JOIN pi y ON x.p < y.p AND x.a <= y.z AND y.a <= x.z AND abs(x.lat - y.lat) <= 5.7),
+pairs AS (SELECT row_number() OVER (ORDER BY a_interval_id, b_interval_id) AS id, * FROM met WHERE distance_km <= combined_radius)"""
+
+
+@query(f"WITH {PAIRS} SELECT id, a_interval_id, b_interval_id, a_id, b_id, strftime(s, '%Y-%m-%d') AS overlap_start, strftime(e, '%Y-%m-%d') AS overlap_end, (e - s + 1)::BIGINT AS overlap_days, distance_km, combined_radius FROM pairs")
+def overlap_join(spark, sf):
+    """Intervals of different people that share days and lie within reach of each other."""
+    return candidates.candidate_pairs(town_presence(spark, sf)[1], load_config())
+
+
+def kin_pairs(spark, sf) -> DataFrame:
+    """For everyone the next person, their partner's neighbours, and some that are farther off in the heap."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    other = F.explode(F.array(k + 1, k + 2, k * 2, k * 2 + 3, k * 4 + 1, k * 8 + 9, k + 5, F.floor(k / 2) + 1))
+    return c.select(k.alias("a"), other.alias("b")).join(c.select(k.alias("b")), "b", "left_semi").select("a", "b")
+
+
+KIN_PAIRS = """pr AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT c_custkey AS a, unnest([c_custkey + 1, c_custkey + 2, c_custkey * 2, c_custkey * 2 + 3, c_custkey * 4 + 1, c_custkey * 8 + 9, c_custkey + 5, c_custkey // 2 + 1]) AS b FROM customer) WHERE a <> b AND b IN (SELECT c_custkey FROM customer))"""
+KIN = """up AS (SELECT to_id AS node, from_id AS parent FROM e WHERE edge_type = 'parent' AND weight = 1),
+line AS (SELECT p AS start, p AS node, 0 AS depth FROM (SELECT DISTINCT unnest([a, b]) AS p FROM pr) UNION SELECT start, parent, depth + 1 FROM line JOIN up USING (node) WHERE depth < 4),
+near AS (SELECT start, node, min(depth) AS depth FROM line GROUP BY 1, 2),
+bl AS (SELECT a, b, min(x.depth + y.depth) AS blood, bool_or(x.depth <= 3 AND y.depth <= 3) AS branch FROM pr JOIN near x ON x.start = a JOIN near y ON y.start = b AND y.node = x.node WHERE x.depth + y.depth <= 4 OR (x.depth <= 3 AND y.depth <= 3) GROUP BY 1, 2),
+st AS (SELECT DISTINCT from_id AS node, to_id AS nxt, CASE edge_type WHEN 'child' THEN 'U' WHEN 'parent' THEN 'D' ELSE 'S' END AS w FROM e WHERE edge_type = 'spouse' OR weight = 1),
+word AS (SELECT a AS start, a AS node, '' AS w FROM (SELECT DISTINCT a FROM pr) UNION SELECT start, nxt, word.w || st.w FROM word JOIN st USING (node) WHERE length(word.w) < 3),
+law AS (SELECT a, b, min(length(w)) AS law FROM pr JOIN word ON start = a AND node = b WHERE regexp_full_match(w, 'U*D*SU*D*') GROUP BY 1, 2),
+kin AS (SELECT a, b, blood, law, CASE WHEN blood <= 4 THEN 'blood' WHEN branch THEN 'branch' ELSE 'in_law' END AS relation, CASE WHEN blood IS NOT NULL THEN blood ELSE law END AS degree FROM bl FULL JOIN law USING (a, b))"""
+
+
+@query(f"WITH RECURSIVE {EDGE}, {KIN_PAIRS}, {KIN} SELECT a, b, blood::INTEGER AS blood_degree, law::INTEGER AS in_law_degree, relation, degree::INTEGER AS degree FROM kin")
+def close_kin(spark, sf):
+    """Which of given pairs are kin by blood, by branch or by one marriage."""
+    return kin_of_pairs(tree_edges(spark, sf), kin_pairs(spark, sf))
+
+
+HOUSE = "mem AS (SELECT family_id, p FROM couple UNION SELECT family_id, child_id FROM child), house AS (SELECT pr.a, pr.b, min(x.family_id) AS family_id FROM pr JOIN mem x ON x.p = pr.a JOIN mem y ON y.p = pr.b AND y.family_id = x.family_id GROUP BY 1, 2)"
+
+
+@query(f"WITH {FAM}, couple AS (SELECT id AS family_id, husband_id AS p FROM family UNION ALL SELECT id, wife_id FROM family WHERE wife_id IS NOT NULL), {KIN_PAIRS}, {HOUSE} SELECT a, b, family_id FROM house")
+def same_household(spark, sf):
+    """Which of given pairs are in one family."""
+    return household_pairs(tree_families(spark, sf), tree_children(spark, sf), kin_pairs(spark, sf))
+
+
+ROUTED = f"""{PAIRS}, {EDGE.partition("link AS")[1]}{EDGE.partition("link AS")[2]}, pr AS (SELECT DISTINCT a_id AS a, b_id AS b FROM pairs), {KIN}, {HOUSE},
+sh AS (SELECT pairs.id, count(*) AS n FROM pairs JOIN pi x ON x.id = a_interval_id JOIN wn u ON u.p = x.p AND u.place_id = x.place_id AND u.n = x.n JOIN pi y ON y.id = b_interval_id JOIN wn v ON v.p = y.p AND v.place_id = y.place_id AND v.n = y.n AND v.ev = u.ev GROUP BY 1),
+parts AS (SELECT pairs.*, relation, degree, house.family_id, round(CASE WHEN combined_radius > 0 THEN 1 - distance_km / combined_radius ELSE 1 END, 9) AS s_proximity, round((e - s + 1)::DOUBLE / shorter, 9) AS s_temporal, [1.0, 0.9, 0.5, 0.2][tier_no]::DOUBLE AS s_precision, round(ca * cb, 9) AS s_confidence,
+  round(CASE WHEN degree IS NULL THEN 1 ELSE least(degree, 10)::DOUBLE / 11 END, 9) AS s_unrelatedness, round(1 - coalesce(n, 0)::DOUBLE / fewer, 9) AS s_independence FROM pairs LEFT JOIN kin ON kin.a = a_id AND kin.b = b_id LEFT JOIN house ON house.a = a_id AND house.b = b_id LEFT JOIN sh ON sh.id = pairs.id),
+sc AS (SELECT *, round((s_proximity + s_temporal + s_precision + s_confidence + s_unrelatedness + 0.8::DOUBLE * s_independence) / 5.8::DOUBLE, 9) AS score FROM parts),
+rt AS (SELECT *, CASE WHEN relation IS NOT NULL THEN 'close_kin' WHEN family_id IS NOT NULL THEN 'same_household' WHEN tier_no > 3 THEN 'coarse_place' WHEN least(ca, cb) < 0.5::DOUBLE THEN 'low_conf' WHEN a_id % 9 = 0 OR b_id % 9 = 0 THEN 'living' WHEN score < 0.7::DOUBLE THEN 'below_threshold' END AS reason,
+  CASE WHEN relation IS NOT NULL THEN relation || ' ' || degree WHEN family_id IS NOT NULL THEN 'family ' || family_id WHEN tier_no > 3 THEN ta || ' ' || tb END AS detail FROM sc)"""
+
+#: The threshold of the queries is higher than the default, so that every reason occurs.
+MEETING = {"scoring": {"score_threshold": 0.7}}
+
+
+def town_routes(spark, sf) -> DataFrame:
+    """All pairs of the towns with their scores and reasons, written once."""
+    config = load_config(MEETING)
+    rows, intervals = town_presence(spark, sf)
+    pairs = settle(candidates.candidate_pairs(intervals, config), "candidates")
+    asked = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    families, children = tree_families(spark, sf), tree_children(spark, sf)
+    kin = settle(kin_of_pairs(tree_edges(spark, sf), asked, config["kinship"]), "kin")
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 9 == 0).cast("int").alias("is_living"))
+    scored = candidates.scored(pairs, intervals, presence.evidence(rows, intervals), kin, config)
+    return settle(candidates.routed(scored, kin, household_pairs(families, children, asked), people, config), "routed")
+
+
+@query(f"WITH RECURSIVE {ROUTED} SELECT id AS candidate_id, score, s_proximity, s_temporal, s_precision, s_confidence, s_unrelatedness, s_independence FROM rt WHERE reason IS NULL")
+def scored_candidates(spark, sf):
+    """Pairs that no reason leaves out, with the parts of their scores."""
+    return town_routes(spark, sf).where("reason IS NULL").select(F.col("id").alias("candidate_id"), "score", *[f"s_{p}" for p in candidates.PARTS])
+
+
+@query(f"WITH RECURSIVE {ROUTED} SELECT id, a_id, b_id, reason, detail FROM rt WHERE reason IS NOT NULL")
+def suppression_log(spark, sf):
+    """Pairs that are left out, each with the first reason."""
+    return town_routes(spark, sf).where("reason IS NOT NULL").select("id", "a_id", "b_id", "reason", "detail")
+
+
+@query(
+    f"WITH RECURSIVE {ROUTED}, ends AS (SELECT a_id AS individual_id, b_id AS other_id, id AS candidate_id, score FROM rt WHERE reason IS NULL UNION ALL SELECT b_id, a_id, id, score FROM rt WHERE reason IS NULL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY individual_id ORDER BY score DESC, candidate_id) AS rank FROM ends) WHERE rank <= 10"
+)
+def best_of_people(spark, sf):
+    """The ten best pairs of each person."""
+    rows = town_routes(spark, sf).where("reason IS NULL")
+    return candidates.candidates_of_people(rows.select(F.col("id").alias("candidate_id"), "score"), rows.select("id", "a_id", "b_id"), 10)
+
+
+@query(f"WITH RECURSIVE {ROUTED} SELECT id AS candidate_id, score FROM rt WHERE reason IS NULL ORDER BY score DESC, id LIMIT 500")
+def best_candidates(spark, sf):
+    """The 500 best pairs of all."""
+    rows = town_routes(spark, sf).where("reason IS NULL").select(F.col("id").alias("candidate_id"), "score")
+    return candidates.ranked_candidates(rows, load_config(MEETING))
+
+
+@query(
+    "WITH l AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS file_no, o_orderkey, o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',\"' || o_orderpriority || ', \"\"' || o_custkey || '\"\"\",' || CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END || chr(10) AS line FROM orders) SELECT file_no, count(*) AS n_rows, strlen(string_agg(line, '' ORDER BY o_orderkey))::BIGINT AS n_bytes, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS sha256 FROM l GROUP BY 1"
+)
+def export_manifest(spark, sf):
+    """All orders published as files of a thousand lines: what the manifest says once the files were read back."""
+    note = F.concat("o_orderpriority", F.lit(', "'), F.col("o_custkey").cast("string"), F.lit('"'))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", note.alias("note"), F.when(F.col("o_orderkey") % 3 != 0, F.to_date("o_orderdate")).alias("day"))
+    return export.publish(rows, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}", "o_orderkey", file_rows=1000)

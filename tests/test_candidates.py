@@ -1,0 +1,299 @@
+"""Presence, overlap, kin, scores, routes and export against plain models, with nulls, ties, repeats and empty tables."""
+
+import hashlib
+import itertools
+import math
+import random
+from datetime import date, timedelta
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from heirloom.config import TIERS, load_config
+from heirloom.operators.graph import build_edges
+from heirloom.operators.intervals import islands, overlap_pairs
+from heirloom.operators.kin import household_pairs, kin_of_pairs
+from heirloom.operators.topk import top_each
+from heirloom.plans import candidates, export, presence
+from heirloom.sources.store import Store, scratch, settle
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- islands
+
+
+@pytest.mark.parametrize("bucket", [3, 40, 4096])
+def test_islands(spark, bucket):
+    rng = random.Random(bucket)
+    rows = [(rng.choice(["a", "b", None, "c"]), a, a + rng.choice([0, 1, 5, 30, -2]), rng.randrange(9)) for a in (rng.randrange(-100, 300) for _ in range(180))]
+    rows += rows[:10] + [("a", None, 4, 1), ("a", 4, None, 1), ("long", 0, 1000, 1), ("long", 500, 501, 2), ("long", 1001, 1001, 3), ("long", 1003, 1003, 4)]
+    want = []
+    for k in {r[0] for r in rows}:
+        open_ = None
+        for _, a, z, v in sorted((r for r in rows if r[0] == k and r[1] is not None and r[2] is not None and r[1] <= r[2]), key=lambda r: r[1:3]):
+            if open_ and a <= open_[2] + 1:
+                open_ = [k, open_[1], max(open_[2], z), open_[3] + 1, max(open_[4], v)]
+            else:
+                want += [tuple(open_)] if open_ else []
+                open_ = [k, a, z, 1, v]
+        want += [tuple(open_)] if open_ else []
+    frame = spark.createDataFrame(rows, "k string, s int, e int, v int").repartition(5)
+    got = islands(frame, ["k"], "s", "e", {"n": (F.count(F.lit(1)), "sum"), "v": (F.max("v"), "max")}, bucket=bucket)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert islands(frame.limit(0), ["k"], "s", "e").count() == 0
+
+
+# ---- overlap
+
+
+def km(a, b):
+    (x, y), (u, v) = ((math.radians(p), math.radians(q)) for p, q in (a, b))
+    return round(2 * 6371.0 * math.asin(math.sqrt(min(1, math.sin((u - x) / 2) ** 2 + math.cos(x) * math.cos(u) * math.sin((v - y) / 2) ** 2))), 6)
+
+
+def some_intervals(rng, n):
+    spots = [(89.9, 0), (89.95, 179), (-90, 12), (-89.99, -170), (10, 179.99), (10, -179.98), (10.05, 539.9), (0, 0), (51.5, -0.1), (51.6, 0.2), (45, 100)]
+    rows = []
+    for i in range(n):
+        lat, lon = rng.choice(spots)
+        lat, lon = max(-90.0, min(90.0, lat + rng.gauss(0, 0.3))), lon + rng.gauss(0, 0.5)
+        start = rng.randrange(0, 900)
+        days = rng.choice([0, 3, 60, 400, 5000])
+        day = lambda n: str(date(1900, 1, 1) + timedelta(n))
+        rows.append((i, rng.randrange(n // 3), day(start), day(start + days), lat, lon, rng.choice([0.0, 1.0, 10.0, 50.0, 250.0, 4000.0])))
+    return rows
+
+
+@pytest.mark.parametrize("cell_rows", [4, 2048])
+def test_overlap(spark, cell_rows):
+    rows = some_intervals(random.Random(cell_rows), 260)
+    rows += [(1000 + i, 500 + i, "1910-01-01", "1910-03-01", 20.0, 20.0, 10.0) for i in range(40)]  # one hot cell
+    odd = [(None, 1, "1900-01-01", "1990-01-01", 10.0, 179.9, 9000.0), (2000, None, "1900-01-01", "1990-01-01", 10.0, 0.0, 9000.0), (2001, 7, None, "1990-01-01", 10.0, 0.0, 9000.0), (2002, 7, "1990-01-01", "1900-01-01", 10.0, 0.0, 9000.0),
+           (2003, 7, "1900-01-01", "nonsense", 10.0, 0.0, 9000.0), (2004, 7, "1900-01-01", "1990-01-01", None, 0.0, 9000.0), (2005, 7, "1900-01-01", "1990-01-01", 91.0, 0.0, 9000.0), (2006, 7, "1900-01-01", "1990-01-01", 10.0, 0.0, -1.0), (2007, 7, "1900-01-01", "1990-01-01", 10.0, float("nan"), 1.0)]
+    want = set()
+    for x, y in itertools.combinations(rows, 2):
+        if x[1] != y[1] and x[2] <= y[3] and y[2] <= x[3]:
+            d = km(x[4:6], y[4:6])
+            assert abs(d - 1.25 * (x[6] + y[6])) > 1e-5 or d == 0
+            if d <= 1.25 * (x[6] + y[6]):
+                a, b = (x, y) if x[1] < y[1] else (y, x)
+                want.add((a[0], b[0], a[1], b[1], max(x[2], y[2]), min(x[3], y[3])))
+    frame = spark.createDataFrame(rows + odd + rows[:7], "id long, individual_id long, date_start string, date_end string, lat double, lon double, radius_km double").repartition(6)
+    found = overlap_pairs(frame, cell_rows=cell_rows)
+    got = found.collect()
+    assert len(got) == len(want) and {tuple(r)[:6] for r in got} == want
+    by_id = {r[0]: r for r in rows}
+    assert all(abs(r["distance_km"] - km(by_id[r["a_interval_id"]][4:6], by_id[r["b_interval_id"]][4:6])) < 1e-5 for r in got)
+    assert "CartesianProduct" not in plan_of(found) and "BroadcastNestedLoopJoin" not in plan_of(found)
+    assert overlap_pairs(frame.limit(0)).count() == 0
+
+
+# ---- presence
+
+
+def test_witnesses_and_windows(spark):
+    events = spark.createDataFrame([(1, "individual", 1, "BIRT", "A"), (2, "family", 5, "MARR", "A"), (3, "family", 5, "CENS", "B"), (4, "individual", 1, "IMMI", "B"), (5, "individual", None, "DEAT", "A"), (6, "individual", 1, "DEAT", "nowhere")], "id long, subject_type string, subject_id long, event_type string, place_raw string")
+    families = spark.createDataFrame([(5, 2, 3), (6, None, 3)], "id long, husband_id long, wife_id long")
+    children = spark.createDataFrame([(5, 1, "birth"), (6, 1, "adopted"), (5, 4, "foster")], "family_id long, child_id long, link_type string")
+    seen = {(r["event_id"], r["individual_id"]): r["role"] for r in presence.witnesses(events, families, children).collect()}
+    assert seen == {(1, 1): "subject", (1, 2): "parent", (1, 3): "parent", (2, 2): "spouse", (2, 3): "spouse", (3, 2): "resident", (3, 3): "resident", (3, 1): "child", (3, 4): "child", (4, 1): "subject", (6, 1): "subject"}
+    dates = spark.createDataFrame([(1, "1900-05-01", "1900-05-01", "day"), (2, "1899-01-01", "1899-12-31", "year"), (4, "1900-06-10", "1900-06-10", "day"), (3, "+10000-01-01", "x", "day")], "event_id long, date_start string, date_end string, precision string")
+    places = spark.createDataFrame([(10, "A", 1.0, 2.0, 10.0, "locality", 0.8), (11, "B", 1.0, 2.0, 50.0, "district", None), (12, "C", None, 1.0, None, "unknown", 0.0)], "id long, place_raw string, lat double, lon double, radius_km double, precision_tier string, geocode_conf double")
+    rows = presence.windows(events, dates, places, families, children, load_config()["presence"])
+    got = {(r["event_id"], r["individual_id"]): r for r in rows.collect()}
+    assert got[1, 1]["last_day"] - got[1, 1]["first_day"] == 60 and got[4, 1]["last_day"] - got[4, 1]["first_day"] == 28
+    assert got[2, 2]["presence_conf"] == 0.8 * 0.9 * 0.7 and got[4, 1]["presence_conf"] == 0.0
+    made = presence.presence_intervals(rows.where("event_id > 0"))
+    assert [r["id"] for r in made.orderBy("id").collect()] == list(range(1, made.count() + 1))
+    assert presence.evidence(rows, made).count() == rows.where("event_id > 0").count()
+    assert presence.presence_intervals(rows.limit(0)).count() == 0
+
+
+# ---- kin
+
+
+def kin_by_hand(families, children, a, b, close=4, branch=6, ages=3, law=3):
+    parents, step = {}, {}
+    for f, h, w in families:
+        if h and w:
+            step.setdefault(h, set()).add(("S", w))
+            step.setdefault(w, set()).add(("S", h))
+        for g, c, kind in children:
+            for p in (h, w):
+                if g == f and p and kind == "birth":
+                    parents.setdefault(c, set()).add(p)
+                    step.setdefault(c, set()).add(("U", p))
+                    step.setdefault(p, set()).add(("D", c))
+
+    def up(x):
+        out, front = {x: 0}, {x}
+        for d in range(1, 9):
+            front = {p for y in front for p in parents.get(y, ())}
+            for p in front:
+                out.setdefault(p, d)
+        return out
+
+    x, y = up(a), up(b)
+    sums = [(x[n] + y[n], max(x[n], y[n])) for n in x if n in y]
+    blood = min((s for s, m in sums if s <= close or s <= branch and m <= ages), default=None)
+    near = any(s <= branch and m <= ages for s, m in sums)
+    import re
+
+    words, best = {(a, "")}, None
+    for n in range(law + 1):
+        if best is None and any(v == b and re.fullmatch("U*D*SU*D*", w) for v, w in words):
+            best = n
+        words = {(t, w + s) for v, w in words for s, t in step.get(v, ())}
+    relation = "blood" if blood is not None and blood <= close else "branch" if near else "in_law" if best is not None else None
+    return (blood, best, relation, best if relation == "in_law" else blood) if relation else None
+
+
+def test_kin(spark):
+    rng = random.Random(3)
+    families = [(i, rng.choice([None, *range(1, 30)]), rng.choice([None, *range(30, 60)])) for i in range(1, 26)]
+    children = [(rng.randrange(1, 26), c, rng.choice(["birth", "birth", "birth", "adopted"])) for c in range(20, 90) for _ in range(rng.choice([1, 1, 2]))]
+    children = sorted({(f, c): (f, c, k) for f, c, k in children if c not in {x[1] for x in families if x[0] == f} and c not in {x[2] for x in families if x[0] == f}}.values())
+    pairs = [(rng.randrange(1, 90), rng.randrange(1, 90)) for _ in range(700)] + [(None, 3), (4, 4), (5, None), (9999, 1)]
+    fam = spark.createDataFrame(families, "id long, husband_id long, wife_id long")
+    kids = spark.createDataFrame(children, "family_id long, child_id long, link_type string")
+    asked = spark.createDataFrame(pairs + pairs[:9], "a long, b long")
+    got = {(r["a"], r["b"]): tuple(r)[2:] for r in kin_of_pairs(build_edges(fam, kids), asked).collect()}
+    want = {}
+    for a, b in {tuple(sorted(p)) for p in pairs if None not in p and p[0] != p[1]}:
+        found = kin_by_hand(families, children, a, b)
+        if found:
+            want[a, b] = found
+    assert got == want and {v[2] for v in want.values()} >= {"blood", "in_law"}
+    house = {(r["a"], r["b"]): r["family_id"] for r in household_pairs(fam, kids, asked).collect()}
+    members = {f: {h, w} | {c for g, c, _ in children if g == f} for f, h, w in families}
+    wanted = {p: min((f for f, m in members.items() if set(p) <= m), default=None) for p in {tuple(sorted(p)) for p in pairs if None not in p and p[0] != p[1]}}
+    assert house == {p: f for p, f in wanted.items() if f is not None}
+    assert kin_of_pairs(build_edges(fam, kids), asked.limit(0)).count() == 0
+
+
+# ---- scores and routes
+
+
+def one_pair(spark, tiers=("locality", "locality"), conf=(0.9, 0.8), distance=5.0, kin=None, house=None, living=(), config=None, events=((1,), (2,))):
+    config = load_config(config)
+    pairs = spark.createDataFrame([(7, 1, 2, 10, 20, "1900-01-05", "1900-01-09", 5, distance, 25.0)], "id long, a_interval_id long, b_interval_id long, a_id long, b_id long, overlap_start string, overlap_end string, overlap_days long, distance_km double, combined_radius double")
+    intervals = spark.createDataFrame([(1, "1900-01-01", "1900-01-10", conf[0], tiers[0], len(events[0])), (2, "1900-01-05", "1900-02-10", conf[1], tiers[1], len(events[1]))], "id long, date_start string, date_end string, presence_conf double, precision_tier string, n_events long")
+    proof = spark.createDataFrame([(i + 1, e) for i, es in enumerate(events) for e in es], "interval_id long, event_id long")
+    kin = spark.createDataFrame([(10, 20, *kin)] if kin else [], "a long, b long, relation string, degree int")
+    home = spark.createDataFrame([(10, 20, house)] if house else [], "a long, b long, family_id long")
+    people = spark.createDataFrame([(i, int(i in living)) for i in (10, 20)], "id long, is_living int")
+    return candidates.routed(candidates.scored(pairs, intervals, proof, kin, config), kin, home, people, config).first()
+
+
+def test_score_parts(spark):
+    r = one_pair(spark, events=((1, 2, 3, 4), (4, 5)))
+    assert [r[f"s_{p}"] for p in candidates.PARTS] == [0.8, 0.5, 0.9, 0.72, 1.0, 0.5]
+    assert r["score"] == round((0.8 + 0.5 + 0.9 + 0.72 + 1.0 + 0.8 * 0.5) / 5.8, 9) and r["reason"] is None
+    assert r["explanation"].startswith('{"proximity":{"weight":1.0,"value":0.8},"temporal":') and r["config_hash"] == load_config().hash and r["engine_version"] == "0.1.0"
+    assert one_pair(spark, kin=("blood", 4))["s_unrelatedness"] == round(4 / 11, 9)
+
+
+def test_coarser_places_never_score_more(spark):
+    scores = [[one_pair(spark, tiers=(a, b))["score"] for b in TIERS] for a in TIERS]
+    for i, j in itertools.product(range(6), repeat=2):
+        assert scores[i][j] == scores[j][i] == scores[max(i, j)][max(i, j)]
+    assert all(x > y for x, y in itertools.pairwise(scores[i][i] for i in range(6)))
+
+
+def test_reasons_in_order(spark):
+    everything = {"tiers": ("region", "locality"), "conf": (0.1, 0.9), "kin": ("in_law", 2), "house": 3, "living": (20,), "config": {"scoring": {"score_threshold": 1.0}}}
+    want = [("close_kin", "in_law 2"), ("same_household", "family 3"), ("coarse_place", "region locality"), ("low_conf", None), ("living", None), ("below_threshold", None), (None, None)]
+    for (reason, detail), gone in zip(want, ["kin", "house", "tiers", "conf", "living", "config", None], strict=True):
+        r = one_pair(spark, **everything)
+        assert (r["reason"], r["detail"]) == (reason, detail)
+        everything.pop(gone, None)
+    assert one_pair(spark, living=(10,), config={"privacy": {"include_living": True}})["reason"] is None
+
+
+def test_top_each(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, 0.5, 1.5, 2.5]), i) for i in range(300)]
+    df = top_each(spark.createDataFrame(rows, "g int, s double, id int").repartition(6), ["g"], "s", ["id"], 7)
+    assert plan_of(df).count("WindowGroupLimit") == 2  # in each task, and after the exchange
+    want = [(g, s, i, n) for k in {r[0] for r in rows} for n, (g, s, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))[:7], 1)]
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+# ---- export and store
+
+
+def files_of(folder):
+    return {p.name: p.read_bytes() for p in Path(folder).glob("rows-*.csv")}
+
+
+def test_publish(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3, 'a,"b"\nc' if i % 4 == 0 else None, i / 4) for i in range(25)], "n long, k int, t string, x double")
+    folder = f"file://{tmp_path}/out"
+    shown = export.publish(rows.repartition(3), folder, "k", ["n"], file_rows=10).orderBy("file_no").collect()
+    first = files_of(tmp_path / "out")
+    assert [(r["n_rows"], r["n_bytes"], r["sha256"]) for r in shown] == [(n, len(b), hashlib.sha256(b).hexdigest()) for n, b in zip([10, 10, 5], (first[k] for k in sorted(first)), strict=True)]
+    assert first["rows-00000000.csv"].startswith(b'0,0,"a,""b""\nc",0.0\n3,0,,0.75\n')
+    export.publish(rows.repartition(7), folder, "k", ["n"], file_rows=10)
+    assert files_of(tmp_path / "out") == first and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    assert export.publish(rows.limit(0), folder, "k").count() == 0 and not files_of(tmp_path / "out")
+
+
+def test_audit_keeps_what_was_published(spark, tmp_path, monkeypatch):
+    rows = spark.range(30).withColumnRenamed("id", "n")
+    folder = f"file://{tmp_path}/out"
+    export.publish(rows, folder, "n", file_rows=10)
+    before, honest = files_of(tmp_path / "out"), export.audit
+
+    def spoilt(spark, staged, wanted):
+        part = next(Path(staged.removeprefix("file://")).glob("file_no=1/part-*"))
+        part.write_bytes(part.read_bytes()[:-1])
+        for crc in part.parent.glob(".*.crc"):
+            crc.unlink()
+        honest(spark, staged, wanted)
+
+    monkeypatch.setattr(export, "audit", spoilt)
+    with pytest.raises(export.AuditError):
+        export.publish(rows.limit(20), folder, "n", file_rows=10)
+    assert files_of(tmp_path / "out") == before
+
+
+def test_store_survives_a_stop_between_renames(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    store.write("meta", spark.createDataFrame([("a", "1")], "key string, value string"))
+    (tmp_path / "meta").rename(tmp_path / "_old-meta-x")
+    assert [tuple(r) for r in store.read("meta").collect()] == [("a", "1")]
+    store.put_meta(b="2")
+    assert store.read("meta").count() == 2 and not list(tmp_path.glob("_*"))
+
+
+def test_scratch_leaves_nothing(spark):
+    with scratch(spark) as path:
+        assert settle(spark.range(5)).count() == 5
+        assert Path(path.removeprefix("file://")).exists()
+    assert not Path(path.removeprefix("file://")).exists()
+
+
+def test_passes_of_a_store(spark, tmp_path):
+    """Two strangers in one town, a couple, and a person abroad: in equals out plus suppressed, and the export holds the strangers."""
+    store = Store(spark, f"file://{tmp_path}/db")
+    store.migrate()
+    put = lambda name, rows, schema: store.write(name, spark.createDataFrame(rows, schema))
+    people = [(i, f"@I{i}@", None, None, f"Person {i}", "F", 0, *[None] * 4, "unknown") for i in range(1, 6)]
+    put("individuals", people, store.read("individuals").schema)
+    put("families", [(1, "@F1@", 1, 2, None, None)], store.read("families").schema)
+    put("events", [(1, "family", 1, "MARR", "1900", "Ham", 0, None, 1), (2, "individual", 3, "RESI", "1900", "Ham", 0, None, 2), (3, "individual", 4, "DEAT", "1900", "Far", 0, None, 3), (4, "individual", 5, "DEAT", "1900", "Land", 0, None, 4)], store.read("events").schema)
+    put("event_dates", [(i, "1900-03-01", "1900-03-01", "day", None, "ok") for i in range(1, 5)], store.read("event_dates").schema)
+    put("places", [(1, "Ham", "Ham", 50.0, 1.0, 10.0, "locality", None, None, None, "file", 1.0, "auto"), (2, "Far", "Far", -50.0, 1.0, 10.0, "locality", None, None, None, "file", 1.0, "auto"), (3, "Land", "Land", 50.0, 1.0, 0.0, "country", None, None, None, "file", 1.0, "auto")], store.read("places").schema)
+    edges = build_edges(store.read("families"), store.read("family_children"))
+    store.write("kinship_edges", edges)
+    with scratch(spark):
+        assert presence.run(store)["intervals"] == 5
+        assert candidates.run_candidates(store) == {"intervals": 5, "wide_intervals": 1, "pairs": 3}
+        assert {k: v for k, v in candidates.run_score(store).items() if v} == {"pairs": 3, "kept": 2, "close_kin": 1}
+    assert [tuple(r)[1:4] for r in store.read("suppression_log").collect()] == [(1, 2, "close_kin")]
+    assert export.run(store, f"file://{tmp_path}/out")["rows"] == 2
+    assert [x.split(b",")[2:6] for x in files_of(tmp_path / "out")["rows-00000000.csv"].splitlines()] == [[b"1", b"Person 1", b"3", b"Person 3"], [b"2", b"Person 2", b"3", b"Person 3"]]
