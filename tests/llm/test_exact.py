@@ -30,7 +30,8 @@ def split(text):
 
 def test_url_rules(spark):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", None), ("allow", None, "/free/"), ("block", "a+b.org", "/x.y"), ("allow", "tie.org", "/"), ("block", "tie.org", "/")]
-    urls = ["http://EXAMPLE.com/en/72?x", "http://x.example.com/en/6", "https://notexample.com/en/7", "http://com/en/", "http://net", "http://tie.org/", "ftp://a+b.org/x.yz#f", "http://aab.org/x.y", "http://q.io/free/1", "nothing", "", None, "http://q.io?/en/", "http://xnet/"] * 2
+    ends = [f"http://a{e}b.com/en/{e}x{e}" for e in ("\n", "\r", "\r\n", "\u2028", "\u0085")] + ["http://com\n/en/", "http://x.com\n.net/", "http://q.io/free\n/1", "http://q.io\n/free/1", "http://long.com/en/" + "x\ny" * 50_000]
+    urls = [*ends, "http://EXAMPLE.com/en/72?x", "http://x.example.com/en/6", "https://notexample.com/en/7", "http://com/en/", "http://net", "http://tie.org/", "ftp://a+b.org/x.yz#f", "http://aab.org/x.y", "http://q.io/free/1", "nothing", "", None, "http://q.io?/en/", "http://xnet/"] * 2
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     got = {r["page_id"]: r for r in url_rules.judge_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
     assert len(got) == len(urls)
