@@ -73,6 +73,16 @@ def resolution_json(value: Column) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
+# Place classes of each tier.
+KINDS = {
+    "address": ("house", "building", "residential", "road", "street"),
+    "locality": ("city", "town", "village", "hamlet", "municipality", "borough", "suburb"),
+    "district": ("county", "district", "parish", "state_district"),
+    "region": ("state", "province", "region"),
+    "country": ("country",),
+}
+
+
 def tier_rank(tier: Column) -> Column:
     """0 for the finest tier; unknown is the coarsest."""
     return F.array_position(F.array(*[F.lit(t) for t in TIERS]), tier) - 1
@@ -90,14 +100,10 @@ def tier_radius(tier: Column, radii: Mapping[str, float] | None = None) -> Colum
 def tier_of_kind(kind: Column) -> Column:
     """Tier of a geocoder's place class."""
     k = F.lower(F.coalesce(kind, F.lit("")))
-    return (
-        F.when(k.isin("house", "building", "residential", "road", "street"), "address")
-        .when(k.isin("city", "town", "village", "hamlet", "municipality", "borough", "suburb"), "locality")
-        .when(k.isin("county", "district", "parish", "state_district"), "district")
-        .when(k.isin("state", "province", "region"), "region")
-        .when(k == "country", "country")
-        .otherwise("unknown")
-    )
+    out = F.when(F.lit(False), F.lit("unknown"))
+    for tier, kinds in KINDS.items():
+        out = out.when(k.isin(*kinds), tier)
+    return out.otherwise("unknown")
 
 
 def unit_interval(c: Column) -> Column:

@@ -768,3 +768,15 @@ def export_manifest(spark, sf):
     note = F.concat("o_orderpriority", F.lit(', "'), F.col("o_custkey").cast("string"), F.lit('"'))
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", note.alias("note"), F.when(F.col("o_orderkey") % 3 != 0, F.to_date("o_orderdate")).alias("day"))
     return export.publish(rows, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}", "o_orderkey", file_rows=1000)
+
+
+@query(
+    "WITH p AS (SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 14 AS b, 1 + c_custkey % 14 AS d FROM customer WHERE c_custkey + 1 + c_custkey % 14 IN (SELECT c_custkey FROM customer)) SELECT a AS a_id, b AS b_id, CASE WHEN d <= 10 THEN d END::INTEGER AS blood_degree, CASE WHEN d <= 10 THEN d END::INTEGER AS graph_degree, CASE WHEN d <= 10 THEN a END AS mrca_id, CASE WHEN d = 1 THEN 'parent and child' WHEN d = 2 THEN 'grandparent and grandchild' WHEN d <= 10 THEN 'direct ancestor and descendant, ' || d || ' generations' ELSE 'no known relationship' END AS relationship FROM p"
+)
+def kin_chain(spark, sf):
+    """Everyone in one line of descent, and as many pairs up to fourteen generations apart."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    families = c.select(F.col("k").alias("id"), F.col("k").alias("husband_id"), F.lit(None).cast("long").alias("wife_id"))
+    children = c.join(c.select((F.col("k") + 1).alias("k")), "k", "left_semi").select((F.col("k") - 1).alias("family_id"), F.col("k").alias("child_id"), F.lit("birth").alias("link_type"))
+    pairs = c.select(F.col("k").alias("a"), (F.col("k") + 1 + F.col("k") % 14).alias("b")).join(c.select(F.col("k").alias("b")), "b", "left_semi")
+    return analyze_pairs(build_edges(families, children), pairs).select("a_id", "b_id", "blood_degree", "graph_degree", "mrca_id", "relationship")

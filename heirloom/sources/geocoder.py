@@ -9,15 +9,7 @@ import urllib.request
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-# Place classes of each tier.
-KINDS = {
-    "address": ("house", "building", "residential", "road", "street"),
-    "locality": ("city", "town", "village", "hamlet", "municipality", "borough", "suburb"),
-    "district": ("county", "district", "parish", "state_district"),
-    "region": ("state", "province", "region"),
-    "country": ("country",),
-}
-
+from heirloom.functions.places import KINDS
 
 def unresolved(query: str, source: str) -> dict:
     return {"normalized": query, "lat": None, "lon": None, "precisionTier": "unknown", "admin1": None, "admin2": None, "country": None, "confidence": 0.0, "source": source}
