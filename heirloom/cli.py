@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 from heirloom.config import load_config
 from heirloom.plans import candidates, dates, export, ingest, inspect, kinship, places, presence
+from heirloom.sources.aliases import Aliases, read_aliases
+from heirloom.sources.progress import watched
 from heirloom.sources.store import Store, scratch
 
 COMMANDS = ("init", "ingest", "dates", "places", "kinship", "presence", "candidates", "score", "export", "all", "inspect")
@@ -21,6 +23,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--db", default="tree", help="folder of the tables")
     parser.add_argument("--config", help="JSON file laid over the defaults")
     parser.add_argument("--gedcom", help="file to ingest")
+    parser.add_argument("--aliases", help="JSON file with the maps of place names to use")
     parser.add_argument("--verbose", action="store_true")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING, format="%(message)s")
@@ -31,11 +34,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = Store(spark, args.db if "://" in args.db else f"file://{Path(args.db).resolve()}")
     store.migrate()
     steps = ("ingest", "dates", "places", "kinship") if args.command == "all" else (args.command,)
+    aliases = read_aliases(spark, args.aliases if "://" in args.aliases else f"file://{Path(args.aliases).resolve()}") if args.aliases else Aliases()
     beside = Path(args.db).resolve().parent
     runs = {
         "ingest": lambda: ingest.run(spark, store, args.gedcom, config),
         "dates": lambda: dates.run(store, config),
-        "places": lambda: places.run(store, config, artifacts=str(beside / "artifacts")),
+        "places": lambda: places.run(store, config, artifacts=str(beside / "artifacts"), aliases=aliases),
         "kinship": lambda: kinship.run(store, config),
         "presence": lambda: presence.run(store, config),
         "candidates": lambda: candidates.run_candidates(store, config),
@@ -44,7 +48,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     }
     for step in steps:
         if step in runs:
-            with scratch(spark):
+            with scratch(spark), watched(spark, step):
                 print(step, runs[step]())
         elif step == "inspect":
             for name, df in inspect.all_reports(store).items():

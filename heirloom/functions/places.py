@@ -21,6 +21,9 @@ STATES = {
 }
 COUNTY_SUFFIXES = ("Co", "Co.", "Cnty", "Cnty.")
 
+#: What parts end with, and what that stands for.
+ENDINGS = dict.fromkeys(COUNTY_SUFFIXES, "County")
+
 #: Fields of a cached answer, in the order in which they are written.
 RESOLUTION = "normalized string, lat double, lon double, precisionTier string, admin1 string, admin2 string, country string, confidence double, source string"
 QUALIFIER = rf"\A((?i:of|near|probably|prob\.)){SPACE}+"
@@ -31,21 +34,23 @@ def qualifier_of(raw: Column) -> Column:
     return group(squeezed(F.element_at(F.split(raw, ","), 1)), QUALIFIER, 1)
 
 
-def _expanded(part: Column, states: Mapping[str, str]) -> Column:
-    """A part that is a postal code becomes the state's name; else a county suffix at its end is written out."""
-    table = F.create_map(*[F.lit(x) for k, v in states.items() for x in (k.upper(), v)])
-    longest = sorted(COUNTY_SUFFIXES, key=len, reverse=True)
-    suffix = "|".join(s.replace(".", r"\.") for s in longest)
-    return F.coalesce(F.try_element_at(table, F.upper(part)), F.regexp_replace(part, rf"(?i)(\A| )(?:{suffix})\z", "$1County"))
+def _expanded(part: Column, states: Mapping[str, str], endings: Mapping[str, str]) -> Column:
+    """A part that is an alias becomes what it stands for; else the longest alias at its end, after a blank or alone, is written out.  Case doesn't matter."""
+    table = F.create_map(*[F.lit(x) for k, v in states.items() for x in (k.upper(), v)]) if states else F.create_map().cast("map<string,string>")
+    out = part
+    for k in sorted(endings, key=lambda k: (len(k), k)):
+        ends = rf"(?iu)(\A| )\Q{k}\E\z"
+        out = F.when(part.rlike(ends), F.concat(F.regexp_replace(part, ends, "$1"), F.lit(endings[k]))).otherwise(out)
+    return F.coalesce(F.try_element_at(table, F.upper(part)), out)
 
 
-def normalize_place(raw: Column, states: Mapping[str, str] = STATES) -> Column:
+def normalize_place(raw: Column, states: Mapping[str, str] = STATES, endings: Mapping[str, str] = ENDINGS) -> Column:
     """Parts between commas, squeezed and expanded, without a leading qualifier and without empty parts."""
     parts = F.transform(F.split(raw, ","), squeezed)
     first = trimmed(F.regexp_replace(F.element_at(parts, 1), QUALIFIER, ""))
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     kept = F.filter(F.concat(F.array(first), rest), lambda p: p != "")
-    return F.array_join(F.transform(kept, lambda p: _expanded(p, states)), ", ")
+    return F.array_join(F.transform(kept, lambda p: _expanded(p, states, endings)), ", ")
 
 
 def cache_key(normalized: Column) -> Column:

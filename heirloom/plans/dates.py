@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from heirloom.config import Config, load_config
 from heirloom.functions.dates import normalize_date
-from heirloom.sources.store import Store, report, settle
+from heirloom.sources.progress import report, warn
+from heirloom.sources.store import Store, settle
 
 
 def with_dates(df: DataFrame, *keys: str, settings: dict | None = None) -> DataFrame:
@@ -81,13 +82,15 @@ def marriages(families: DataFrame, dated: DataFrame) -> DataFrame:
 
 def run(store: Store, config: Config | None = None) -> dict:
     config = config or load_config()
-    dated = dated_events(store.read("events"), config["date"])
+    dated, seen = dated_events(store.read("events"), config["date"]), Observation("dates")
     store.clear_for("dates")
-    store.write("event_dates", event_dates(dated))
+    counts = {
+        "events_in": F.count(F.lit(1)), "rows_out": F.count_if(F.col("d.date_start").isNotNull()), "unparsed": F.count_if(F.col("d.date_start").isNull()), "partial": F.count_if(F.col("d.parse_status") == "partial"),
+        "clamped_open_intervals": F.count_if(F.col("d.qualifier").rlike("BEF|AFT")),
+    }
+    store.write("event_dates", event_dates(dated.observe(seen, *[c.alias(n) for n, c in counts.items()])))
     store.write("individuals", lifespans(store.read("individuals"), dated))
     store.write("families", marriages(store.read("families"), dated))
-    n = dated.agg(
-        F.count(F.lit(1)).alias("events_in"), F.count_if(F.col("d.date_start").isNotNull()).alias("rows_out"), F.count_if(F.col("d.date_start").isNull()).alias("unparsed"),
-        F.count_if(F.col("d.parse_status") == "partial").alias("partial"), F.count_if(F.col("d.qualifier").rlike("BEF|AFT")).alias("clamped_open_intervals"),
-    ).first()
-    return report("dates", **n.asDict())
+    n = seen.get
+    warn("dates", n["unparsed"], "events have no date, or none that could be read")
+    return report("dates", **n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from heirloom.config import Config, load_config
@@ -10,8 +10,9 @@ from heirloom.functions.kin import link_type
 from heirloom.functions.text import group, trimmed
 from heirloom.operators.hierarchy import assembled, clean, first_child, with_parents, with_records
 from heirloom.operators.ids import dense_ids
-from heirloom.sources.gedcom import UNPARSED, parse_lines, read_files, split_lines
-from heirloom.sources.store import Store, report, settle
+from heirloom.sources.gedcom import UNPARSED, parse_lines, read_lines
+from heirloom.sources.progress import report, warn
+from heirloom.sources.store import Store, settle
 
 # Tags of facts that count as events.
 EVENT_TAGS = ("BIRT", "CHR", "BAPM", "RESI", "CENS", "MARR", "DIV", "DEAT", "BURI", "IMMI", "EMIG", "MILI", "OCCU", "PROB", "WILL", "EVEN")
@@ -115,30 +116,27 @@ def people_without_events(persons: DataFrame, facts: DataFrame) -> DataFrame:
 def run(spark: SparkSession, store: Store, path: str, config: Config | None = None) -> dict:
     """Read one file and replace the tables of this pass; what depends on them is cleared.
 
-    A store holds one tree: xrefs and line numbers are those of one file, so a path that names several is refused.
+    A store holds one tree: xrefs and line numbers are those of one file, so a path that names several is refused.  The file is read in ranges.  Counts come with the
+    writes; lines of each tag, and people without events, are tables.
     """
     config = config or load_config()
-    files = settle(read_files(spark, path), "file")
-    if files.limit(2).count() > 1:
-        raise ValueError(f"{path} names more than one file; ingest each into a store of its own")
-    lines = settle(line_table(split_lines(files.select("text"))), "lines")
+    raw, encoding = read_lines(spark, path)
+    read, told, made = Observation("lines"), Observation("records"), Observation("events")
+    raw = settle(raw.observe(read, F.coalesce(F.sum("bad"), F.lit(0)).alias("unmappable_bytes")), "raw").drop("bad")
+    lines = settle(line_table(raw), "lines")
     store.clear_for("ingest")
-    store.write("raw_records", raw_records(lines))
+    top = lambda tag: F.count_if((F.col("level") == 0) & (F.col("tag") == tag))
+    store.write("raw_records", raw_records(lines).observe(told, F.count_if(F.col("tag") == UNPARSED).alias("unparsed_lines"), top("INDI").alias("individuals"), top("FAM").alias("families")))
     persons = settle(people(lines, int(config["privacy"]["living_cutoff_year"])), "people")
     fams = settle(families(lines, persons), "families")
     none = F.lit(None).cast("string")
     store.write("individuals", persons.select("*", *[none.alias(c) for c in ("birth_start", "birth_end", "death_start", "death_end")], F.lit("unknown").alias("lifespan_src")))
     store.write("families", fams.select("*", none.alias("marriage_start"), none.alias("marriage_end")))
     store.write("family_children", family_children(lines, persons, fams))
-    facts = store.write("events", events(lines, persons, fams))
-    # a file without a byte has no row
-    f = files.select("encoding", "unmappable_bytes").first() or {"encoding": "UTF-8", "unmappable_bytes": 0}
-    store.put_meta(input_encoding=f["encoding"], input_unmappable_bytes=str(f["unmappable_bytes"]))
-    level0 = lines.where("level = 0").agg(F.count_if(F.col("tag") == "INDI").alias("i"), F.count_if(F.col("tag") == "FAM").alias("f")).first()
-    return report(
-        "ingest", encoding=f["encoding"], unmappable_bytes=f["unmappable_bytes"], counts_by_tag={r["tag"]: r["n_lines"] for r in tag_counts(lines).collect()},
-        unparsed_lines=lines.where(F.col("tag") == UNPARSED).count(), individuals=level0["i"], families=level0["f"], events=facts.count(),
-        individuals_with_no_events=[r[0] for r in people_without_events(persons, facts).collect()],
-    )
-
-
+    facts = store.write("events", events(lines, persons, fams).observe(made, F.count(F.lit(1)).alias("events")))
+    tags, idle = store.write("tag_counts", tag_counts(lines)), store.write("people_without_events", people_without_events(persons, facts))
+    bad = read.get["unmappable_bytes"]
+    store.put_meta(input_encoding=encoding, input_unmappable_bytes=str(bad))
+    n = told.get
+    warn("ingest", n["unparsed_lines"], "lines of the file are no records")
+    return report("ingest", encoding=encoding, unmappable_bytes=bad, tags=tags.count(), **n, **made.get, individuals_with_no_events=idle.count())

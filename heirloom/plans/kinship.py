@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from heirloom.config import Config, load_config
 from heirloom.operators.graph import analyze_pairs, build_edges
 from heirloom.operators.upsert import upsert
-from heirloom.sources.store import Store, report, settle
+from heirloom.sources.progress import report
+from heirloom.sources.store import Store, settle
 
 
 def run(store: Store, config: Config | None = None) -> dict:

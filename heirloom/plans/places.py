@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterator, Mapping
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from heirloom.config import Config, load_config
-from heirloom.functions.places import RESOLUTION, STATES, cache_key, normalize_place, parse_resolution, qualified_confidence, qualifier_of, resolution_json, review_reason, tier_radius
+from heirloom.functions.places import RESOLUTION, cache_key, normalize_place, parse_resolution, qualified_confidence, qualifier_of, resolution_json, review_reason, tier_radius
+from heirloom.operators.ids import sorted_ids
 from heirloom.operators.upsert import upsert
-from heirloom.sources.store import Store, report, settle, write_csv
+from heirloom.sources.aliases import Aliases
+from heirloom.sources.progress import report, warn
+from heirloom.sources.store import Store, settle, write_csv
 
 #: Resolves a normal form to a dict with the fields of an answer; None: no answer worth keeping.
 Provider = Callable[[str], Mapping]
@@ -47,10 +50,10 @@ def ask(misses: DataFrame, provider: Provider) -> DataFrame:
     return flat.select("query_hash", "query_text", F.struct(*names).alias("r"))
 
 
-def resolve(stats: DataFrame, known: DataFrame, cache: DataFrame, config: Config, provider: Provider | None = None) -> tuple[DataFrame, DataFrame | None]:
+def resolve(stats: DataFrame, known: DataFrame, cache: DataFrame, config: Config, provider: Provider | None = None, aliases: Aliases = Aliases()) -> tuple[DataFrame, DataFrame | None]:
     """Rows of stats with their resolution, and new cache rows.  Places that people reviewed (``known``) are left out."""
     human = known.where("review_status <> 'auto'").select("place_raw")
-    todo = stats.join(human, "place_raw", "left_anti").withColumns({"normalized": normalize_place(F.col("place_raw"), STATES), "qualifier": qualifier_of(F.col("place_raw"))})
+    todo = stats.join(human, "place_raw", "left_anti").withColumns({"normalized": normalize_place(F.col("place_raw"), aliases.whole, aliases.ending), "qualifier": qualifier_of(F.col("place_raw"))})
     todo = todo.withColumn("query_hash", F.when(F.col("normalized") != "", cache_key(F.col("normalized"))))
     held = cache.select("query_hash", parse_resolution(F.col("response_json")).alias("r")).where("r IS NOT NULL")
     answers, fresh = held.withColumn("origin", F.lit("cache")), None
@@ -81,22 +84,22 @@ def merged_places(known: DataFrame, resolved: DataFrame) -> DataFrame:
     top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     named = resolved.select("place_raw", *PLACE_FIELDS)
     ids = known.select("place_raw", F.col("id").alias("__id"))
-    fresh = named.join(ids, "place_raw", "left_anti").select("place_raw").orderBy("place_raw")
-    # places are distinct and few beside events; their ids follow their order
-    from pyspark.sql import Window
-
-    numbered = fresh.select("place_raw", (F.row_number().over(Window.orderBy("place_raw")) + top).cast("long").alias("__new"))
-    rows = named.join(ids, "place_raw", "left").join(numbered, "place_raw", "left").select(F.coalesce("__id", "__new").alias("id"), "place_raw", *PLACE_FIELDS, F.lit("auto").alias("review_status"))
+    fresh = sorted_ids(named.join(ids, "place_raw", "left_anti").select("place_raw"), "place_raw", name="__new").withColumn("__new", F.col("__new") + top)
+    rows = named.join(ids, "place_raw", "left").join(fresh, "place_raw", "left").select(F.coalesce("__id", "__new").alias("id"), "place_raw", *PLACE_FIELDS, F.lit("auto").alias("review_status"))
     return upsert(known, rows, ["place_raw"], F.col("old.review_status") == "auto")
 
 
-def run(store: Store, config: Config | None = None, provider: Provider | None = None, artifacts: str | None = None) -> dict:
+def run(store: Store, config: Config | None = None, provider: Provider | None = None, artifacts: str | None = None, aliases: Aliases = Aliases()) -> dict:
     config = config or load_config()
     known, cache = store.read("places"), store.read("geocode_cache")
     stats = settle(place_stats(store.read("events"), store.read("families")), "places")
     store.clear_for("places")
-    resolved, fresh = resolve(stats, known, cache, config, provider)
-    resolved = settle(resolved, "resolved")
+    resolved, fresh = resolve(stats, known, cache, config, provider, aliases)
+    seen = Observation("places")
+    counts = {
+        "resolved": F.count_if(F.col("reason").isNull()), "review_queue": F.count_if(F.col("reason").isNotNull()), "cache_hits": F.count_if(F.col("origin") == "cache"), "rows": F.count(F.lit(1)),
+    }
+    resolved = settle(resolved.observe(seen, *[c.alias(n) for n, c in counts.items()]), "resolved")
     if fresh is not None:
         now = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         rows = fresh.where("r.source <> 'cache-only'").select("query_hash", "query_text", resolution_json(F.col("r")).alias("response_json"), F.lit(now).alias("fetched_at"))
@@ -105,10 +108,8 @@ def run(store: Store, config: Config | None = None, provider: Provider | None =
     queue = review_queue(resolved)
     if artifacts:
         write_csv(queue, artifacts, "review_queue.csv")
-    n = resolved.agg(
-        F.count_if(F.col("reason").isNull()).alias("resolved"), F.count_if(F.col("reason").isNotNull()).alias("review_queue"), F.count_if(F.col("origin") == "cache").alias("cache_hits"),
-        F.count_distinct(F.when(F.col("origin") == "provider", F.col("place_normalized"))).alias("provider_calls"), F.count(F.lit(1)).alias("rows"),
-    ).first()
+    n = seen.get
+    warn("places", n["review_queue"], "places want a person's look")
     total = stats.count()
     return report(
         "places", places_in=total, resolved=n["resolved"], review_queue=n["review_queue"], cache_hits=n["cache_hits"], provider_calls=fresh.count() if fresh is not None else 0,

@@ -78,20 +78,26 @@ def encoding_of(data: bytes, hint: str = "unknown") -> str:
     return "CP1252" if re.search(r"(?a:\b)1 CHAR (ANSI|WINDOWS|CP1252)(?a:\b)", head) else "UTF-8"
 
 
+def decode_as(kind: str, data: bytes, big: bool = False) -> tuple[str, int]:
+    """Text of bytes without a mark of their order, and how many bytes (or code units) had no meaning."""
+    if kind == "UTF-16":
+        return _with_handler(data, "utf-16-be" if big else "utf-16-le", 2)
+    if kind == "UTF-8":
+        return _with_handler(data, "utf-8", 1)
+    text, bad = _ansel(data) if kind == "ANSEL" else _with_handler(data, "cp1252", 1)
+    return unicodedata.normalize("NFC", text), bad
+
+
 def decode(data: bytes, hint: str = "unknown") -> tuple[str, str, int]:
     """Text, encoding, and how many bytes (or code units) had no meaning; each of these is one U+FFFD in the text."""
     kind = encoding_of(data, hint)
     if kind == "UTF-16":
         big = data[:2] == codecs.BOM_UTF16_BE
         body = data[2:] if big or data[:2] == codecs.BOM_UTF16_LE else data
-        text, bad = _with_handler(body, "utf-16-be" if big else "utf-16-le", 2)
-        return text, kind, bad
-    body = data.removeprefix(codecs.BOM_UTF8)
-    if kind == "UTF-8":
-        text, bad = _with_handler(body, "utf-8", 1)
-        return text, kind, bad
-    text, bad = _ansel(body) if kind == "ANSEL" else _with_handler(body, "cp1252", 1)
-    return unicodedata.normalize("NFC", text), kind, bad
+    else:
+        big, body = False, data.removeprefix(codecs.BOM_UTF8)
+    text, bad = decode_as(kind, body, big)
+    return text, kind, bad
 
 
 @F.pandas_udf(DECODED)
@@ -99,3 +105,15 @@ def decode_column(content: pd.Series) -> pd.DataFrame:
     """Struct text, encoding, unmappable_bytes of a binary column; null counts as no bytes."""
     rows = [decode(b := bytes(x or b""), hint_of(b)) for x in content]
     return pd.DataFrame(rows, columns=["text", "encoding", "unmappable_bytes"])
+
+
+def decode_pieces(kind: str, big: bool):
+    """A UDF for lines of one file: struct text, bad of the bytes of a line and of the ANSEL marks that stood before the line feed ahead of it."""
+
+    @F.pandas_udf("text string, bad long")
+    def run(piece: pd.Series, marks: pd.Series) -> pd.DataFrame:
+        rows = [decode_as(kind, bytes(x), big) for x in piece]
+        ahead = ["".join(chr(ANSEL_MARKS[b]) for b in m) if m else "" for m in marks]
+        return pd.DataFrame({"text": [m + t for m, (t, _) in zip(ahead, rows, strict=True)], "bad": [n for _, n in rows]})
+
+    return run

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import json
-import logging
 import re
 import tempfile
 import uuid
@@ -14,8 +12,6 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-log = logging.getLogger("heirloom")
-
 SCHEMA_VERSION = "0.1.0"
 
 #: Columns of every table.
@@ -29,6 +25,8 @@ SCHEMAS = {
     "event_dates": "event_id long, date_start string, date_end string, precision string, qualifier string, parse_status string",
     "places": "id long, place_raw string, place_normalized string, lat double, lon double, radius_km double, precision_tier string, admin1 string, admin2 string, country string, geocode_source string, geocode_conf double, review_status string",
     "geocode_cache": "query_hash string, query_text string, response_json string, fetched_at string",
+    "tag_counts": "tag string, n_lines long",
+    "people_without_events": "gedcom_xref string",
     "kinship_edges": "from_id long, to_id long, edge_type string, weight double",
     "kinship_distance": "a_id long, b_id long, blood_degree int, graph_degree int, mrca_id long, same_branch int",
     "presence_intervals": "id long, individual_id long, event_id long, place_id long, date_start string, date_end string, role string, presence_conf double, precision_tier string, radius_km double",
@@ -42,7 +40,7 @@ LATE = ("scored_candidates", "suppression_log", "candidate_pairs", "presence_int
 
 #: Tables that a pass makes stale.
 STALE = {
-    "ingest": (*LATE, "kinship_distance", "kinship_edges", "event_dates", "events", "family_children", "families", "individuals", "raw_records"),
+    "ingest": (*LATE, "kinship_distance", "kinship_edges", "event_dates", "events", "family_children", "families", "individuals", "raw_records", "tag_counts", "people_without_events"),
     "dates": (*LATE, "event_dates"),
     "places": LATE,
     "kinship": ("kinship_distance", "kinship_edges"),
@@ -200,9 +198,3 @@ def write_csv(df: DataFrame, folder: str, name: str) -> Path:
         for row in df.select(csv_line(df.columns).alias("value")).toLocalIterator():
             out.write(row["value"] + "\n")
     return path
-
-
-def report(step: str, **values) -> dict:
-    """Log what a pass did and return it."""
-    log.info("[%s] finished %s", step, json.dumps(values, default=str))
-    return values

@@ -1,16 +1,20 @@
 """Character sets, lines, levels, and a whole file through the passes and the command line."""
 
+import codecs
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from heirloom import cli
 from heirloom.operators.hierarchy import with_parents, with_records
-from heirloom.plans import ingest, inspect, kinship
+from heirloom.plans import dates, ingest, inspect, kinship
 from heirloom.sources.encodings import decode, hint_of
-from heirloom.sources.gedcom import parse_lines, split_lines
-from heirloom.sources.store import Store
+from heirloom.sources import gedcom
+from heirloom.sources.gedcom import parse_lines, read_files, read_lines, split_lines
+from heirloom.sources.progress import watched
+from heirloom.sources.store import Store, settle
 
 
 @pytest.mark.parametrize(("data", "text", "kind", "bad"), [
@@ -117,7 +121,10 @@ def test_whole_file(spark, tmp_path, capsys):
     store.rebuild_derived()
     assert store.read("individuals").count() == 0
     with pytest.raises(SystemExit):
-        cli.main(["presence"], spark)
+        cli.main(["rumours"], spark)
+    for command in ("presence", "candidates", "score", "export"):
+        assert cli.main([command, *argv], spark) == 0
+    assert (tmp_path / "export" / "manifest").is_dir()
     assert "config_hash=" in capsys.readouterr().out
 
 
@@ -136,3 +143,64 @@ def test_one_file_a_store(spark, tmp_path):
         ingest.run(spark, store, str(tmp_path / "*.ged"))
     assert store.read("individuals").count() == 0
     assert ingest.run(spark, store, str(tmp_path / "a.ged"))["individuals"] == 1
+
+
+ENDS = ["\n", "\r\n", "\r", "\n\n", "\n\r", "\r\r\n"]
+
+
+def odd_files():
+    """Files in every encoding with line ends of all kinds, characters that hold the byte of a line feed, and bytes without meaning."""
+    rng = random.Random(1)
+    text = "".join("".join(rng.choice("ab ÿé日ਅĊਊ\U0001f600") for _ in range(rng.randrange(0, 12))) + rng.choice(ENDS) for _ in range(60))
+    old = b"".join(bytes(rng.choice([97, 32, 0xE1, 0xE2, 0xA1, 0xFF, 101]) for _ in range(7)) + rng.choice(ENDS).encode() for _ in range(60))
+    return {
+        "utf8": codecs.BOM_UTF8 + text.encode() + b"\xe3\x81\n\xff\r", "plain": text.encode() + b"\r\n", "le": codecs.BOM_UTF16_LE + text.encode("utf-16-le") + b"\x05\x0a", "le2": codecs.BOM_UTF16_LE + (text + "\n\n").encode("utf-16-le"),
+        "be": codecs.BOM_UTF16_BE + text.encode("utf-16-be") + b"\x01\x0a", "be2": codecs.BOM_UTF16_BE + (text + "\n\n").encode("utf-16-be") + b"\x00", "ansel": b"0 HEAD\n1 CHAR ANSEL\n" + old + b"e\xe1", "ansel2": b"0 HEAD\n1 CHAR ANSEL\n" + old + b"e\xe1\n",
+        "cp1252": b"0 HEAD\r\n1 CHAR ANSI\r\n" + bytes(range(256)) * 2, "empty": b"", "mark": codecs.BOM_UTF16_BE, "feed": b"\n",
+    }
+
+
+@pytest.mark.parametrize("name", list(odd_files()))
+def test_ranges_give_the_lines_of_the_whole(spark, tmp_path, monkeypatch, name):
+    data = odd_files()[name]
+    path = tmp_path / "a.ged"
+    path.write_bytes(data)
+    whole = read_files(spark, str(path)).collect()
+    want = [(r["line_no"], r["raw"]) for r in split_lines(read_files(spark, str(path))).orderBy("line_no").collect()]
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before, ranges = [spark.conf.get(n) for n in names], []
+
+    def cut_small(df, name):
+        """Read the file itself, and nothing else, in 64 ranges."""
+        if name != "pieces":
+            return settle(df, name)
+        try:
+            for n, v in zip(names, (str(max(1, len(data) // 64)), "1"), strict=True):
+                spark.conf.set(n, v)
+            out = settle(df, name)
+        finally:
+            for n, v in zip(names, before, strict=True):
+                spark.conf.set(n, v)
+        ranges.append(out.select("block").distinct().count())
+        return out.coalesce(4)
+
+    monkeypatch.setattr(gedcom, "settle", cut_small)
+    lines, kind = read_lines(spark, str(path))
+    got = lines.orderBy("line_no").collect()
+    assert len(data) < 640 or ranges[0] > 30
+    assert [(r["line_no"], r["raw"]) for r in got] == want
+    assert (kind, sum(r["bad"] for r in got)) == (whole[0]["encoding"], whole[0]["unmappable_bytes"]) if whole else not got
+
+
+def test_warnings_progress_and_tables(spark, tmp_path, caplog):
+    (tmp_path / "a.ged").write_text(FILE, encoding="utf-8")
+    store = Store(spark, f"file://{tmp_path}/tree")
+    store.migrate()
+    said = []
+    with caplog.at_level("WARNING"), watched(spark, "ingest", said.append, every=0.01):
+        done = ingest.run(spark, store, str(tmp_path / "a.ged"))
+        dates.run(store)
+    assert done["unparsed_lines"] == 1 and done["individuals_with_no_events"] == store.read("people_without_events").count() == 1
+    assert {r["tag"]: r["n_lines"] for r in store.read("tag_counts").collect()}["CHIL"] == 3 and done["tags"] == store.read("tag_counts").count()
+    assert ["1 lines of the file" in m or "have no date" in m for m in caplog.messages] == [True, True]
+    assert said[0] == "[ingest] started" and any(re.fullmatch(r"\[ingest\] \d+/\d+", x) for x in said)

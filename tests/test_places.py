@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from heirloom.config import load_config
 from heirloom.functions.places import normalize_place, parse_resolution, qualified_confidence, qualifier_of, resolution_json, tier_radius
 from heirloom.plans import places
+from heirloom.operators.ids import sorted_ids
+from heirloom.sources.aliases import AliasError, read_aliases
 from heirloom.sources.geocoder import answer, build_request
 from heirloom.sources.store import Store, artifact_path
 
@@ -82,3 +84,22 @@ def test_artifacts_stay_inside(tmp_path):
     for name in ("../x", "/etc/x", "."):
         with pytest.raises(ValueError, match="lies outside"):
             artifact_path(str(tmp_path), name)
+
+
+def test_aliases_of_a_file(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('{"componentAliases": {"nrw": "Nordrhein-Westfalen"}, "suffixAliases": {"Kr.": "Kreis", "st.": "Stadt ($1)"}}', encoding="utf-8")
+    known = read_aliases(spark, f"file://{path}")
+    texts = ["Ahlen KR., NRW", "Kr., OR", "Bath st.", "Bath Co"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(normalize_place(F.col("t"), known.whole, known.ending).alias("n")).collect()
+    assert [r["n"] for r in got] == ["Ahlen Kreis, Nordrhein-Westfalen", "Kreis, OR", "Bath Stadt ($1)", "Bath Co"]
+    for bad in ("[]", '{"componentAliases": {}}', '{"componentAliases": {"a": 1}, "suffixAliases": {}}', "{"):
+        path.write_text(bad)
+        with pytest.raises(AliasError, match="a.json"):
+            read_aliases(spark, f"file://{path}")
+
+
+def test_ids_follow_the_order_of_texts(spark):
+    rows = spark.createDataFrame([(f"{(i * 7919) % 500:03d}",) for i in range(500)], "t string").repartition(6)
+    assert [(r["t"], r["id"]) for r in sorted_ids(rows, "t").orderBy("t").collect()] == [(f"{i:03d}", i + 1) for i in range(500)]
+    assert sorted_ids(rows.limit(0), "t").count() == 0
