@@ -20,6 +20,11 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_mark(text: str) -> Column:
+    """What tells texts apart: their md5; null counts as empty."""
+    return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share_num: int, share_den: int, most: int, least: int = 0) -> DataFrame:
     """Target size of each source: a row for each, so its one window task sees sources, never documents.
 
@@ -58,7 +63,7 @@ def time_of(done, slope):
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share_num: int = 3, share_den: int = 2, most: int = 2, least: int = 0,
-    slopes: Sequence[float] = (0.5, 0.0, -0.5), seed: str = "mix", text: str | None = "text", key: str = "doc_id",
+    slopes: Sequence[float] = (0.5, 0.0, -0.5), seed: str = "mix", text: str | None = "text", key: str = "doc_id", mark: str | None = None,
 ) -> DataFrame:
     """Add size, source_size, target, taken, slope, done and position to every row.
 
@@ -73,8 +78,8 @@ def mix(
     and ``position`` the time at which it is reached.  Rows whose ``taken`` is 0 have a null position.
 
     Texts of any length count whole.  Null texts and empty ones have size 0 and are never taken.  Null sources form one source, last in order.
-    Rows may repeat: each counts.  Equal order keys go by size and id, and rows equal in all that are
-    interchangeable.  No row gives no row.  A column named like an added one is replaced.
+    Rows may repeat: each counts.  The order is that of a hash of key, size and the text's md5 (or of the column ``mark`` where ``text`` is None), so rows of one key, or of none, are spread over the
+    source; rows equal in all three are interchangeable.  No row gives no row.  A column named like an added one is replaced.
 
     Prefix sums go through buckets, so a source with most of the rows is spread over many tasks.
     """
@@ -85,7 +90,8 @@ def mix(
         sized = without(docs, new).withColumn("size", word_count(text))
     kept = [F.col(f"`{c}`") for c in sized.columns]
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_num, share_den, most, least)
-    keyed = sized.withColumn("__key", order_key(key, seed=seed))
+    told = [text_mark(text)] if text is not None else [F.col(f"`{mark}`")] if mark else []
+    keyed = sized.withColumn("__key", order_key(key, "size", *told, seed=seed))
     both = ranked(keyed, ["source"], "__key", ["size", key], "__rank", "size", "__before", sources)
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     rest = F.floor("target") - whole * F.col("source_size")
@@ -101,7 +107,7 @@ def mixed_stream(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
     appear ``least`` times, where the first pass reaches them.  The columns and their values are those of ``docs``, whatever their names."""
     least = options.get("least", 0)
     given = [F.col(f"`{c}`") for c in docs.columns]
-    m = mix(docs.select(F.struct(*given).alias("given"), F.col(f"`{key}`").alias("key"), "source", word_count(text).alias("size")), text=None, key="key", **options)
+    m = mix(docs.select(F.struct(*given).alias("given"), F.col(f"`{key}`").alias("key"), "source", word_count(text).alias("size"), text_mark(text).alias("mark")), text=None, key="key", mark="mark", **options)
     passes = F.when(F.col("size") == 0, F.lit(least)).otherwise(F.ceil(F.try_divide("taken", "size"))).cast("int")
     copies = m.withColumn("passes", passes).where("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     done = F.least(F.coalesce(F.col("done") + F.try_divide(F.col("pass") * F.col("source_size"), F.col("target")), F.lit(0.0)), F.lit(1.0))
@@ -111,13 +117,13 @@ def mixed_stream(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
 
 def op4_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    sized = docs.withColumn("size", word_count("text")).drop("text")
-    m = mix(sized, text=None).select("doc_id", "size", "source_size", "target", "taken", "position")
+    sized = docs.withColumns({"size": word_count("text"), "mark": text_mark("text")}).drop("text")
+    m = mix(sized, text=None, mark="mark").select("doc_id", "size", "source_size", "target", "taken", "position")
     return m.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, chr(0))) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, chr(0)) || '|' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) || '|' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2 * source_size AS cap, (SELECT sum(size) FROM d) AS total FROM s),
 o AS (SELECT *, 3 * total - 2 * coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num,

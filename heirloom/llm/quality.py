@@ -190,16 +190,17 @@ def _measured(text: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", most: int = MOST_TRAINING_ROWS, **options) -> AdditiveModel:
-    """Fit on the driver: at most ``most`` rows of a few numbers each.  A document whose key repeats counts once, by its first features."""
+    """Fit on the driver: at most ``most`` rows of a few numbers each.
+
+    A document whose key repeats counts once, by the smallest of its rows' features, which is taken before rows reach the driver; rows of equal features are as one.
+    """
     spark = docs.sparkSession
     few = spark.createDataFrame(training_rows(docs, labels, label, key, most).collect(), f"`{key}` {docs.schema[key].dataType.simpleString()}, y int")
     chosen = docs.select(key, text).join(F.broadcast(few), key).select(F.col(key).alias("__k"), "y", text)
-    rows = chosen.mapInArrow(_measured(text), f"k {docs.schema[key].dataType.simpleString()}, y int, x array<double>").collect()
-    first = {}
-    for r in sorted(rows, key=lambda r: (r["k"], r["x"])):
-        first.setdefault(r["k"], r)
-    x = np.array([r["x"] for r in first.values()]).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r["y"] for r in first.values()], float), **options)
+    rows = chosen.mapInArrow(_measured(text), f"k {docs.schema[key].dataType.simpleString()}, y int, x array<double>").groupBy("k").agg(F.min(F.struct("x", "y")).alias("r"))
+    first = sorted(rows.select("k", "r.x", "r.y").collect(), key=lambda r: r["k"])  # a row for each labelled key
+    x = np.array([r["x"] for r in first]).reshape(-1, len(FEATURES))
+    return fit(x, np.array([r["y"] for r in first], float), **options)
 
 
 def score(docs: DataFrame, model: AdditiveModel, text: str = "text", threshold: float = 0.3) -> DataFrame:

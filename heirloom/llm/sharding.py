@@ -73,11 +73,10 @@ def communication_matrix(counts: Sequence[int], shards: int, seed: str) -> list[
 def shard(docs: DataFrame, shards: int = 8, seed: str = "shard", key: str = "doc_id", text: str | None = "text") -> DataFrame:
     """Add size, text_crc32, law, shard, slot and grown_shard; every row goes to one slot of one shard.
 
-    Law ``rows``: shards differ by one row at most.  Rows fall into 4096 buckets by the hash of ``key``; the
+    Law ``rows``: shards differ by one row at most.  Rows fall into 4096 buckets by the hash of ``key``, size and checksum, so that rows of one key, or of none, are spread; the
     drawn matrix says how many rows of each bucket go to each shard; a local permutation by a second hash
     decides which; after the exchange a third hash permutes each shard, and ranks are its slots, from 0
-    without gaps.  Equal keys fall into one bucket in either order; rows equal in key, size and checksum are
-    interchangeable.  Null texts count as empty (size 1, checksum 0); a null key is a key like others.
+    without gaps.  Rows equal in key, size and checksum fall into one bucket and are interchangeable.  Texts may be of any length.  Null texts count as empty (size 1, checksum 0); a null key is a key like others.
     ``text`` None: size and text_crc32 are there already.  No row gives no row.  A column named like an
     added one is replaced.
     """
@@ -88,8 +87,9 @@ def shard(docs: DataFrame, shards: int = 8, seed: str = "shard", key: str = "doc
         raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
         base = without(docs, new).withColumns({"size": (F.octet_length(raw) + 1).cast("long"), "text_crc32": F.crc32(raw)})
     spark = docs.sparkSession
-    here = F.substring(order_key(key, seed=f"{seed}-bucket"), 1, BUCKET_DIGITS)
-    counts = {r["b"]: r["n"] for r in docs.groupBy(here.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    told = (key, "size", "text_crc32")
+    here = F.substring(order_key(*told, seed=f"{seed}-bucket"), 1, BUCKET_DIGITS)
+    counts = {r["b"]: r["n"] for r in base.groupBy(here.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(counts)
     matrix = communication_matrix([counts[b] for b in names], shards, seed)
     ends = []
@@ -103,7 +103,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: str = "shard", key: str = "doc
 
     kept = [F.col(f"`{c}`") for c in base.columns]
     local = W.Window.partitionBy("__b").orderBy("__k1", key, "size", "text_crc32")
-    drawn = base.withColumns({"__b": here, "__k1": order_key(key, seed=f"{seed}-local"), "__k2": order_key(key, "text_crc32", seed=f"{seed}-slot")})
+    drawn = base.withColumns({"__b": here, "__k1": order_key(*told, seed=f"{seed}-local"), "__k2": order_key(*told, seed=f"{seed}-slot")})
     sent = drawn.withColumn("__r", F.row_number().over(local) - 1).join(cuts, "__b")
     into = F.size(F.filter("__ends", lambda e: e <= F.col("__r")))
     exchanged = sent.select(*kept, "__k2", into.cast("int").alias("shard"))

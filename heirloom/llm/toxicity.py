@@ -87,7 +87,8 @@ class ExampleIndex:
 
     A vector holds (1 + log tf) idf rf of every term of its whole text; idf is log((1 + n) / (1 + df)) + 1 over the n examples,
     rf the relevance frequency log2(2 + r) squared, r being how many times as often examples of label 1 have the term as others.
-    No term is left out.  A term that no example has still counts in a text's length.
+    Terms are words of letters, so digits and signs give none; no other is left out.  A text without terms scores the share of label 1 among examples
+    without terms, and 0 if there are none: nothing speaks for it.  A term that no example has still counts in a text's length.
 
     Terms of few examples are lists of examples and weights, and what they add is summed for every example.  Of the other
     terms each block keeps its examples' weights and the largest of them: a text's weights times those maxima, plus
@@ -108,7 +109,7 @@ class ExampleIndex:
         self.terms, self.df = hashes[first], np.diff(np.r_[first, len(hashes)]).astype(np.int32)
         self.rate = float((yes + 0.5) / (self.n + 1))
         bare = np.bincount(rows, minlength=self.n) == 0
-        self.bare_rate = float((self.y[bare].sum() + self.rate / 2) / (bare.sum() + 0.5)) if self.n else 0.0
+        self.bare_rate = float((self.y[bare].sum() + self.rate / 2) / (bare.sum() + 0.5)) if bare.any() else 0.0
         self.knots = np.linspace(0, 1, LINE), np.linspace(0, 1, LINE)
 
     def __getstate__(self):
@@ -334,7 +335,7 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex, text: str = "text", thr
 
     A text's nearest examples vote with weights cosine / distance, and the votes' share is calibrated on the examples out of fold, so a score
     is the share of label 1 to be expected.  A text without terms of the examples, null and empty ones too, scores the share of label 1 among
-    examples without terms.  Without examples nothing is known to be toxic: every score is 0.  Texts of any length are read whole.
+    examples without terms, and 0 if there are none: then nothing speaks for it.  Without examples nothing is known to be toxic: every score is 0.  Texts of any length are read whole.
     Equally near examples count in the index's order.  Rows may repeat; no row gives no row.  A column named like an added one is replaced.
     """
     base = without(docs, ["score", "predicted", "evidence"])

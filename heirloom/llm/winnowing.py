@@ -25,6 +25,9 @@ SPAN, K = 10, 5
 #: Bytes of benchmark text whose index is broadcast; with more, fingerprints are joined.
 BLOCK_BYTES = 8 << 20
 
+#: What an item takes beside its text and id.
+ITEM_BYTES = 64
+
 #: Bits, as a power of two, of the table that holds the benchmark's fingerprints when they are joined: 16 MB.
 FILTER_BITS = 27
 
@@ -286,14 +289,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     count as the id ``null``; repeated rows and ids are one item.  With no items or no documents nothing is hit.  A column of
     ``docs`` named like an added one is replaced.
 
-    The size of the items' texts is summed first.  An index of up to ``block_bytes`` of them is sent to the executors: one scan of
+    Items without words are left out, and the size of the others' texts and ids is summed first, with ITEM_BYTES for each.  An index of up to ``block_bytes`` of them is sent to the executors: one scan of
     the documents and no shuffle, however often a passage repeats.  Beyond that, fingerprints of documents and items are joined together
     with the words around them; a table of bits of fixed size first drops document fingerprints that no item has, so what moves is
     little more than the hits, and then, to bring the hits back, each row once.
     """
     base = without(docs, [f.name for f in FIELDS])
-    given = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(item_text, F.lit("")).alias("t")).distinct()
-    if given.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).collect()[0]["n"] > block_bytes:
+    given = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(item_text, F.lit("")).alias("t")).where(F.col("t").rlike(WORD)).distinct()
+    if given.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i") + ITEM_BYTES), F.lit(0)).alias("n")).collect()[0]["n"] > block_bytes:
         return _joined(base, given, text, span, k)
     rows = given.collect()
     index = Index([r["i"] for r in rows], [r["t"] for r in rows], span, k)

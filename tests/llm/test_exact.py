@@ -130,15 +130,15 @@ def test_shards_model(spark):
     order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
     buckets: dict = {}
     for r in full:
-        buckets.setdefault(key("shard-bucket", r[0])[:3], []).append(r)
+        buckets.setdefault(key("shard-bucket", *r)[:3], []).append(r)
     names = sorted(buckets)
     matrix = sharding.communication_matrix([len(buckets[b]) for b in names], 8, "shard")
     shards: list[list] = [[] for _ in range(8)]
     for b, counts in zip(names, matrix, strict=True):
-        own = iter(sorted(buckets[b], key=lambda r: (key("shard-local", r[0]), *order(r))))
+        own = iter(sorted(buckets[b], key=lambda r: (key("shard-local", *r), *order(r))))
         for k, n in enumerate(counts):
             shards[k] += [next(own) for _ in range(n)]
-    want = [(*r, k, slot) for k, own in enumerate(shards) for slot, r in enumerate(sorted(own, key=lambda r: (key("shard-slot", r[0], r[2]), *order(r))))]
+    want = [(*r, k, slot) for k, own in enumerate(shards) for slot, r in enumerate(sorted(own, key=lambda r: (key("shard-slot", *r), *order(r))))]
     got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
@@ -159,6 +159,20 @@ def test_shards(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_rows_without_a_key_are_spread(spark):
+    """Of rows that nine in ten have no id the buckets of order keys hold like numbers, in shards and in the mix."""
+    rows = [(i if i % 10 == 0 else None, f"text {i} " + "w " * (i % 7), "one") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = docs.withColumns({"size": F.octet_length("text").cast("long"), "text_crc32": F.crc32(F.col("text").cast("binary")), "mark": mixture.text_mark("text")})
+    for key in (common.order_key("doc_id", "size", "text_crc32", seed="shard-bucket"), common.order_key("doc_id", "size", "mark", seed="mix")):
+        counts = [r["count"] for r in sized.groupBy(F.substring(key, 1, 1)).count().collect()]
+        assert len(counts) == 16 and max(counts) < 2 * len(rows) / 16
+    got = sharding.shard(docs).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).collect()
+    assert sorted((r["n"], r["last"]) for r in got) == [(1000, 999)] * 8
+    taken = mixture.mix(docs, share_num=1).agg(F.sum("taken")).first()[0]
+    assert taken == sum(len(t.split()) for _, t, _ in rows) // 2
+
+
 # ---- preference formatting
 
 
