@@ -31,6 +31,9 @@ MISS = 1e-6
 #: Texts of a candidate group that one task holds, and how many times as many stream by it.
 BLOCK, STREAM = 512, 8
 
+#: A chain of more than a block's texts counts as loose if no node of the forest holds one in so many of them.
+LOOSE = 16
+
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after the other, and where each text's begin.
@@ -126,18 +129,25 @@ def _shingled(text: str, n: int):
 
 
 class _Block:
-    """The texts that a task holds, and how others compare with them."""
+    """The texts that a task holds, and how others compare with them.
+
+    ``tree``: the texts are those of a node of that tree, and of these only such link as have no node of an earlier tree in common, so
+    that pairs that meet in several trees link once; -1: they are those of a whole chain.
+    """
 
-    def __init__(self, least: float, exact: bool):
-        self.least, self.exact = least, exact
+    def __init__(self, least: float, exact: bool, tree: int = -1):
+        self.least, self.exact, self.tree = least, exact, tree
+        self.heads: list[np.ndarray] = []
         self.keys: list[bytes] = []
         self.parts: list[np.ndarray] = []
         self.m: list[int] = []
 
-    def add(self, keys, m, values):
-        self.keys += keys
-        self.m += m
-        self.parts += values
+    def add(self, key, m, value, head):
+        self.keys.append(key)
+        self.m.append(m)
+        self.parts.append(value)
+        if self.tree > 0:
+            self.heads.append(head)
 
     def ready(self):
         self.up = np.arange(len(self.keys))
@@ -153,10 +163,12 @@ class _Block:
             self.start = np.r_[self.start, len(order)]
         else:
             self.sig = np.stack(self.parts)
-        self.parts = []
+        if self.tree > 0:
+            self.head = np.stack(self.heads)
+        self.parts, self.heads = [], []
         self.place = {k: i for i, k in enumerate(self.keys)}
 
-    def near(self, key: bytes, value: np.ndarray) -> np.ndarray:
+    def near(self, key: bytes, value: np.ndarray, head: np.ndarray | None = None) -> np.ndarray:
         """The held texts that link with one that streams by."""
         if self.exact:
             at = np.minimum(np.searchsorted(self.grams, value), len(self.grams) - 1)
@@ -172,7 +184,10 @@ class _Block:
             close = (self.sig == value).sum(1) >= self.least
         if key in self.place:
             close[self.place[key]] = False
-        return np.flatnonzero(close)
+        found = np.flatnonzero(close)
+        if self.tree > 0 and len(found):
+            found = found[~(self.head[found, : self.tree] == head[: self.tree]).any(1)]
+        return found
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -197,6 +212,7 @@ def _compared(least: float, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "links", "other"]
         block, group, open_ = _Block(least, exact), None, True
+        heads: list = []
 
         def closed():
             if block.keys and not open_:
@@ -210,22 +226,25 @@ def _compared(least: float, exact: bool):
                 col = batch.column("value")
                 cuts, flat = np.asarray(col.offsets), np.asarray(col.values).view(np.uint64)
                 values = [flat[cuts[i] : cuts[i + 1]] for i in range(batch.num_rows)]
+                trees = batch.column("tree").to_pylist()
+                heads = [np.frombuffer(h, np.uint64) if t > 0 else None for h, t in zip(batch.column("heads").to_pylist(), trees, strict=True)]
             else:
+                trees, heads = [-1] * batch.num_rows, [None] * batch.num_rows
                 values = [np.frombuffer(v, np.uint16) for v in batch.column("value").to_pylist()]
             out_key, out_other = [], []
             for i in range(batch.num_rows):
                 if part[i] != group:
                     yield from closed()
-                    block, group, open_ = _Block(least, exact), part[i], True
+                    block, group, open_ = _Block(least, exact, trees[i]), part[i], True
                 if role[i] == 0:
-                    block.add([keys[i]], [m[i]], [values[i]])
+                    block.add(keys[i], m[i], values[i], heads[i])
                     continue
                 if open_:
                     if not block.keys:
                         continue
                     block.ready()
                     open_ = False
-                found = block.near(keys[i], values[i])
+                found = block.near(keys[i], values[i], heads[i])
                 if len(found):
                     out_key.append(keys[i])
                     out_other.append(block.keys[block.join(found, m[i])])
@@ -237,7 +256,7 @@ def _compared(least: float, exact: bool):
 
 
 def compare_groups(rows: DataFrame, least: float, exact: bool, block: int = BLOCK) -> DataFrame:
-    """Compare all texts of each group: rows comp, nc (its number of texts), key, m, value (shingles or signature) to key, links, other.
+    """Compare all texts of each group: rows comp, nc (its number of texts), key, m, value (shingles or signature; with shingles also tree and heads, as ``_Block`` has them) to key, links, other.
 
     A group is cut into blocks and, otherwise, into shares of STREAM times that many texts.  For each block and
     share a task holds the block while the share streams by, so that its rows and memory are bounded. Links are counted
@@ -249,7 +268,7 @@ def compare_groups(rows: DataFrame, least: float, exact: bool, block: int = BLOC
     cell = lambda role, b, s: F.struct(F.lit(role).alias("role"), b.alias("b"), s.alias("s"))
     held = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: cell(0, own, s))
     streamed = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: cell(1, b, share))
-    dealt = rows.withColumn("__c", F.explode(F.concat(held, streamed))).select("comp", "__c.b", "__c.s", "__c.role", "key", "m", "value")
+    dealt = rows.withColumn("__c", F.explode(F.concat(held, streamed))).select("comp", "__c.b", "__c.s", "__c.role", "key", "m", "value", *(["tree", "heads"] if exact else []))
     dealt = dealt.repartition("comp", "b", "s").sortWithinPartitions("comp", "b", "s", "role")
     return dealt.mapInArrow(_compared(least, exact), "key binary, links bigint, other binary")
 
@@ -283,6 +302,38 @@ def _met(classes: DataFrame, trees: int, depth: int, floor: int, block: int, sur
     return roots
 
 
+def verification_groups(wanted: DataFrame, classes: DataFrame, trees: int, depth: int, floor: int, block: int) -> DataFrame:
+    """Where texts of chains (cls, comp, m, row) are verified: comp, nc, tree, key, m, heads; a text may be in several groups.
+
+    A chain of at most a block's texts, or of which some node of the forest holds one in LOOSE, is a group of its own: a node's texts have ``floor`` values in common, so
+    nearly all of them are linked, and comparing the whole chain is in proportion to its links.  Texts of longer, looser chains (drifting families, shared
+    templates) are compared within the nodes of the shortest prefix only, so what is compared are pairs that meet there; the groups are the nodes.
+    """
+    sizes = settle(wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("nc")), "sizes")
+    none = [F.lit(-1).alias("tree"), F.lit(None).cast("binary").alias("heads")]
+    whole = wanted.join(sizes, "comp").select("comp", "nc", F.col("cls").alias("key"), "m", *none)
+    long = sizes.where(F.col("nc") > block)
+    if long.isEmpty():
+        groups = settle(whole, "groups")
+        discard(sizes)
+        return groups
+    width = 2 * depth
+    label = lambda t: F.substring(F.col("sig"), (t * width + 1).cast("int"), F.lit(2 * floor))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    eight = lambda n: F.unhex(F.lpad(F.hex(n), 16, "0"))
+    # eight bytes for each tree's prefix; only whether they are equal counts
+    heads = F.aggregate(F.transform(every, lambda t: eight(F.xxhash64(t, label(t)))), F.lit(b""), lambda a, x: F.concat(a, x))
+    far = wanted.join(long, "comp").join(classes.select("cls", "sig"), "cls")
+    nodes = settle(far.withColumn("tree", F.explode(every)).withColumn("node", F.xxhash64("comp", "tree", label(F.col("tree")))).select("comp", "nc", "cls", "tree", "node"), "places")
+    counts = settle(nodes.groupBy("comp", "nc", "node").agg(F.count(F.lit(1)).alias("n")), "counts")
+    loose = settle(counts.groupBy("comp", "nc").agg(F.max("n").alias("most")).where(F.col("most") * LOOSE < F.col("nc")).select("comp"), "loose")
+    met = nodes.join(loose, "comp").join(counts.where("n > 1").select("node", "n"), "node").select(eight(F.col("node")).alias("comp"), F.col("n").alias("nc"), "tree", "cls")
+    apart = met.join(far.select("cls", "m", heads.alias("heads")), "cls").select("comp", "nc", F.col("cls").alias("key"), "m", "tree", "heads")
+    groups = settle(whole.join(loose, "comp", "left_anti").select(*whole.columns).unionByName(apart), "groups")
+    discard(sizes, nodes, counts, loose)
+    return groups
+
+
 def linked(source: DataFrame, n: int = N, least: float = LEAST, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Of texts (id, row, text): id, row, cls of each; and of each cls its component, whose ``root`` holds the smallest id and the
     smallest cls that has it, m copies and links to other sets."""
@@ -292,12 +343,12 @@ def linked(source: DataFrame, n: int = N, least: float = LEAST, trees: int = TRE
     classes = settle(signed.groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("row").alias("row")), "classes")
     close = _met(classes, trees, depth, floor, block, sure)
     wanted = settle(close.join(classes, close.node == classes.cls).select("cls", F.col("root").alias("comp"), "m", "row"), "wanted")
-    sizes = settle(wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("nc")), "sizes")
+    groups = verification_groups(wanted, classes, trees, depth, floor, block)
     texts = source.join(wanted.select("row"), "row", "left_semi")
     sets = texts.select("text").mapInArrow(_shingled("text", n), "key binary, grams array<bigint>").groupBy("key").agg(F.first("grams").alias("value"))
-    rows = sets.join(wanted.join(sizes, "comp").withColumnRenamed("cls", "key"), "key")
-    found = settle(compare_groups(rows.select("comp", "nc", "key", "m", "value"), least, True, block), "verified")
-    discard(close, wanted, sizes)
+    rows = sets.join(groups, "key")
+    found = settle(compare_groups(rows.select("comp", "nc", "key", "m", "value", "tree", "heads"), least, True, block), "verified")
+    discard(close, wanted, groups)
     links = settle(found.groupBy("key").agg(F.sum("links").alias("links")), "link_counts")
     name = classes.select("cls", "m", F.struct(F.col("id").isNull().alias("none"), "id", "cls").alias("node"))
     ends = found.where("key <> other").select("key", "other").join(name.select(F.col("cls").alias("key"), F.col("node").alias("a")), "key").join(name.select(F.col("cls").alias("other"), F.col("node").alias("b")), "other").select("a", "b")
@@ -326,7 +377,7 @@ def near_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", **optio
 
     Options and steps: MinHash signatures; a forest of ``trees`` tries of labels of ``depth`` values, whose matched prefixes are shortened until
     pairs of similarity ``least`` meet with probability ``recall`` (an error if they can't); pairs that meet and have as many equal values as
-    all but MISS of linked pairs do are chained; and all pairs of a chain are verified on their whole shingle sets.
+    all but MISS of linked pairs do are chained; and the pairs of a chain, of a long loose one those that meet, are verified on their whole shingle sets (``verification_groups``).
     """
     signed, info = linked(docs.select(F.col(key).alias("id"), _row(docs.select(key, text), text, key).alias("row"), F.col(text).alias("text")), **options)
     info = info.select("cls", F.col("root.id").alias("class_id"), (F.col("links") + F.col("m") - 1).cast("long").alias("n_links"))

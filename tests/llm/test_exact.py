@@ -367,6 +367,40 @@ def test_near_texts(spark, monkeypatch):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(set(low.values()))
 
 
+def drifting(n, words=120):
+    """Texts of which each has two words that the one before has not."""
+    rng = random.Random(n)
+    text, out = [f"w{rng.randrange(10**9)}" for _ in range(words)], []
+    for _ in range(n):
+        at = rng.randrange(words - 1)
+        text[at : at + 2] = f"w{rng.randrange(10**9)}", f"w{rng.randrange(10**9)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_drifting_families_cost_what_they_link(spark, monkeypatch):
+    """A loose chain is verified in the nodes where its texts meet: what is compared grows with the chain, not with its square, and no link is lost or counted twice."""
+    compared, groups = [], shingle_join.verification_groups
+
+    def counted(*args):
+        out = groups(*args)
+        compared.append(out.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0])
+        return out
+
+    monkeypatch.setattr(shingle_join, "verification_groups", counted)
+    for n in (300, 600):
+        texts = drifting(n)
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+        links = [sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets[max(0, i - 8) : i + 9], max(0, i - 8))) for i, a in enumerate(sets)]
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, texts[9])], "doc_id long, text string")
+        want = Counter()
+        for i in [*range(n), 5, 9]:
+            want[links[i] + sum(c - 1 for j, c in ((5, 2), (9, 2)) if j == i or i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))] += 1
+        got = shingle_join.near_texts(docs, block=16).collect()
+        assert Counter(r["n_links"] for r in got) == want and len({r["class_id"] for r in got}) >= 1
+    assert compared[1] < 2.6 * compared[0] and compared[1] < 600 * 600 / 2
+
+
 def test_near_texts_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert shingle_join.near_texts(docs).count() == 0
