@@ -11,7 +11,7 @@ from heirloom.llm.common import numbered, settle, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is scored 0.3 or more go; all labelled documents may be examples.
 
-    Null and empty texts get the score of examples without words; without labels all stay.  Rows may repeat.  Columns of
+    Null and empty texts get the score of examples without words, and stay if there are none; without labels all stay.  Rows may repeat.  Columns of
     any name keep their values.
     """
     index = toxicity.build_index(docs, table(spark, sf_dir, "labels"))
