@@ -22,7 +22,7 @@ from heirloom.operators.ids import dense_ids
 from heirloom.operators.intervals import islands
 from heirloom.operators.kin import household_pairs, kin_of_pairs
 from heirloom.operators.upsert import keep_least, upsert
-from heirloom.plans import candidates, dates, export, ingest, inspect, places, presence
+from heirloom.plans import candidates, context, dates, export, ingest, inspect, places, presence
 from heirloom.sources.encodings import decode_column
 from heirloom.sources.gedcom import parse_lines, split_lines
 from heirloom.sources.store import settle, shared_dir
@@ -780,3 +780,114 @@ def kin_chain(spark, sf):
     children = c.join(c.select((F.col("k") + 1).alias("k")), "k", "left_semi").select((F.col("k") - 1).alias("family_id"), F.col("k").alias("child_id"), F.lit("birth").alias("link_type"))
     pairs = c.select(F.col("k").alias("a"), (F.col("k") + 1 + F.col("k") % 14).alias("b")).join(c.select(F.col("k").alias("b")), "b", "left_semi")
     return analyze_pairs(build_edges(families, children), pairs).select("a_id", "b_id", "blood_degree", "graph_degree", "mrca_id", "relationship")
+
+
+# ---- character sets, records, and tables that are kept ---------------------------------------------------------
+
+
+def told_bytes(spark, sf, head: str, tail) -> DataFrame:
+    """A small file for each customer: a first line, and bytes after it."""
+    return table(spark, sf, "customer").select("c_custkey", F.concat(F.encode(F.lit(head), "UTF-8"), tail).alias("content"))
+
+
+def one_byte(n):
+    return F.unhex(F.lpad(F.hex(n), 2, "0"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'ANSEL' WHEN 1 THEN 'CP1252' WHEN 2 THEN 'CP1252' WHEN 3 THEN 'CP1252' ELSE 'UTF-8' END AS encoding FROM customer")
+def sniffed_encodings(spark, sf):
+    """What the CHAR line says, in either case, if it stands among the first 4096 bytes."""
+    k = F.col("c_custkey") % 6
+    said = F.when(k == 0, "1 CHAR ANSEL\n").when(k == 1, "1 char ansi\n").when(k == 2, "1 CHAR WINDOWS\n").when(k == 3, "1 CHAR CP1252\n").when(k == 4, F.concat(F.repeat(F.lit("x"), 5000), F.lit("\n1 CHAR ANSEL\n"))).otherwise("1 CHAR ANSELX\n")
+    return told_bytes(spark, sf, "0 HEAD\n", F.encode(said, "UTF-8")).select("c_custkey", decode_column("content")["encoding"].alias("encoding"))
+
+
+@query(
+    "SELECT c_custkey, '1 CHAR ANSI' || chr(10) || c || 'z' AS text, (c = chr(65533))::BIGINT AS unmappable_bytes FROM (SELECT c_custkey, CASE WHEN c_custkey % 128 < 32 THEN substr('€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ', 1 + (c_custkey % 128)::INTEGER, 1) ELSE chr(128 + (c_custkey % 128)::INTEGER) END AS c FROM customer)"
+)
+def decode_cp1252(spark, sf):
+    """Every byte from 80 on in the Windows character set; five have no meaning."""
+    d = told_bytes(spark, sf, "1 CHAR ANSI\n", F.concat(one_byte(128 + F.col("c_custkey") % 128), F.encode(F.lit("z"), "UTF-8")))
+    return d.select("c_custkey", decode_column("content").alias("d")).select("c_custkey", "d.text", "d.unmappable_bytes")
+
+
+@query(
+    "SELECT c_custkey, '1 CHAR ANSEL' || chr(10) || ['è', 'é', 'ê', 'ẽ', 'ē', 'ĕ', 'ė', 'ë', 'ě', chr(65533) || 'e', 'Łe', 'øe'][1 + c_custkey % 12] AS text, (c_custkey % 12 = 9)::BIGINT AS unmappable_bytes FROM customer"
+)
+def decode_ansel(spark, sf):
+    """Marks before a letter, letters of their own, and a byte without meaning, in the character set of libraries."""
+    k = F.col("c_custkey") % 12
+    byte = F.when(k < 9, 0xE1 + k).when(k == 9, 0xFF).when(k == 10, 0xA1).otherwise(0xB2)
+    d = told_bytes(spark, sf, "1 CHAR ANSEL\n", F.concat(one_byte(byte), F.encode(F.lit("e"), "UTF-8")))
+    return d.select("c_custkey", decode_column("content").alias("d")).select("c_custkey", "d.text", "d.unmappable_bytes")
+
+
+@query(f"WITH {LINES}, g AS (SELECT *, sum((level = 0)::INTEGER) OVER (ORDER BY line_no) AS record_no FROM l) SELECT line_no, record_no::BIGINT AS record_no, CASE WHEN record_no > 0 THEN coalesce(first_value(xref) OVER (PARTITION BY record_no ORDER BY line_no), '') ELSE '' END AS record_xref FROM g")
+def record_bounds(spark, sf):
+    """Records by level-0 lines; a line that is none ends the record before it and has no reference."""
+    from heirloom.operators.hierarchy import with_records
+
+    return with_records(parse_lines(order_lines(spark, sf)), width=1 << 12).select("line_no", "record_no", "record_xref")
+
+
+@query("WITH o AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 4 <> 0), n AS (SELECT c_custkey AS k, upper(c_mktsegment) AS v FROM customer WHERE c_custkey % 5 <> 0) SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.v ELSE o.v END AS v FROM o FULL JOIN n ON o.k = n.k")
+def last_write(spark, sf):
+    """New rows replace old ones of the same key."""
+    c = table(spark, sf, "customer")
+    old = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    return upsert(old, c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), F.upper("c_mktsegment").alias("v")), ["k"])
+
+
+@query(
+    f"WITH {RESOLVED}, h AS (SELECT n_nationkey + 1 AS id, n_name AS place_raw, CASE WHEN n_nationkey % 2 = 0 THEN 'auto' ELSE 'confirmed' END AS review_status FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 100, 'Nowhere', 'auto'), f AS (SELECT place_raw, 100 + row_number() OVER (ORDER BY place_raw) AS id FROM q WHERE place_raw NOT IN (SELECT place_raw FROM h)) SELECT coalesce(h.id, f.id) AS id, coalesce(h.place_raw, q.place_raw) AS place_raw, coalesce(review_status, 'auto') AS review_status, CASE WHEN review_status = 'confirmed' OR q.place_raw IS NULL THEN 'kept' ELSE precision_tier END AS precision_tier FROM q FULL JOIN h ON h.place_raw = q.place_raw LEFT JOIN f ON f.place_raw = q.place_raw"
+)
+def merged_places(spark, sf):
+    """Places as they were and as they are resolved: reviewed and forgotten ones stay, new ones get the next ids in the order of their texts."""
+    from heirloom.sources.store import SCHEMAS
+
+    n, none = table(spark, sf, "nation").where("n_nationkey % 3 = 0"), F.lit(None)
+    schema = spark.createDataFrame([], SCHEMAS["places"]).schema
+    known = n.select((F.col("n_nationkey") + 1).alias("id"), F.col("n_name").alias("place_raw"), F.when(F.col("n_nationkey") % 2 == 0, "auto").otherwise("confirmed").alias("review_status"))
+    known = known.unionByName(spark.range(1).select(F.lit(100).alias("id"), F.lit("Nowhere").alias("place_raw"), F.lit("auto").alias("review_status"))).withColumn("precision_tier", F.lit("kept"))
+    known = known.select(*[(F.col(f.name) if f.name in known.columns else none).cast(f.dataType).alias(f.name) for f in schema])
+    return places.merged_places(known, resolved(spark, sf)).select("id", "place_raw", "review_status", "precision_tier")
+
+
+@query(
+    "WITH c AS (SELECT c_custkey AS k FROM customer), p AS (SELECT k AS a, k + 1 + k % 5 AS b FROM c UNION SELECT k, k + 12 FROM c) SELECT a AS a_id, b AS b_id, CASE WHEN b - a <= 10 THEN b - a END::INTEGER AS blood_degree, CASE WHEN b - a <= 10 THEN b - a END::INTEGER AS graph_degree, CASE WHEN b - a <= 10 THEN a END AS mrca_id, (b - a <= 3)::INTEGER AS same_branch FROM p WHERE b IN (SELECT k FROM c)"
+)
+def kept_distances(spark, sf):
+    """Two lots of pairs of a line of descent, in either order and some twice, asked of a store, which keeps one row for each."""
+    from heirloom.plans.kinship import resolve_pairs
+    from heirloom.sources.store import Store
+
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    none = F.lit(None).cast("string")
+    store.write("individuals", c.select(F.col("k").alias("id"), *[none.alias(n) for n in ("gedcom_xref", "name_given", "name_surname", "name_full", "sex", "is_living", "birth_start", "birth_end", "death_start", "death_end", "lifespan_src")]))
+    families = c.select(F.col("k").alias("id"), F.col("k").alias("husband_id"), F.lit(None).cast("long").alias("wife_id"))
+    children = c.join(c.select((F.col("k") + 1).alias("k")), "k", "left_semi").select((F.col("k") - 1).alias("family_id"), F.col("k").alias("child_id"), F.lit("birth").alias("link_type"))
+    store.write("kinship_edges", build_edges(families, children))
+    near = c.select(F.col("k").alias("a"), (F.col("k") + 1 + F.col("k") % 5).alias("b")).join(c.select(F.col("k").alias("b")), "b", "left_semi")
+    far = c.select(F.col("k").alias("a"), (F.col("k") + 12).alias("b")).join(c.select(F.col("k").alias("b")), "b", "left_semi")
+    resolve_pairs(store, near)
+    resolve_pairs(store, near.where("a % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(far.select("a", "b")))
+    return store.read("kinship_distance")
+
+
+def almanac(requests):
+    """A provider that knows the years of a request; addresses are too fine for it."""
+    if any(r["radiusKm"] == 1 for r in requests):
+        raise OSError("too fine")
+    return [{"status": "ok", "version": "1", "events": [{"year": y} for y in range(int(r["dateStart"][:4]), int(r["dateEnd"][:4]) + 1)]} for r in requests]
+
+
+@query(
+    f"""WITH {PRESENCE}, r AS (SELECT id, radius_km, year(z) - year(a) + 1 AS years, '{{"lat":' || lat || ',"lon":' || lon || ',"radiusKm":' || radius_km || ',"dateStart":"' || strftime(a, '%Y-%m-%d') || '","dateEnd":"' || strftime(z, '%Y-%m-%d') || '","admin1":null,"admin2":null,"country":null,"maxEvents":1,"scopeTiers":["locality"]}}' AS request FROM pi)
+SELECT id, sha256(request) AS query_hash, CASE WHEN radius_km = 1 THEN 'unavailable' WHEN years > 1 THEN 'partial' ELSE 'ok' END AS context_status, CASE WHEN radius_km = 1 THEN 0 ELSE 1 END::BIGINT AS n_events FROM r"""
+)
+def context_lookup(spark, sf):
+    """Every interval with what a provider says of its time and place: each request is asked for once, and failures are told."""
+    rows = context.with_requests(town_presence(spark, sf)[1], 1, ["locality"])
+    found = context.enrich(rows, spark.createDataFrame([], context.ANSWER), almanac, batch=1, attempts=2, wait=0)[0]
+    return found.select("id", "query_hash", "context_status", F.json_array_length("context_events").cast("long").alias("n_events"))

@@ -33,6 +33,7 @@ SCHEMAS = {
     "presence_evidence": "interval_id long, event_id long",
     "candidate_pairs": "id long, a_interval_id long, b_interval_id long, a_id long, b_id long, overlap_start string, overlap_end string, overlap_days long, distance_km double, combined_radius double",
     "scored_candidates": "candidate_id long, score double, s_proximity double, s_temporal double, s_precision double, s_confidence double, s_unrelatedness double, s_independence double, explanation string, config_hash string, engine_version string",
+    "context_cache": "query_hash string, request_json string, response_json string, status string, version string, fetched_at string",
     "suppression_log": "id long, a_id long, b_id long, reason string, detail string",
 }
 
@@ -162,11 +163,11 @@ class Store:
         return True
 
     def rebuild_derived(self) -> None:
-        """Empty all tables but the cache and the places that people confirmed or corrected."""
+        """Empty all tables but the caches and the places that people confirmed or corrected."""
         kept = self.read("places").where(F.col("review_status").isin("confirmed", "corrected"))
         self.write("places", kept)
         for table in SCHEMAS:
-            if table not in ("meta", "places", "geocode_cache"):
+            if table not in ("meta", "places", "geocode_cache", "context_cache"):
                 self.write(table, self.spark.createDataFrame([], SCHEMAS[table]))
 
 

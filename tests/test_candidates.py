@@ -15,7 +15,7 @@ from heirloom.operators.graph import build_edges
 from heirloom.operators.intervals import islands, overlap_pairs
 from heirloom.operators.kin import household_pairs, kin_of_pairs
 from heirloom.operators.topk import top_each
-from heirloom.plans import candidates, export, presence
+from heirloom.plans import candidates, context, export, presence
 from heirloom.sources.store import Store, scratch, settle
 
 
@@ -297,3 +297,48 @@ def test_passes_of_a_store(spark, tmp_path):
     assert [tuple(r)[1:4] for r in store.read("suppression_log").collect()] == [(1, 2, "close_kin")]
     assert export.run(store, f"file://{tmp_path}/out")["rows"] == 2
     assert [x.split(b",")[2:6] for x in files_of(tmp_path / "out")["rows-00000000.csv"].splitlines()] == [[b"1", b"Person 1", b"3", b"Person 3"], [b"2", b"Person 2", b"3", b"Person 3"]]
+
+
+# ---- context
+
+
+def interval_rows(spark, n):
+    return spark.createDataFrame([(i, 50.0 + i % 3, 1.0, 10.0, f"19{i % 4:02d}-01-01", "1950-01-01" if i != 7 else None, "x") for i in range(n)], "id int, lat double, lon double, radius_km double, date_start string, date_end string, country string")
+
+
+def test_context_is_asked_once_in_batches(spark, tmp_path):
+    """Equal requests are one, batches are bounded, failures are retried a bounded number of times and kept, and answers join back to all rows."""
+    log = tmp_path / "asked"
+
+    def provider(requests):
+        with log.open("a") as out:
+            out.write(f"{len(requests)} {' '.join(str(r['lat']) + r['dateStart'] for r in requests)}\n")
+        if any(r["lat"] == 51.0 for r in requests):
+            raise OSError("down")
+        return [{"status": "ok", "version": "v", "events": [{"n": i} for i in range(5)]} if r["lat"] == 50.0 else {"status": "splendid"} for r in requests]
+
+    rows = context.with_requests(interval_rows(spark, 60), 3, ["locality"])
+    cache = spark.createDataFrame([], context.ANSWER)
+    found, fresh = context.enrich(rows, cache, provider, batch=1, attempts=2, wait=0)
+    got = {r["id"]: r for r in found.collect()}
+    assert len(got) == 60 and got[7]["context_status"] is None and got[7]["query_hash"] is None
+    assert {(r["lat"], r["context_status"], r["context_events"]) for r in got.values() if r["query_hash"]} == {(50.0, "partial", '[{"n": 0}, {"n": 1}, {"n": 2}]'), (51.0, "unavailable", "[]"), (52.0, "unavailable", "[]")}
+    calls = log.read_text().splitlines()
+    assert fresh.count() == 12 and len(calls) == 4 + 4 + 2 * 4 and all(c.startswith("1 ") for c in calls)
+    log.write_text("")
+    again, more = context.enrich(rows, fresh, provider, batch=50, attempts=2, wait=0)
+    assert more.count() == 0 and log.read_text() == "" and {r["id"]: r["context_status"] for r in again.collect()} == {i: r["context_status"] for i, r in got.items()}
+    assert context.enrich(rows, fresh, provider, again=["unavailable"], batch=50, attempts=1, wait=0)[1].count() == 8
+    assert max(int(c.split()[0]) for c in log.read_text().splitlines()) > 1
+    assert context.enrich(rows, fresh, None)[0].where("context_status = 'partial'").count() == sum(r["context_status"] == "partial" for r in got.values())
+
+
+def test_context_of_a_store(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db")
+    put = lambda name, rows: store.write(name, spark.createDataFrame(rows, store.read(name).schema))
+    put("places", [(1, "Ham", "Ham", 50.0, 1.0, 10.0, "locality", "A", None, "C", "file", 1.0, "auto")])
+    put("presence_intervals", [(1, 1, 1, 1, "1900-01-01", "1900-02-01", "subject", 0.9, "locality", 10.0), (2, 2, 2, 1, "1900-01-01", "1900-02-01", "subject", 0.9, "locality", 10.0)])
+    done = context.run(store, lambda requests: [{"status": "ok", "version": "1", "events": []} for _ in requests])
+    assert done == {"requests": 1, "ok": 2, "partial": 0, "unavailable": 0, "none": 0}
+    assert [(r["status"], '"admin1":"A"' in r["request_json"]) for r in store.read("context_cache").collect()] == [("ok", True)]
+    assert context.run(store, lambda requests: 1 / 0)["requests"] == 0

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from heirloom.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-FAST = ["date_calendars", "place_stats", "place_normalize", "place_resolve", "guarded_upsert", "line_parse", "line_split", "level_parent", "conc_cont", "decode_files", "kin_edges", "edge_integrity", "kinship_integrity", "row_counts", "date_sample", "lifespan_violations", "date_normalize", "date_widen", "relationship_labels", "interval_islands", "presence_intervals", "presence_evidence", "overlap_join", "close_kin", "same_household", "scored_candidates", "suppression_log", "best_of_people", "best_candidates", "export_manifest"]
+FAST = ["date_calendars", "place_stats", "place_normalize", "place_resolve", "guarded_upsert", "line_parse", "line_split", "level_parent", "conc_cont", "decode_files", "kin_edges", "edge_integrity", "kinship_integrity", "row_counts", "date_sample", "lifespan_violations", "date_normalize", "date_widen", "relationship_labels", "interval_islands", "presence_intervals", "presence_evidence", "overlap_join", "close_kin", "same_household", "scored_candidates", "suppression_log", "best_of_people", "best_candidates", "export_manifest", "sniffed_encodings", "decode_cp1252", "decode_ansel", "record_bounds", "last_write", "merged_places", "context_lookup"]
 
 
 @pytest.fixture(scope="module")
