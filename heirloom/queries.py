@@ -663,14 +663,19 @@ def presence_evidence(spark, sf):
 KM = "round(2 * 6371.0::DOUBLE * asin(sqrt(least(1, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))), 6)"
 PAIRS = f"""{PRESENCE}, met AS (SELECT x.id AS a_interval_id, y.id AS b_interval_id, x.p AS a_id, y.p AS b_id, greatest(x.a, y.a) AS s, least(x.z, y.z) AS e, {KM} AS distance_km, 1.25::DOUBLE * (x.radius_km + y.radius_km) AS combined_radius,
   x.c AS ca, y.c AS cb, greatest(x.tier_no, y.tier_no) AS tier_no, x.precision_tier AS ta, y.precision_tier AS tb, least(x.z - x.a, y.z - y.a) + 1 AS shorter, least(x.n_events, y.n_events) AS fewer
-  FROM pi x JOIN pi y ON x.p < y.p AND x.a <= y.z AND y.a <= x.z AND abs(x.lat - y.lat) <= 5.7),
+  FROM pi x JOIN pi y ON x.p < y.p AND x.a <= y.z AND y.a <= x.z AND abs(x.lat - y.lat) <= 1.2 WHERE x.tier_no < 4 AND y.tier_no < 4),
 pairs AS (SELECT row_number() OVER (ORDER BY a_interval_id, b_interval_id) AS id, * FROM met WHERE distance_km <= combined_radius)"""
 
 
 @query(f"WITH {PAIRS} SELECT id, a_interval_id, b_interval_id, a_id, b_id, strftime(s, '%Y-%m-%d') AS overlap_start, strftime(e, '%Y-%m-%d') AS overlap_end, (e - s + 1)::BIGINT AS overlap_days, distance_km, combined_radius FROM pairs")
 def overlap_join(spark, sf):
     """Intervals of different people that share days and lie within reach of each other."""
-    return candidates.candidate_pairs(town_presence(spark, sf)[1], load_config())
+    return candidates.candidate_pairs(near_enough(town_presence(spark, sf)[1]), load_config())
+
+
+def near_enough(intervals: DataFrame) -> DataFrame:
+    """Intervals in places that aren't too wide, as the pass takes them."""
+    return intervals.where(~F.col("precision_tier").isin(*candidates.WIDE))
 
 
 def kin_pairs(spark, sf) -> DataFrame:
@@ -709,21 +714,21 @@ def same_household(spark, sf):
 
 ROUTED = f"""{PAIRS}, {EDGE.partition("link AS")[1]}{EDGE.partition("link AS")[2]}, pr AS (SELECT DISTINCT a_id AS a, b_id AS b FROM pairs), {KIN}, {HOUSE},
 sh AS (SELECT pairs.id, count(*) AS n FROM pairs JOIN pi x ON x.id = a_interval_id JOIN wn u ON u.p = x.p AND u.place_id = x.place_id AND u.n = x.n JOIN pi y ON y.id = b_interval_id JOIN wn v ON v.p = y.p AND v.place_id = y.place_id AND v.n = y.n AND v.ev = u.ev GROUP BY 1),
-parts AS (SELECT pairs.*, relation, degree, house.family_id, round(CASE WHEN combined_radius > 0 THEN 1 - distance_km / combined_radius ELSE 1 END, 9) AS s_proximity, round((e - s + 1)::DOUBLE / shorter, 9) AS s_temporal, [1.0, 0.9, 0.5, 0.2][tier_no]::DOUBLE AS s_precision, round(ca * cb, 9) AS s_confidence,
+parts AS (SELECT pairs.*, relation, degree, house.family_id, round(CASE WHEN combined_radius > 0 THEN 1 - distance_km / combined_radius ELSE 1 END, 9) AS s_proximity, round((e - s + 1)::DOUBLE / shorter, 9) AS s_temporal, [1.0, 0.9, 0.5][tier_no]::DOUBLE AS s_precision, round(ca * cb, 9) AS s_confidence,
   round(CASE WHEN degree IS NULL THEN 1 ELSE least(degree, 10)::DOUBLE / 11 END, 9) AS s_unrelatedness, round(1 - coalesce(n, 0)::DOUBLE / fewer, 9) AS s_independence FROM pairs LEFT JOIN kin ON kin.a = a_id AND kin.b = b_id LEFT JOIN house ON house.a = a_id AND house.b = b_id LEFT JOIN sh ON sh.id = pairs.id),
 sc AS (SELECT *, round((s_proximity + s_temporal + s_precision + s_confidence + s_unrelatedness + 0.8::DOUBLE * s_independence) / 5.8::DOUBLE, 9) AS score FROM parts),
-rt AS (SELECT *, CASE WHEN relation IS NOT NULL THEN 'close_kin' WHEN family_id IS NOT NULL THEN 'same_household' WHEN tier_no > 3 THEN 'coarse_place' WHEN least(ca, cb) < 0.5::DOUBLE THEN 'low_conf' WHEN a_id % 9 = 0 OR b_id % 9 = 0 THEN 'living' WHEN score < 0.7::DOUBLE THEN 'below_threshold' END AS reason,
-  CASE WHEN relation IS NOT NULL THEN relation || ' ' || degree WHEN family_id IS NOT NULL THEN 'family ' || family_id WHEN tier_no > 3 THEN ta || ' ' || tb END AS detail FROM sc)"""
+rt AS (SELECT *, CASE WHEN relation IS NOT NULL THEN 'close_kin' WHEN family_id IS NOT NULL THEN 'same_household' WHEN tier_no > 2 THEN 'coarse_place' WHEN least(ca, cb) < 0.5::DOUBLE THEN 'low_conf' WHEN a_id % 9 = 0 OR b_id % 9 = 0 THEN 'living' WHEN score < 0.7::DOUBLE THEN 'below_threshold' END AS reason,
+  CASE WHEN relation IS NOT NULL THEN relation || ' ' || degree WHEN family_id IS NOT NULL THEN 'family ' || family_id WHEN tier_no > 2 THEN ta || ' ' || tb END AS detail FROM sc)"""
 
-#: The threshold of the queries is higher than the default, so that every reason occurs.
-MEETING = {"scoring": {"score_threshold": 0.7}}
+#: The threshold of the queries is higher than the default, and the tier finer, so that every reason occurs.
+MEETING = {"scoring": {"score_threshold": 0.7}, "place": {"min_tier": "locality"}}
 
 
 def town_routes(spark, sf) -> DataFrame:
     """All pairs of the towns with their scores and reasons, written once."""
     config = load_config(MEETING)
     rows, intervals = town_presence(spark, sf)
-    pairs = settle(candidates.candidate_pairs(intervals, config), "candidates")
+    pairs = settle(candidates.candidate_pairs(near_enough(intervals), config), "candidates")
     asked = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     families, children = tree_families(spark, sf), tree_children(spark, sf)
     kin = settle(kin_of_pairs(tree_edges(spark, sf), asked, config["kinship"]), "kin")
