@@ -30,6 +30,49 @@ def test_additive_model_learns_a_pair():
     assert np.isfinite(alone.score(x)).all() and quality.fit(x[:0], np.zeros(0)).score(x[:1])[0] == 0.5
 
 
+def test_trees_by_trying_all_cuts():
+    """The tree of runs takes the best cut that there is, one after the other; the grid's tree the best pair of cuts."""
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        n, l2 = int(rng.integers(1, 9)), 1.0
+        g, h = rng.normal(size=n), rng.uniform(0, 2, n)
+        worth = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + l2)  # noqa: B023, E731
+        cuts = [0, n]
+        for _ in range(2):
+            every = [(worth(a, m) + worth(m, b) - worth(a, b), m) for a, b in zip(cuts, cuts[1:], strict=False) for m in range(a + 1, b)]
+            if every and max(every)[0] > 1e-9:
+                cuts = sorted([*cuts, max(every)[1]])
+        want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + l2)) for a, b in zip(cuts, cuts[1:], strict=False)])
+        assert quality._tree(g, h, 3, l2) == pytest.approx(want)
+        r, c = int(rng.integers(1, 6)), int(rng.integers(1, 6))
+        g, h = rng.normal(size=(r, c)), rng.uniform(0, 2, (r, c))
+        part = lambda i, j: [(slice(a, b), slice(x, y)) for a, b in ((0, i), (i, r)) for x, y in ((0, j), (j, c))]  # noqa: B023, E731
+        gain = lambda i, j: sum(g[p].sum() ** 2 / (h[p].sum() + l2) for p in part(i, j)) - g.sum() ** 2 / (h.sum() + l2)  # noqa: B023, E731
+        found = [(gain(i, j), i, j) for i in range(1, r) for j in range(1, c)]
+        values, best = quality._grid_tree(g, h, l2)
+        if not found:
+            assert best == 0 and not values.any()
+            continue
+        assert best == pytest.approx(max(found)[0])
+        for p in part(*max(found)[1:]):
+            assert values[p] == pytest.approx(np.full(values[p].shape, g[p].sum() / (h[p].sum() + l2)))
+
+
+def test_the_other_features_by_plain_counts():
+    rng = random.Random(9)
+    texts = ["", "Ab, c. D?", "é \t|x"] + ["".join(rng.choice("abCD é,.;:'\"-()?!|\n\t 9#€") for _ in range(rng.randrange(400))) for _ in range(60)]
+    enc = [t.encode() for t in texts]
+    x = quality.features(np.frombuffer(b"".join(enc), np.uint8), np.r_[0, np.cumsum([len(b) for b in enc])])
+    for b, row in zip(enc, x, strict=True):
+        f = dict(zip(quality.FEATURES, row, strict=True))
+        found = list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", b))
+        some, one = max(len(found), 1), max(len(b), 1)
+        n = lambda chars: sum(c in chars for c in b)  # noqa: B023, E731
+        assert f["word_length"] == pytest.approx(len(re.findall(rb"[A-Za-z\x80-\xff]", b)) / some) and f["space"] == pytest.approx(n(b" \t\v\f\r") / one)
+        assert f["stop"] == pytest.approx(n(b".?") / some) and f["comma"] == pytest.approx(n(b",;:'\"-()") / some) and f["symbol"] == pytest.approx(n(b"#") / some)
+        assert f["capital_words"] == pytest.approx(sum(m[0][:1].isupper() for m in found) / some) and f["line_length"] == pytest.approx(len(found) / (b.count(b"\n") + 1))
+
+
 def test_quality_by_plain_counts(spark):
     """Features from a plain count, and a score as the sum of the table entries of its bins."""
     rng = random.Random(4)

@@ -26,6 +26,36 @@ def test_sql(spark, name):
     assert rows(map(tuple, df.select(*cols).collect())) == rows(con.sql(f"SELECT {quoted} FROM ({SQL[name]})").fetchall())
 
 
+def test_url_rules_with_line_ends(spark, tmp_path):
+    """The registered rules on urls with line ends of all kinds in host and path, against their SQL."""
+    ends = ["", "\n", "\r", "\r\n", "\u2028", "\u0085"]
+    urls = [f"http://a{e}b.{t}{f}/{lang}/{e}x" for e in ends for f in ("", "\n") for t in ("com", "net", "org") for lang in ("en", "de", "es")] + ["http://e\nexample.com/en/7", "http://x.example.com/en/7\n", "http://com/e\nn/", "http://x.com/en/" + "y\n" * 100_000]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = QUERIES["op3_url_rules"](spark, str(tmp_path))
+    cols = sorted(df.columns)
+    got = rows(map(tuple, df.select(*cols).collect()))
+    assert got == rows(con.sql(f"SELECT {', '.join(cols)} FROM ({SQL['op3_url_rules']})").fetchall()) and sum("block" in r for r in got) >= 18
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Long texts of one line and of many beside short, null and empty ones, through operators on documents and conversations, against their SQL."""
+    long = "\n".join(" ".join(f"w{i * j % 997}" for j in range(1, 40)) for i in range(400))
+    docs = [(1, long, "a"), (2, "short text", "a"), (3, None, "b"), (4, "", None), (5, long.replace("\n", " "), "b")]
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, "user", "q"), (2, 1, "assistant", long + "!"), (3, 0, "user", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("op4_curriculum_mix", "op9_preference_format", "op11_line_dedup", "op12_fill_in_middle"):
+        df = QUERIES[name](spark, str(tmp_path))
+        cols = sorted(df.columns)
+        quoted = ", ".join(f'"{c}"' for c in cols)
+        assert rows(map(tuple, df.select(*cols).collect())) == rows(con.sql(f"SELECT {quoted} FROM ({SQL[name]})").fetchall()), name
+
+
 def test_all():
     assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     assert set(SQL) <= set(QUERIES)
