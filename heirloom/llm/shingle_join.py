@@ -314,9 +314,7 @@ def verification_groups(wanted: DataFrame, classes: DataFrame, trees: int, depth
     whole = wanted.join(sizes, "comp").select("comp", "nc", F.col("cls").alias("key"), "m", *none)
     long = sizes.where(F.col("nc") > block)
     if long.isEmpty():
-        groups = settle(whole, "groups")
-        discard(sizes)
-        return groups
+        return whole
     width = 2 * depth
     label = lambda t: F.substring(F.col("sig"), (t * width + 1).cast("int"), F.lit(2 * floor))
     every = F.sequence(F.lit(0), F.lit(trees - 1))
@@ -326,12 +324,13 @@ def verification_groups(wanted: DataFrame, classes: DataFrame, trees: int, depth
     far = wanted.join(long, "comp").join(classes.select("cls", "sig"), "cls")
     nodes = settle(far.withColumn("tree", F.explode(every)).withColumn("node", F.xxhash64("comp", "tree", label(F.col("tree")))).select("comp", "nc", "cls", "tree", "node"), "places")
     counts = settle(nodes.groupBy("comp", "nc", "node").agg(F.count(F.lit(1)).alias("n")), "counts")
-    loose = settle(counts.groupBy("comp", "nc").agg(F.max("n").alias("most")).where(F.col("most") * LOOSE < F.col("nc")).select("comp"), "loose")
+    loose = counts.groupBy("comp", "nc").agg(F.max("n").alias("most")).where(F.col("most") * LOOSE < F.col("nc")).select("comp")
+    if loose.isEmpty():
+        discard(nodes, counts)
+        return whole
     met = nodes.join(loose, "comp").join(counts.where("n > 1").select("node", "n"), "node").select(eight(F.col("node")).alias("comp"), F.col("n").alias("nc"), "tree", "cls")
     apart = met.join(far.select("cls", "m", heads.alias("heads")), "cls").select("comp", "nc", F.col("cls").alias("key"), "m", "tree", "heads")
-    groups = settle(whole.join(loose, "comp", "left_anti").select(*whole.columns).unionByName(apart), "groups")
-    discard(sizes, nodes, counts, loose)
-    return groups
+    return whole.join(loose, "comp", "left_anti").select(*whole.columns).unionByName(apart)
 
 
 def linked(source: DataFrame, n: int = N, least: float = LEAST, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -348,7 +347,7 @@ def linked(source: DataFrame, n: int = N, least: float = LEAST, trees: int = TRE
     sets = texts.select("text").mapInArrow(_shingled("text", n), "key binary, grams array<bigint>").groupBy("key").agg(F.first("grams").alias("value"))
     rows = sets.join(groups, "key")
     found = settle(compare_groups(rows.select("comp", "nc", "key", "m", "value", "tree", "heads"), least, True, block), "verified")
-    discard(close, wanted, groups)
+    discard(close, wanted)
     links = settle(found.groupBy("key").agg(F.sum("links").alias("links")), "link_counts")
     name = classes.select("cls", "m", F.struct(F.col("id").isNull().alias("none"), "id", "cls").alias("node"))
     ends = found.where("key <> other").select("key", "other").join(name.select(F.col("cls").alias("key"), F.col("node").alias("a")), "key").join(name.select(F.col("cls").alias("other"), F.col("node").alias("b")), "other").select("a", "b")
