@@ -19,6 +19,12 @@ BLOCK, STREAM = 2048, 4
 #: Vectors for each pivot, at least; and the pivots of all groups together, about, at most.
 PER_PIVOT, MOST_PIVOTS = 4096, 8192
 
+#: Cells with more home vectors than LARGE get pivots of their own: one for each PER_INNER of these, MOST_INNER at most.
+LARGE, PER_INNER, MOST_INNER = 16384, 1024, 256
+
+#: One in TRIAL rows of a large cell tells whether pivots would halve its comparisons.  It decides how a cell is joined, never what is joined.
+TRIAL = 16
+
 #: Distances are widened by this much, so that rounding never loses a pair; pairs are decided by their cosine.
 SLACK = 1e-9
 
@@ -58,13 +64,31 @@ def vectors(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(-1, dim)
 
 
-def _cells(shared, eps: float):
-    """Home cell of each vector, its nearest pivot, and the cells of smaller number in which it must be a guest.
+def reach(x: np.ndarray, p: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector, and a mask of the pivots whose home vectors can be within ``eps`` of it, its own included.
 
-    A vector v at home in j can have a neighbour u at home in i within ``eps`` only if d(v, i) - d(v, j) <= 2 eps:
+    A vector v nearest to j can have a neighbour u at home in i within ``eps`` only if d(v, i) - d(v, j) <= 2 eps:
     d(v, i) <= d(v, u) + d(u, i) <= eps + d(u, j) <= 2 eps + d(v, j).  Euclidean distances also tell how far
     v is from the plane between i and j, beyond which u lies.
     """
+    d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
+    own = d.argmin(1)
+    near = d[np.arange(len(x)), own][:, None]
+    gaps = np.sqrt(np.maximum(2 - 2 * p[own] @ p.T, 0))
+    return own, (d - near <= 2 * eps + SLACK) & ((d**2 - near**2) <= 2 * gaps * eps + SLACK)
+
+
+def runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of a sorted batch that are equal in the named columns."""
+    group = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+    cuts = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        if s < e:
+            yield group[s], batch.slice(s, e - s)
+
+
+def _cells(shared, eps: float):
+    """Home cell of each vector, its nearest pivot, and the cells of smaller number in which it must be a guest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
@@ -82,13 +106,8 @@ def _cells(shared, eps: float):
                 p = pivots[k]
                 for piece in np.array_split(at, max(1, len(at) * len(p) // 1_000_000)):
                     x = vectors(batch.column("unit").take(pa.array(piece)), k[1])
-                    d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
-                    own = d.argmin(1)
-                    near = d[np.arange(len(x)), own][:, None]
-                    gaps = np.sqrt(np.maximum(2 - 2 * p[own] @ p.T, 0))
-                    plane = (d**2 - near**2) <= 2 * gaps * eps + SLACK
-                    guest = (d - near <= 2 * eps + SLACK) & plane & (np.arange(len(p))[None, :] < own[:, None])
-                    r, c = np.nonzero(guest)
+                    own, met = reach(x, p, eps)
+                    r, c = np.nonzero(met & (np.arange(len(p))[None, :] < own[:, None]))
                     take += [piece, piece[r]]
                     cell += [own, c]
                     home += [np.ones(len(piece), bool), np.zeros(len(r), bool)]
@@ -100,6 +119,85 @@ def _cells(shared, eps: float):
     return run
 
 
+def _inner(eps: float, fields: list[str]):
+    """Rows of large cells dealt to the cells of inner pivots.  Rows come sorted by cell, share and role, the cell's pivots (role 0) before its rows in the share (role 1).
+
+    A home vector is at home with its nearest pivot and a guest with those of smaller number, as in ``_cells``; a guest of the cell is
+    a guest wherever home vectors can be near it.  So each pair still meets in one cell, with one of the two at home there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, p = None, None
+        for batch in batches:
+            for (*g, role), part in runs(batch, ["label", "dim", "cell", "s", "role"]):
+                if g != held:
+                    held, p = g, np.zeros((0, g[1]))
+                x = vectors(part.column("unit"), g[1])
+                if role == 0:
+                    p = np.vstack([p, x])
+                    continue
+                at_home = part.column("home").to_numpy(zero_copy_only=False)
+                step = max(1, 1_000_000 // max(1, len(p)))
+                for a in range(0, len(x), step):
+                    home = at_home[a : a + step]
+                    own, met = reach(x[a : a + step], p, eps) if len(p) else (np.zeros(len(home), int), np.ones((len(home), 1), bool))
+                    at = np.arange(met.shape[1])[None, :]
+                    r, c = np.nonzero(met & (~home[:, None] | (at <= own[:, None])))
+                    out = part.slice(a, step).select(fields).take(pa.array(r))
+                    cell = [f"{g[2]}/{i}" for i in c]
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(home[r] & (c == own[r])), pa.array(cell, pa.string())], names=[*fields, "home", "inner"])
+
+    return run
+
+
+def sized(cells: DataFrame) -> DataFrame:
+    """Cells that are someone's home, with their home vectors (nh) and all their rows (nc); settled."""
+    return settle(cells.groupBy("label", "dim", "cell").agg(F.count_if("home").alias("nh"), F.count(F.lit(1)).alias("nc")).where("nh > 0"), "sizes")
+
+
+def nested(cells: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """Cells, and their sizes, after large cells were cut by pivots of their own, as often as that at least halves the comparisons of a cell.
+
+    The pivots of a cell come to each of its shares by shuffle, so their number over all cells needs no bound and a task holds MOST_INNER.  Where
+    distances concentrate, a trial on one in TRIAL rows says that pivots would not help, and the cell stays as it is.
+    """
+    group = ["label", "dim", "cell"]
+    sizes = sized(cells)
+    fresh, turn = sizes.where(F.col("nh") > LARGE), 0
+    part = F.pmod(F.xxhash64(F.lit("inner"), "key"), F.lit(1 << 30)) / float(1 << 30)
+    while not fresh.isEmpty():
+        turn += 1
+        if turn == 1:
+            cells = settle(cells, "cells")
+        big = settle(fresh.select(*group, "nh", F.least(F.lit(MOST_INNER), F.ceil(F.col("nh") / PER_INNER)).alias("k"), F.ceil(F.col("nc") / (STREAM * BLOCK)).cast("int").alias("ns")), "large")
+
+        def dealt(rows: DataFrame, some: DataFrame, fields: list[str], turn: int = turn) -> DataFrame:
+            plain = [*group, "key", "unit", "m", "home"]
+            chance = F.pmod(F.xxhash64(F.lit(turn), "key"), F.lit(1 << 30)) / float(1 << 30)
+            pivots = cells.where("home").join(some, group).where(chance < F.col("k") / F.col("nh"))
+            first = pivots.select(*plain, F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), F.lit(0).alias("role"))
+            rest = rows.join(some, group).select(*plain, F.pmod(F.xxhash64("key", F.lit(2)), F.col("ns")).cast("int").alias("s"), F.lit(1).alias("role"))
+            kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+            schema = ", ".join(f"`{c}` {kinds[c]}" for c in fields) + ", home boolean, inner string"
+            keyed = first.unionByName(rest).repartition(*group, "s").sortWithinPartitions(*group, "s", "role", "key")
+            return keyed.mapInArrow(_inner(eps, fields), schema)
+
+        tried = dealt(cells.where(part < 1 / TRIAL), big, group).groupBy(*group, "inner").agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("c"))
+        before = cells.where(part < 1 / TRIAL).join(big, group).groupBy(*group).agg(F.count_if("home").alias("h0"), F.count(F.lit(1)).alias("c0"))
+        after = tried.groupBy(*group).agg(F.sum(F.col("h") * F.col("c")).alias("work"))
+        worth = settle(big.join(before.join(after, group).where("2 * work <= h0 * c0").select(*group), group), "worth")
+        discard(big)
+        if worth.isEmpty():
+            break
+        whole = [c for c in cells.columns if c not in ("home", "cell")]
+        opened = settle(dealt(cells, worth, [*whole, "cell"]).select(*whole, F.col("inner").alias("cell"), "home"), "inner")
+        grown = sized(opened)
+        cells = cells.join(worth.select(*group), group, "left_anti").select(*whole, "cell", "home").unionByName(opened)
+        sizes = sizes.join(worth.select(*group), group, "left_anti").unionByName(grown)
+        fresh = grown.where(F.col("nh") > LARGE)
+    return cells, sizes
+
+
 def _joined(least: float):
     """Links within cells.  Rows come sorted by cell, block and share, the block's own homes (role 0) before the cell's rows in the share (role 1).
 
@@ -126,13 +224,7 @@ def _joined(least: float):
                 yield out(keys, state["links"], [keys[root(i)] for i in range(len(keys))])
 
         for batch in batches:
-            group = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cell", "b", "s", "role")), strict=True))
-            cuts = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                *g, role = group[s]
-                part = batch.slice(s, e - s)
+            for (*g, role), part in runs(batch, ["label", "dim", "cell", "b", "s", "role"]):
                 if g != state["group"]:
                     yield from closed()
                     state = {"group": g, "keys": [], "m": np.zeros(0, np.int64), "x": np.zeros((0, g[1])), "links": np.zeros(0, np.int64), "up": []}
@@ -180,7 +272,7 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vec
     reach, the row's own included.  A column named like an added one is replaced.
 
     Pivots cut each large label into cells; the triangle inequality says which vectors must be guests in other
-    cells; a cell joins in blocks of BLOCK home vectors, against each of which the cell streams in shares of STREAM times that many
+    cells; cells that are still large are cut again by pivots of their own, where that saves comparisons; a cell joins in blocks of BLOCK home vectors, against each of which the cell streams in shares of STREAM times that many
     rows, so that rows and memory of a task are bounded whatever the cell holds.  Where distances concentrate (many dimensions, no clusters) most vectors
     are guests everywhere and the work is quadratic in a label: exactness leaves no other way.  A worker holds the pivots, BLOCK home vectors and a
     million distances at a time; the cost of a vector is linear in its length.
@@ -194,10 +286,9 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vec
     shared = spark.sparkContext.broadcast(choose_pivots(classes))
     fields = classes.select("key", "label", "dim", "unit", "m")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema) + ", cell int, home boolean"
-    cells = fields.mapInArrow(_cells(shared, eps), schema)
     group = ["label", "dim", "cell"]
-    counts = cells.groupBy(*group).agg(F.count_if("home").alias("nh"), F.count(F.lit(1)).alias("nc")).where("nh > 0")
-    sizes = settle(counts.select(*group, F.ceil(F.col("nh") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("nc") / (STREAM * BLOCK)).cast("int").alias("ns")), "sizes")
+    cells, counts = nested(fields.mapInArrow(_cells(shared, eps), schema).withColumn("cell", F.col("cell").cast("string")), eps)
+    sizes = counts.select(*group, F.ceil(F.col("nh") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("nc") / (STREAM * BLOCK)).cast("int").alias("ns"))
     own, share = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("ns")).cast("int")
     dealing = lambda role, b, s: F.struct(F.lit(role).alias("role"), b.alias("b"), s.alias("s"))
     held = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: dealing(0, own, s))
@@ -206,7 +297,7 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vec
     rows = spread.select("key", *group, "unit", "m", "home", "__d.b", "__d.s", "__d.role")
     dealt = rows.repartition(*group, "b", "s").sortWithinPartitions(*group, "b", "s", "role")
     found = settle(dealt.mapInArrow(_joined(least), "key string, links bigint, other string"), "links")
-    discard(sizes)
+    discard(counts)
     links = settle(found.groupBy("key").agg(F.sum("links").alias("links")), "link_counts")
     name = classes.select("key", "m", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("node"))
     ends = found.where("key <> other").select("key", "other").join(name.select("key", F.col("node").alias("a")), "key").join(name.select(F.col("key").alias("other"), F.col("node").alias("b")), "other").select("a", "b")

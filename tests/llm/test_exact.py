@@ -1,6 +1,7 @@
 """Operators with exact results against brute force, on rows with nulls, repeats, empty texts and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -299,7 +300,11 @@ def closure(n, links):
     return up
 
 
-def test_metric_join(spark, monkeypatch):
+@pytest.mark.parametrize("large", [16384, 12])
+def test_metric_join(spark, monkeypatch, large):
+    monkeypatch.setattr(metric_join, "LARGE", large)
+    monkeypatch.setattr(metric_join, "PER_INNER", 4)
+    monkeypatch.setattr(metric_join, "TRIAL", 2)
     monkeypatch.setattr(metric_join, "PER_PIVOT", 40)
     monkeypatch.setattr(metric_join, "BLOCK", 16)
     monkeypatch.setattr(metric_join, "STREAM", 1)
@@ -327,6 +332,33 @@ def test_metric_join(spark, monkeypatch):
     assert metric_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_large_cells(spark, monkeypatch):
+    """Cells that hold clusters are cut until they are small, with every pair in one cell; a cell of equal distances stays whole."""
+    for name, value in {"LARGE": 60, "PER_INNER": 10, "TRIAL": 2, "BLOCK": 16, "STREAM": 2}.items():
+        monkeypatch.setattr(metric_join, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8))
+    spots = {"clusters": centres[rng.integers(40, size=1000)] + rng.normal(size=(1000, 8)) * 0.05, "spread": np.eye(128)}
+    rows = [(f"{cell}{i}", 0, len(v), cell, [float(x) for x in v / np.linalg.norm(v)], 1, i % 5 > 0) for cell, block in spots.items() for i, v in enumerate(block)]
+    cells = spark.createDataFrame(rows, "key string, label int, dim int, cell string, unit array<double>, m long, home boolean").select("key", "label", "dim", "unit", "m", "cell", "home")
+    eps = math.sqrt(2 - 2 * 0.93) + metric_join.SLACK
+    cut, sizes = metric_join.nested(cells, eps)
+    held = {}
+    for r in cut.select("key", "cell", "home").collect():
+        held.setdefault(r["cell"], ([], []))[not r["home"]].append(r["key"])
+    assert {r["cell"]: (r["nh"], r["nc"]) for r in sizes.collect()} == {c: (len(h), len(h) + len(g)) for c, (h, g) in held.items() if h}
+    assert (len(held["spread"][0]), len(held["spread"][1])) == (102, 26)
+    work = sum(len(h) * (len(h) + len(g)) for c, (h, g) in held.items() if c != "spread")
+    assert work < 800 * 1000 / 4 and max(len(h) for c, (h, _) in held.items() if c != "spread") <= 100
+    met = Counter(frozenset(p) for h, g in held.values() for p in [*itertools.combinations(h, 2), *itertools.product(h, g)])
+    at = {r[0]: np.array(r[4]) for r in rows if r[3] == "clusters"}
+    homes = {r[0] for r in rows if r[6]}
+    for a, b in itertools.combinations(at, 2):
+        if at[a] @ at[b] >= 0.93 and (a in homes or b in homes):
+            assert met[frozenset((a, b))] == 1
+    assert set(met.values()) == {1}
+
+
 # ---- near texts
 
 
