@@ -24,8 +24,12 @@ def xref_of(value):
 
 
 def line_table(lines: DataFrame) -> DataFrame:
-    """Lines (line_no, raw) of one file parsed, with record, parent and full value."""
-    return assembled(with_parents(with_records(parse_lines(lines))))
+    """Lines (line_no, raw) of one file parsed, with record, parent and full value.
+
+    Each step reads its lines more than once (numbers of buckets, levels, continuations), so what it reads is written.
+    """
+    parsed = settle(parse_lines(lines).drop("raw"), "parsed")
+    return assembled(settle(with_parents(settle(with_records(parsed), "records")), "parents"))
 
 
 def raw_records(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from heirloom.functions.text import ANY, NO_SPACE, SPACE, group
+from heirloom.functions.text import ANY, NO_SPACE, SPACE
 from heirloom.operators.ids import dense_ids
 from heirloom.sources.encodings import ANSEL_MARKS, decode_column, decode_pieces, encoding_of, hint_of
 from heirloom.sources.store import file_system, settle
@@ -148,10 +148,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     Exactly one white space stands between tag and value; more belong to the value.
     """
-    fits = F.col("raw").rlike(LINE)
-    return lines.withColumns({
-        "level": F.when(fits, group(F.col("raw"), LINE, 1).cast("decimal(38,0)").try_cast("int")).otherwise(0),
-        "xref": F.nullif(F.when(fits, F.regexp_extract("raw", LINE, 2)), F.lit("")),
-        "tag": F.when(fits, F.upper(F.regexp_extract("raw", LINE, 3))).otherwise(UNPARSED),
-        "value": F.when(fits, F.regexp_extract("raw", LINE, 4)).otherwise(F.col("raw")),
-    })
+    parts = F.when(F.col("raw").rlike(LINE), F.split(F.regexp_replace("raw", LINE, "$1\n$2\n$3\n$4"), "\n", 4))
+    part = lambda n: F.get("__parts", F.lit(n))
+    cut = lines.withColumn("__parts", parts)  # a column of its own, so that Spark matches each line once and not for each part
+    fits = F.col("__parts").isNotNull()
+    return cut.withColumns({
+        "level": F.when(fits, part(0).cast("decimal(38,0)").try_cast("int")).otherwise(0),
+        "xref": F.nullif(part(1), F.lit("")),
+        "tag": F.when(fits, F.upper(part(2))).otherwise(UNPARSED),
+        "value": F.when(fits, part(3)).otherwise(F.col("raw")),
+    }).drop("__parts")
