@@ -15,7 +15,7 @@ def rows(records):
     return sorted(tuple("" if v is None else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in records)
 
 
-@pytest.mark.parametrize("name", ["op3_url_rules", "op4_curriculum_mix", "op6_metric_join", "op7_winnowing", "op9_preference_format", "op11_line_dedup", "op12_fill_in_middle"])
+@pytest.mark.parametrize("name", ["op3_url_rules", "op4_curriculum_mix", "op5_forest_join", "op6_metric_join", "op7_winnowing", "op9_preference_format", "op10_suffix_sort", "op11_line_dedup", "op12_fill_in_middle"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
