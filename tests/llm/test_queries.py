@@ -39,6 +39,17 @@ def test_url_rules_with_line_ends(spark, tmp_path):
     assert got == rows(con.sql(f"SELECT {', '.join(cols)} FROM ({SQL['op3_url_rules']})").fetchall()) and sum("block" in r for r in got) >= 18
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Each rule's word as the contract lists it, on urls that each rule decides, alone or against a shorter one."""
+    want = {
+        "http://x.com/en/6": ("com/en/", "block"), "http://example.com/en/72": ("example.com/en/7", "allow"), "http://x.net/de/8": ("net/de/", "allow"), "http://NET/de/": ("net/de/", "allow"),
+        "http://a.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://x.org/es/": ("org/es/", "block"), "http://x.net/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op3_url_rules"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert {u: (r["rule"], r["verdict"]) for u, r in zip(want, got, strict=True)} == want
+
+
 def test_very_long_texts(spark, tmp_path):
     """Long texts of one line and of many beside short, null and empty ones, through operators on documents and conversations, against their SQL."""
     long = "\n".join(" ".join(f"w{i * j % 997}" for j in range(1, 40)) for i in range(400))
