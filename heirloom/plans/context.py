@@ -27,7 +27,11 @@ STATUSES = ("ok", "partial", "unavailable")
 #: Requests of one call, calls for one batch at most, and seconds before the second one, doubled for each after it.
 BATCH, ATTEMPTS, WAIT = 50, 3, 0.5
 
+#: Characters of answers that a task holds before it hands them on.
+HELD = 1 << 22
+
 ANSWER = "query_hash string, request_json string, response_json string, status string, version string"
+COLUMNS = [c.split()[0] for c in ANSWER.split(", ")]
 
 
 def with_requests(rows: DataFrame, most: int, scope: Sequence[str]) -> DataFrame:
@@ -72,6 +76,25 @@ def _fields(request: dict, answer: Mapping | None) -> tuple[str, str, str]:
         return "[]", "unavailable", ""
 
 
+def answers(frames: Iterator[pd.DataFrame], provider: Provider, batch: int, attempts: int, wait: float, held: int = HELD) -> Iterator[pd.DataFrame]:
+    """Rows of ANSWER for requests.  Frames are as large as those that come in, however small a batch, but for answers of more than ``held`` characters together."""
+    for frame in frames:
+        rows: list[tuple] = []
+        size = 0
+        hashes, texts = frame["query_hash"].tolist(), frame["request_json"].tolist()
+        for at in range(0, len(frame), batch):
+            part = slice(at, at + batch)
+            requests = [json.loads(r) for r in texts[part]]
+            found = [_fields(r, a) for r, a in zip(requests, _answered(provider, requests, attempts, wait), strict=True)]
+            rows.extend((h, r, *f) for h, r, f in zip(hashes[part], texts[part], found, strict=True))
+            size += sum(len(f[0]) for f in found)
+            if size > held:
+                yield pd.DataFrame(rows, columns=COLUMNS)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+
 def ask(misses: DataFrame, provider: Provider, batch: int = BATCH, attempts: int = ATTEMPTS, wait: float = WAIT) -> DataFrame:
     """Answers to distinct requests (query_hash, request_json), settled: each is asked for in one task, in batches of ``batch``.
 
@@ -79,12 +102,7 @@ def ask(misses: DataFrame, provider: Provider, batch: int = BATCH, attempts: int
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                requests = [json.loads(r) for r in part["request_json"]]
-                rows = [_fields(r, a) for r, a in zip(requests, _answered(provider, requests, attempts, wait), strict=True)]
-                yield pd.DataFrame({"query_hash": part["query_hash"].to_numpy(), "request_json": part["request_json"].to_numpy(), **{n: [r[i] for r in rows] for i, n in enumerate(("response_json", "status", "version"))}})
+        return answers(frames, provider, batch, attempts, wait)
 
     return settle(misses.repartition("query_hash").sortWithinPartitions("query_hash").mapInPandas(run, ANSWER), "context")
 

@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 from datetime import date, timedelta
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +335,17 @@ def test_context_is_asked_once_in_batches(spark, tmp_path):
     assert context.enrich(rows, fresh, None)[0].where("context_status = 'partial'").count() == sum(r["context_status"] == "partial" for r in got.values())
 
 
+def test_context_answers_are_handed_on_by_frame():
+    """Batches of one request make no frame each; long answers don't pile up."""
+    asked = pd.DataFrame({"query_hash": [str(i) for i in range(500)], "request_json": [json.dumps({"maxEvents": 1, "n": i}) for i in range(500)]})
+    provider = lambda requests: [{"status": "ok", "version": "1", "events": [{"n": r["n"]}]} for r in requests]
+    got = list(context.answers(iter([asked, asked.iloc[:0], asked]), provider, 1, 1, 0))
+    assert [len(f) for f in got] == [500, 500] and all(list(f.columns) == ["query_hash", "request_json", "response_json", "status", "version"] for f in got)
+    assert got[1].iloc[499].tolist() == ["499", '{"maxEvents": 1, "n": 499}', '[{"n": 499}]', "ok", "1"]
+    cut = list(context.answers(iter([asked]), provider, 7, 1, 0, held=1000))
+    assert len(cut) > 2 and max(len(f) for f in cut) < 110 and pd.concat(cut)["query_hash"].tolist() == asked["query_hash"].tolist()
+
+
 def test_context_of_a_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/db")
     put = lambda name, rows: store.write(name, spark.createDataFrame(rows, store.read(name).schema))
