@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from heirloom.config import Config, load_config
 from heirloom.functions.kin import link_type
 from heirloom.functions.text import group, trimmed
-from heirloom.operators.hierarchy import assembled, clean, first_child, with_parents, with_records
+from heirloom.operators.hierarchy import assembled, clean, first_child, with_tree
 from heirloom.operators.ids import dense_ids
 from heirloom.sources.gedcom import UNPARSED, parse_lines, read_lines
 from heirloom.sources.progress import report, warn
@@ -24,12 +26,12 @@ def xref_of(value):
 
 
 def line_table(lines: DataFrame) -> DataFrame:
-    """Lines (line_no, raw) of one file parsed, with record, parent and full value.
+    """Lines (line_no, raw) of one file parsed, with record, parent, the parent's tag and full value.
 
-    Each step reads its lines more than once (numbers of buckets, levels, continuations), so what it reads is written.
+    Each step reads its lines more than once (ends of buckets, continuations), so what it reads is written.
     """
     parsed = settle(parse_lines(lines).drop("raw"), "parsed")
-    return assembled(settle(with_parents(settle(with_records(parsed), "records")), "parents"))
+    return assembled(settle(with_tree(parsed), "tree"))
 
 
 def raw_records(lines: DataFrame) -> DataFrame:
@@ -49,6 +51,11 @@ def children_of(lines: DataFrame, parents: DataFrame, keep: list[str]) -> DataFr
     return lines.select("line_no", "parent_line", "tag", "value", "full").join(p, "parent_line")
 
 
+def below(lines: DataFrame, parents: Sequence[str], tags: Sequence[str]) -> DataFrame:
+    """Lines of some tags right below lines of some others: few of all, and only these are shuffled."""
+    return lines.where(F.col("parent_tag").isin(*parents) & F.col("tag").isin(*tags))
+
+
 def people(lines: DataFrame, living_cutoff: int) -> DataFrame:
     """One row for each person: id, gedcom_xref, names, sex, is_living."""
     base = roots(lines, "INDI")
@@ -98,14 +105,14 @@ def family_children(lines: DataFrame, persons: DataFrame, fams: DataFrame) -> Da
 def events(lines: DataFrame, persons: DataFrame, fams: DataFrame) -> DataFrame:
     """Dated and placed facts of people and families; ids follow the lines."""
     subjects = persons.select("line_no", F.lit("individual").alias("subject_type"), F.col("id").alias("subject_id")).unionByName(fams.select("line_no", F.lit("family").alias("subject_type"), F.col("id").alias("subject_id")))
-    facts = children_of(lines, subjects, ["subject_type", "subject_id"]).where(F.col("tag").isin(*EVENT_TAGS)).select("line_no", "subject_type", "subject_id", F.col("tag").alias("fact"))
-    below = children_of(lines, facts, ["fact"]).withColumnRenamed("parent_line", "at")
-    parts = below.groupBy("at").agg(
+    named = children_of(below(lines, ("INDI", "FAM"), EVENT_TAGS), subjects, ["subject_type", "subject_id"]).select("line_no", "subject_type", "subject_id", F.col("tag").alias("fact"))
+    facts = dense_ids(settle(named, "facts"), "line_no")
+    parts = below(lines, EVENT_TAGS, ("TYPE", "DATE", "PLAC", "NOTE", "SOUR")).groupBy("parent_line").agg(
         *[first_child(t, clean(F.col("full"))).alias(t.lower()) for t in ("TYPE", "DATE", "PLAC", "NOTE")], F.count_if(F.col("tag") == "SOUR").alias("sources"),
-    ).withColumnRenamed("at", "line_no")
+    ).withColumnRenamed("parent_line", "line_no")
     t = facts.join(parts, "line_no", "left")
     kind = F.when(F.col("fact") == "EVEN", F.coalesce("type", "fact")).otherwise(F.col("fact"))
-    return dense_ids(t.select("subject_type", "subject_id", kind.alias("event_type"), F.col("date").alias("date_raw"), F.col("plac").alias("place_raw"), F.coalesce("sources", F.lit(0)).alias("source_count"), "note", "line_no"), "line_no")
+    return t.select("subject_type", "subject_id", kind.alias("event_type"), F.col("date").alias("date_raw"), F.col("plac").alias("place_raw"), F.coalesce("sources", F.lit(0)).alias("source_count"), "note", "line_no", "id")
 
 
 def tag_counts(lines: DataFrame) -> DataFrame:

@@ -148,13 +148,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     Exactly one white space stands between tag and value; more belong to the value.
     """
-    parts = F.when(F.col("raw").rlike(LINE), F.split(F.regexp_replace("raw", LINE, "$1\n$2\n$3\n$4"), "\n", 4))
-    part = lambda n: F.get("__parts", F.lit(n))
-    cut = lines.withColumn("__parts", parts)  # a column of its own, so that Spark matches each line once and not for each part
+    told = F.regexp_replace("raw", LINE, "\n$1\n$2\n$3\n$4")  # what is no line stays as it is; no line begins with a line feed
+    part = lambda n: F.get("__parts", F.lit(n + 1))
+    # columns of their own, so that Spark matches each line once, and not for each part or to tell whether it is one
+    cut = lines.withColumn("__told", told).withColumn("__parts", F.when(F.col("__told").startswith("\n") & ~F.col("raw").startswith("\n"), F.split("__told", "\n", 5)))
     fits = F.col("__parts").isNotNull()
     return cut.withColumns({
         "level": F.when(fits, part(0).cast("decimal(38,0)").try_cast("int")).otherwise(0),
         "xref": F.nullif(part(1), F.lit("")),
         "tag": F.when(fits, F.upper(part(2))).otherwise(UNPARSED),
         "value": F.when(fits, part(3)).otherwise(F.col("raw")),
-    }).drop("__parts")
+    }).drop("__told", "__parts")
