@@ -93,12 +93,12 @@ def family_children(lines: DataFrame, persons: DataFrame, fams: DataFrame) -> Da
     A child listed twice in a family is one row.
     """
     f = fams.select("line_no", F.col("id").alias("family_id"), F.col("gedcom_xref").alias("family_xref"))
-    listed = children_of(lines, f, ["family_id", "family_xref"]).where("tag = 'CHIL'").select("family_id", "family_xref", xref_of(F.col("value")).alias("child_xref"))
+    listed = children_of(below(lines, ("FAM",), ("CHIL",)), f, ["family_id", "family_xref"]).select("family_id", "family_xref", xref_of(F.col("value")).alias("child_xref"))
     p = persons.select(F.col("id").alias("child_id"), F.col("gedcom_xref").alias("child_xref"))
     links = listed.join(p, "child_xref").distinct()
-    said = children_of(lines, persons.select("line_no", F.col("gedcom_xref").alias("child_xref")), ["child_xref"]).where("tag = 'FAMC'")
+    said = children_of(below(lines, ("INDI",), ("FAMC",)), persons.select("line_no", F.col("gedcom_xref").alias("child_xref")), ["child_xref"])
     said = said.select("child_xref", xref_of(F.col("value")).alias("family_xref"), "line_no").groupBy("child_xref", "family_xref").agg(F.min("line_no").alias("line_no"))
-    pedigree = children_of(lines, said, ["child_xref", "family_xref"]).groupBy("child_xref", "family_xref").agg(first_child("PEDI", F.col("value")).alias("pedi"))
+    pedigree = children_of(below(lines, ("FAMC",), ("PEDI",)), said, ["child_xref", "family_xref"]).groupBy("child_xref", "family_xref").agg(first_child("PEDI", F.col("value")).alias("pedi"))
     return links.join(pedigree, ["child_xref", "family_xref"], "left").select("family_id", "child_id", link_type(trimmed(F.col("pedi"))).alias("link_type"))
 
 
