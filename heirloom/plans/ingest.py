@@ -79,12 +79,12 @@ def people(lines: DataFrame, living_cutoff: int) -> DataFrame:
 
 def families(lines: DataFrame, persons: DataFrame) -> DataFrame:
     """One row for each family: id, gedcom_xref, husband_id, wife_id; references that lead nowhere are null."""
-    base = roots(lines, "FAM")
-    couple = children_of(lines, base, ["xref"]).groupBy("xref").agg(first_child("HUSB", F.col("value")).alias("h"), first_child("WIFE", F.col("value")).alias("w"))
-    found = base.join(couple, "xref", "left").select("line_no", "xref", xref_of(F.col("h")).alias("h"), xref_of(F.col("w")).alias("w"))
+    base = dense_ids(settle(roots(lines, "FAM"), "roots"), "line_no")
+    couple = below(lines, ("FAM",), ("HUSB", "WIFE")).groupBy(F.col("parent_line").alias("line_no")).agg(first_child("HUSB", F.col("value")).alias("h"), first_child("WIFE", F.col("value")).alias("w"))
+    found = base.join(couple, "line_no", "left").select("line_no", "xref", "id", xref_of(F.col("h")).alias("h"), xref_of(F.col("w")).alias("w"))
     who = lambda name: persons.select(F.col("gedcom_xref").alias(name), F.col("id").alias(f"{name}_id"))
     both = found.join(who("h"), "h", "left").join(who("w"), "w", "left")
-    return dense_ids(both.select("line_no", F.col("xref").alias("gedcom_xref"), F.col("h_id").alias("husband_id"), F.col("w_id").alias("wife_id")), "line_no")
+    return both.select("line_no", F.col("xref").alias("gedcom_xref"), F.col("h_id").alias("husband_id"), F.col("w_id").alias("wife_id"), "id")
 
 
 def family_children(lines: DataFrame, persons: DataFrame, fams: DataFrame) -> DataFrame:
