@@ -58,23 +58,22 @@ def below(lines: DataFrame, parents: Sequence[str], tags: Sequence[str]) -> Data
 
 def people(lines: DataFrame, living_cutoff: int) -> DataFrame:
     """One row for each person: id, gedcom_xref, names, sex, is_living."""
-    base = roots(lines, "INDI")
-    below = children_of(lines, base, ["xref"])
-    names = below.where("tag = 'NAME'").groupBy("xref").agg(F.min(F.struct("line_no", "full")).alias("n")).select("xref", F.col("n.line_no").alias("line_no"), F.col("n.full").alias("full"))
-    parts = children_of(lines, names, ["xref"]).groupBy("xref").agg(
+    base = dense_ids(settle(roots(lines, "INDI"), "roots"), "line_no")
+    own = below(lines, ("INDI",), ("NAME", "BIRT", "SEX", "DEAT", "BURI")).groupBy(F.col("parent_line").alias("line_no")).agg(
+        F.min(F.when(F.col("tag") == "NAME", F.struct("line_no", "full"))).alias("n"), F.min(F.when(F.col("tag") == "BIRT", F.col("line_no"))).alias("birth_line"),
+        first_child("SEX", clean(F.col("value"))).alias("sex"), F.bool_or(F.col("tag").isin("DEAT", "BURI")).alias("dead"),
+    ).select("line_no", F.col("n.line_no").alias("name_line"), clean(F.col("n.full")).alias("name_full"), "birth_line", "sex", "dead")
+    parts = below(lines, ("NAME",), ("GIVN", "SURN")).groupBy(F.col("parent_line").alias("name_line")).agg(
         F.bool_or(F.col("tag") == "GIVN").alias("has_given"), F.bool_or(F.col("tag") == "SURN").alias("has_surname"),
         first_child("GIVN", clean(F.col("full"))).alias("given"), first_child("SURN", clean(F.col("full"))).alias("surname"),
     )
-    births = below.where("tag = 'BIRT'").groupBy("xref").agg(F.min("line_no").alias("line_no"))
-    years = children_of(lines, births, ["xref"]).groupBy("xref").agg(first_child("DATE", F.col("value")).alias("date"))
-    traits = below.groupBy("xref").agg(first_child("SEX", clean(F.col("value"))).alias("sex"), F.bool_or(F.col("tag").isin("DEAT", "BURI")).alias("dead"))
-    t = base.join(names.select("xref", clean(F.col("full")).alias("name_full")), "xref", "left").join(parts, "xref", "left").join(years, "xref", "left").join(traits, "xref", "left")
+    years = below(lines, ("BIRT",), ("DATE",)).groupBy(F.col("parent_line").alias("birth_line")).agg(first_child("DATE", F.col("value")).alias("date"))
+    t = base.join(own, "line_no", "left").join(parts, "name_line", "left").join(years, "birth_line", "left")
     slashed = r"\A([^\n\r]*?)\s*/([^/]*)/"
     part = lambda flag, value, n: F.when(F.col(flag), F.col(value)).otherwise(clean(group(F.col("name_full"), slashed, n)))
     year = group(F.col("date"), r"([0-9]{3,4})").cast("int")
     living = ~F.coalesce("dead", F.lit(False)) & (year.isNull() | (year > living_cutoff))
-    out = t.select("line_no", F.col("xref").alias("gedcom_xref"), part("has_given", "given", 1).alias("name_given"), part("has_surname", "surname", 2).alias("name_surname"), "name_full", "sex", living.cast("int").alias("is_living"))
-    return dense_ids(out, "line_no")
+    return t.select("line_no", F.col("xref").alias("gedcom_xref"), part("has_given", "given", 1).alias("name_given"), part("has_surname", "surname", 2).alias("name_surname"), "name_full", "sex", living.cast("int").alias("is_living"), "id")
 
 
 def families(lines: DataFrame, persons: DataFrame) -> DataFrame:
