@@ -268,6 +268,12 @@ def test_pairs_are_judged_where_they_are_made(spark, config):
     for df in (kept, out):
         above = plan_of(df).partition("MapInArrow")[0]
         assert "Exchange" not in above and "Join" not in above and "Window" not in above
+    best = {(r["individual_id"], r["candidate_id"], r["rank"]) for r in candidates.candidates_of_people(kept.withColumnRenamed("id", "candidate_id"), 3).collect()}
+    each = {}
+    for r in sorted(want, key=lambda r: (-r[3], r[0])):
+        for p in r[1:3]:
+            each.setdefault(p, []).append(r[0])
+    assert best == {(p, i, n) for p, ids in each.items() for n, i in enumerate(ids[:3], 1)}
     nothing = candidates.judged_pairs(intervals.limit(0), proof, edges, families, children, people, config, True)
     assert nothing.count() == 0
 
